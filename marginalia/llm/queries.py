@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, neardup, repetition
+from . import bpe, fingerprints, langid, mixing, neardup, repetition
 from .common import table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_near_duplicates, op5_fingerprints, op7_bpe, op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_near_duplicates, op5_fingerprints, op7_bpe, op9_mix_sources, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
