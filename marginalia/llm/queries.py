@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, mixing, neardup, repetition
+from . import bpe, fingerprints, langid, mixing, neardup, quality, repetition
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_near_duplicates, op5_fingerprints, op7_bpe, op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_near_duplicates, op5_fingerprints, op6_quality, op7_bpe, op9_mix_sources, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
