@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,45 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_tables = 0
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see, for tables that cut lineage."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if jvm_dir.isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return jvm_dir.get()
+
+
+def written(df: DataFrame, key: str | None = None, parts: int = 1) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, with its lineage cut; with a key, bucketed by it, so
+    that joins and groupings by the key don't move its rows. The folder goes when the session's process ends."""
+    global _tables
+    spark = df.sparkSession
+    _tables += 1
+    name = f"cut_{os.getpid()}_{uuid.uuid4().hex[:12]}_{_tables}"
+    path = f"{shared_folder(spark)}/{name}"
+    atexit.register(_remove, spark, path)
+    if key is None:
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+    df.repartition(parts, key).write.format("parquet").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session ended first; the folder's owner clears it
+        pass
+
+
 def learned(column: Column, modulus: int, left_out: int) -> Column:
     """True where crc32(column as text) modulo `modulus` isn't `left_out`; a null counts as learned."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus != left_out, F.lit(True))
