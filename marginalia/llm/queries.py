@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, fingerprints, langid, mixing, neardup, quality, repetition
+from . import bpe, exact, fingerprints, langid, mixing, neardup, quality, repetition, scoring
 from .common import table
 
 
+def op1_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.removed_repeats(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_remove_repeats, op3_language_id, op4_near_duplicates, op5_fingerprints, op6_quality, op7_bpe, op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_score, op2_remove_repeats, op3_language_id, op4_near_duplicates, op5_fingerprints, op6_quality, op7_bpe, op9_mix_sources, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
