@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, fingerprints, langid, mixing, neardup, quality, repetition, scoring
+from . import bpe, exact, fingerprints, htmltext, langid, mixing, neardup, quality, repetition, scoring
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sources(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_score, op2_remove_repeats, op3_language_id, op4_near_duplicates, op5_fingerprints, op6_quality, op7_bpe, op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_score, op2_remove_repeats, op3_language_id, op4_near_duplicates, op5_fingerprints, op6_quality, op7_bpe, op8_html_text, op9_mix_sources, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
