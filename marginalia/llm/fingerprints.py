@@ -49,30 +49,28 @@ def containment(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0)), F.lit(1.0)).cast("double")
 
 
-def with_next(docs: DataFrame, bucket: int = BUCKET, fanout: int = FANOUT) -> DataFrame:
-    """Adds `_next`, the struct `_own` of the next row by (doc_id, text), and of the first row after the last.
-
-    Rows are dealt to ranges of doc_id of about `bucket` rows. The next row of a range's last row is
-    the first row of the next range that has any; it is found the same way over the ranges' first rows,
-    dealt to groups of `fanout` ranges, and then over the groups' first rows, a row for each
-    bucket * fanout documents.
-    """
+def dealt(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The rows dealt by `_bucket`, a range of doc_id that holds about `bucket` rows; -1 for a null."""
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) * bucket // max(n, 1)))
-    ranged = docs.withColumn("_bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("bigint"), F.lit(-1)))
-    order = ["doc_id", "text"]
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    rows = ranged.withColumn("_next", F.lead("_own").over(inside)).withColumn("_last", F.col("_next").isNull())
-    firsts = ranged.groupBy("_bucket").agg(F.min_by("_own", F.struct(F.col("doc_id").isNotNull(), "doc_id", F.coalesce("text", F.lit("")))).alias("_own"))
-    firsts = firsts.withColumn("_group", F.floor(F.col("_bucket") / fanout))
-    firsts = firsts.withColumn("_after", F.lead("_own").over(Window.partitionBy("_group").orderBy("_bucket")))
-    groups = firsts.groupBy("_group").agg(F.min_by("_own", "_bucket").alias("_own"))
+    place = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("bigint")
+    return docs.withColumn("_bucket", F.coalesce(place, F.lit(-1))).repartition("_bucket")
+
+
+def after_bucket(rows: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """(_b, _after): for each bucket the text of the first row, by (doc_id, text), after its last row.
+
+    That is the first row of the next bucket that has any; it is found over the buckets' first rows,
+    dealt to groups of `fanout` buckets, and for the last bucket of a group over the groups' first
+    rows. After the last row comes the first.
+    """
+    firsts = rows.groupBy("_bucket").agg(F.min_by("text", F.struct("doc_id", "text")).alias("_first")).withColumn("_group", F.floor(F.col("_bucket") / fanout))
+    firsts = firsts.withColumn("_inside", F.lead("_first").over(Window.partitionBy("_group").orderBy("_bucket")))
+    groups = firsts.groupBy("_group").agg(F.min_by("_first", "_bucket").alias("_first"))
     ends = Window.orderBy("_group")
     whole = ends.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    groups = groups.select("_group", F.coalesce(F.lead("_own").over(ends), F.first("_own").over(whole)).alias("_after_group"))
-    after = firsts.join(groups, "_group").select(F.col("_bucket").alias("_b"), F.coalesce("_after", "_after_group").alias("_after"))
-    found = rows.filter("_last").join(after, F.col("_bucket") == F.col("_b")).withColumn("_next", F.col("_after")).drop("_b", "_after")
-    return rows.filter("not _last").unionByName(found).drop("_bucket", "_last")
+    groups = groups.select("_group", F.coalesce(F.lead("_first").over(ends), F.first("_first").over(whole)).alias("_beyond"))
+    return firsts.join(groups, "_group").select(F.col("_bucket").alias("_b"), F.coalesce("_inside", "_beyond").alias("_after"))
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, scale: int = SCALE) -> DataFrame:
@@ -84,14 +82,17 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, scale: int = SCALE
     fingerprint. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    own = slim.withColumn("_sketch", sketch(F.col("text"), words, scale)).withColumn("_own", F.struct("text", "_sketch"))
+    rows = dealt(slim)
+    inside = Window.partitionBy("_bucket").orderBy("doc_id", "text")
+    own = rows.withColumn("_sketch", sketch(F.col("text"), words, scale))
+    own = own.withColumns({"_next": F.lead("text").over(inside), "_next_sketch": F.lead("_sketch").over(inside)})
+    # Only the last row of a bucket looks beyond it.
+    own = own.join(after_bucket(rows), (F.col("_bucket") == F.col("_b")) & F.col("_next").isNull(), "left")
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     rows = (
-        with_next(own)
-        .withColumn("n_chars", F.length("text").cast("bigint"))
-        .withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.col("_next.text"), F.lit(1), quarter)))
-        .select("doc_id", "n_chars", "_sketch", "_edited", F.col("_next._sketch").alias("_next_sketch"), F.sha2("_edited", 256).alias("edited_sha256"))
-        .withColumn("_edited_sketch", sketch(F.col("_edited"), words, scale))
+        own.withColumn("n_chars", F.length("text").cast("bigint"))
+        .withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.coalesce("_next", "_after"), F.lit(1), quarter)))
+        .select("doc_id", "n_chars", "_sketch", F.coalesce("_next_sketch", sketch(F.col("_after"), words, scale)).alias("_next_sketch"), F.sha2("_edited", 256).alias("edited_sha256"), sketch(F.col("_edited"), words, scale).alias("_edited_sketch"))
     )
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", printed(F.col("_sketch")).alias("fingerprint"), printed(F.col("_edited_sketch")).alias("edited_fingerprint"),
