@@ -87,15 +87,17 @@ def is_toc_heading(block_kind: Column, content: Column, toc_title: Column) -> Co
 
 def clean_grid(grid: Column) -> Column:
     """Rows padded to one width, cells squashed, empty rows and columns left out."""
-    width = F.aggregate(grid, F.lit(0), lambda n, r: F.greatest(n, F.size(r)))
+    # A one-element array binds a value to a name, so that it is computed once.
+    bound = lambda x, f: F.transform(F.array(x), f)[0]
+    cells = F.transform(grid, lambda r: F.transform(r, lambda c: X.squashed(F.coalesce(c, F.lit("")))))
+    full = lambda rows: F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))
 
-    def of(w: Column) -> Column:
-        rows = F.transform(grid, lambda r: F.transform(F.sequence(F.lit(1), w), lambda i: X.squashed(F.coalesce(F.get(r, i - 1), F.lit("")))))
-        rows = F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))
-        used = F.filter(F.sequence(F.lit(1), w), lambda i: F.exists(rows, lambda r: F.get(r, i - 1) != ""))
-        return F.transform(rows, lambda r: F.transform(used, lambda i: F.get(r, i - 1)))
+    def columns(rows: Column) -> Column:
+        width = F.aggregate(rows, F.lit(0), lambda n, r: F.greatest(n, F.size(r)))
+        used = F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.exists(rows, lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
+        return bound(used, lambda u: F.transform(rows, lambda r: F.transform(u, lambda i: F.coalesce(F.get(r, i), F.lit("")))))
 
-    return F.when(width == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(F.array(width), of)[0])
+    return bound(bound(cells, full), columns)
 
 
 def markdown(grid: Column) -> Column:

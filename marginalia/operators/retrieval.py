@@ -40,10 +40,10 @@ def ranked(df: DataFrame, k: int | None, score: str, by: list[str], tie: str = "
     return out if k is None else out.filter(F.col(name) <= k)
 
 
-def knn(chunks: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, *by, chunk_id, distance, rank): the k chunks with the least squared distance; a chunk without a vector is none."""
+def knn(chunks: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = (), digits: int = 6) -> DataFrame:
+    """(query_id, *by, chunk_id, distance, rank): the k chunks with the least squared distance, rounded to so many digits; a chunk without a vector is none."""
     pairs = chunks.filter("embedding is not null").select(*by, "chunk_id", "embedding").join(packed(queries, ["query_id", "vector"]))
-    each = pairs.select(*by, "chunk_id", F.explode(F.transform("queries", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(squared_distance(F.col("embedding"), q["vector"]), 6).alias("distance")))).alias("q"))
+    each = pairs.select(*by, "chunk_id", F.explode(F.transform("queries", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(squared_distance(F.col("embedding"), q["vector"]), digits).alias("distance")))).alias("q"))
     return ranked(each.select("q.query_id", *by, "chunk_id", "q.distance"), k, "distance", ["query_id", *by], ascending=True)
 
 
@@ -106,12 +106,12 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, mode: str = "observed"
 
 def hybrid(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """Semantic top 2n merged with all keyword matches; the best n of each query."""
-    semantic = knn(chunks, queries, 2 * n).select("query_id", "chunk_id", F.round(half_similarity(F.col("distance")), 7).alias("semantic"), F.col("rank").alias("place"))
+    semantic = knn(chunks, queries, 2 * n, digits=10).select("query_id", "chunk_id", F.round(half_similarity(F.col("distance")), 6).alias("semantic"), F.col("rank").alias("place"))
     lexical = keyword_search(chunks, queries).select("query_id", "chunk_id", "similarity")
     both = semantic.join(lexical, ["query_id", "chunk_id"], "full_outer")
     score = F.when(F.col("semantic").isNull(), F.col("similarity")).when(F.col("similarity").isNull(), F.col("semantic")).otherwise(F.least(F.lit(1.0), F.col("semantic") + 0.1))
     out = both.select(
-        "query_id", "chunk_id", F.round(score, 7).alias("score"), F.when(F.col("semantic").isNull(), "keyword_match").otherwise("semantic").alias("source_type"),
+        "query_id", "chunk_id", F.round(score, 6).alias("score"), F.when(F.col("semantic").isNull(), "keyword_match").otherwise("semantic").alias("source_type"),
         (F.col("semantic").isNotNull() & F.col("similarity").isNotNull()).alias("keyword_boost"), F.coalesce("place", F.lit(1 << 30)).alias("place"),
     )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "place", "chunk_id")

@@ -75,8 +75,8 @@ def knn_filtered(spark, sf):
 
 @query
 def knn_similarity(spark, sf):
-    near = retrieval.knn(views.chunks(spark, sf), views.queries(spark, sf), 3)
-    return near.select("query_id", "chunk_id", F.round(retrieval.half_similarity(F.col("distance")), 7).alias("half_similarity"), F.round(1.0 - F.col("distance"), 6).alias("direct_similarity"))
+    near = retrieval.knn(views.chunks(spark, sf), views.queries(spark, sf), 3, digits=10)
+    return near.select("query_id", "chunk_id", F.round(retrieval.half_similarity(F.col("distance")), 6).alias("half_similarity"), F.round(1.0 - F.col("distance"), 6).alias("direct_similarity"))
 
 
 @query

@@ -62,12 +62,13 @@ BLOCKS = """lines AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FR
 blocks AS (SELECT source AS pdf_filename, doc_id, i - 1 AS line, l[i] AS content, (doc_id // 20) % 50 + 1 AS page_number, 72.0::DOUBLE + (i - 1) * 12.0::DOUBLE AS y0 FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM lines))"""
 TOC = """toc AS (SELECT pdf_filename, toc_title || ' ' || substr(content, 1, 40) AS title, page_number, length(toc_title) % 3 + 1 AS level, doc_id AS ord
   FROM (SELECT *, row_number() OVER (PARTITION BY pdf_filename, toc_title ORDER BY page_number, doc_id) AS rn FROM chunks) WHERE rn = 1)"""
-DIST = "round(list_sum([x * x for x in [c.embedding[i] - q.vector[i] for i in generate_series(1, 64)]]), 6)"
+DIST = "list_sum([x * x for x in [c.embedding[i] - q.vector[i] for i in generate_series(1, 64)]])"
 
 
-def knn(name: str, k: int, where: str = "true", by: str = "") -> str:
+def knn(name: str, k: int, where: str = "true", by: str = "", digits: int = 6) -> str:
+    distance = f"round({DIST}, {digits})"
     p = f", c.{by}" if by else ""
-    return f"""{name} AS (SELECT * FROM (SELECT q.query_id{p}, c.chunk_id, {DIST} AS distance, row_number() OVER (PARTITION BY q.query_id{p} ORDER BY {DIST}, c.chunk_id) AS rank
+    return f"""{name} AS (SELECT * FROM (SELECT q.query_id{p}, c.chunk_id, {distance} AS distance, row_number() OVER (PARTITION BY q.query_id{p} ORDER BY {distance}, c.chunk_id) AS rank
   FROM chunks c, queries q WHERE c.embedding IS NOT NULL AND ({where})) WHERE rank <= {k})"""
 
 
@@ -99,10 +100,10 @@ kh AS (SELECT query_id, chunk_id, i, kw, content, ((length(lower(content)) - len
 
 
 def hybrid(name: str, n: int, where: str, extra: str = "chunk_type = 'child'") -> str:
-    return f"""{knn(name + "_s", 2 * n, f"c.chunk_type = 'child' AND ({where})")},
+    return f"""{knn(name + "_s", 2 * n, f"c.chunk_type = 'child' AND ({where})", digits=10)},
 {keyword_search(name + "_k", "observed", f"{extra} AND ({where})").replace("kq AS", name + "_kq AS").replace("kw AS (", name + "_kw AS (").replace("FROM kq)", f"FROM {name}_kq)").replace("kh AS (", name + "_kh AS (").replace("FROM kw JOIN", f"FROM {name}_kw AS kw JOIN").replace("FROM kh GROUP", f"FROM {name}_kh GROUP")},
-{name}_m AS (SELECT query_id, chunk_id, round(greatest(0.0, (2.0 - s.distance) / 2.0), 7) AS semantic, k.similarity, coalesce(s.rank, 1073741824) AS place FROM {name}_s s FULL JOIN {name}_k k USING (query_id, chunk_id)),
-{name}_o AS (SELECT query_id, chunk_id, round(CASE WHEN semantic IS NULL THEN similarity WHEN similarity IS NULL THEN semantic ELSE least(1.0, semantic + 0.1) END, 7) AS score, CASE WHEN semantic IS NULL THEN 'keyword_match' ELSE 'semantic' END AS source_type,
+{name}_m AS (SELECT query_id, chunk_id, CASE WHEN s.distance IS NOT NULL THEN round(greatest(0.0, (2.0 - s.distance) / 2.0), 6) END AS semantic, k.similarity, coalesce(s.rank, 1073741824) AS place FROM {name}_s s FULL JOIN {name}_k k USING (query_id, chunk_id)),
+{name}_o AS (SELECT query_id, chunk_id, round(CASE WHEN semantic IS NULL THEN similarity WHEN similarity IS NULL THEN semantic ELSE least(1.0, semantic + 0.1) END, 6) AS score, CASE WHEN semantic IS NULL THEN 'keyword_match' ELSE 'semantic' END AS source_type,
   semantic IS NOT NULL AND similarity IS NOT NULL AS keyword_boost, place FROM {name}_m),
 {name} AS (SELECT * EXCLUDE place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, chunk_id) AS rank FROM {name}_o) WHERE rank <= {n})"""
 
@@ -188,7 +189,7 @@ SQL: dict[str, str] = {
     "partial_title_match": f"WITH {CHUNKS} SELECT chunk_id, toc_title FROM chunks WHERE contains(lower(toc_title), 'the section 2 and more') OR contains('the section 2 and more', lower(toc_title)) OR contains(lower(toc_title), 'tion 3') OR contains('tion 3', lower(toc_title))",
     "knn_topk": f"WITH {CHUNKS}, {QUERIES}, {knn('k', 10)} SELECT * FROM k",
     "knn_filtered": f"""WITH {CHUNKS}, {QUERIES}, {knn('k', 5, "c.chunk_type = 'child' AND c.pdf_filename IN ('src0', 'src1', 'src2', 'src3')")} SELECT * FROM k""",
-    "knn_similarity": f"WITH {CHUNKS}, {QUERIES}, {knn('k', 3)} SELECT query_id, chunk_id, round(greatest(0.0, (2.0 - distance) / 2.0), 7) AS half_similarity, round(1.0 - distance, 6) AS direct_similarity FROM k",
+    "knn_similarity": f"WITH {CHUNKS}, {QUERIES}, {knn('k', 3, digits=10)} SELECT query_id, chunk_id, round(greatest(0.0, (2.0 - distance) / 2.0), 6) AS half_similarity, round(1.0 - distance, 6) AS direct_similarity FROM k",
     "knn_per_document": f"WITH {CHUNKS}, {QUERIES}, {knn('k', 3, by='pdf_filename')} SELECT * FROM k",
     "tokens": f"WITH {CHUNKS} SELECT chunk_id, len({tok('content')}) AS n_tokens, len(list_distinct({tok('content')})) AS n_terms FROM chunks",
     "bm25_topk": f"WITH {CHUNKS}, {QUERIES}, {bm25('b', 10)} SELECT query_id, chunk_id, score, rank FROM b",
