@@ -27,7 +27,7 @@ def sections(blocks: DataFrame) -> DataFrame:
 
     blocks: pdf_filename, place, page_number, block_type, content, toc_title. A heading that opens a
     section, or a block whose contents title differs from the one that the section took, begins a new
-    one; tables and figures stand alone.
+    one; tables and figures stand alone. A heading that opens none names the section that it has to begin.
     """
     order = Window.partitionBy("pdf_filename").orderBy("place")
     near = F.coalesce(F.lead("block_type", 1).over(order) == "paragraph", F.lit(False)) | F.coalesce(F.lead("block_type", 2).over(order) == "paragraph", F.lit(False)) | F.coalesce(F.lead("block_type", 3).over(order) == "paragraph", F.lit(False))
@@ -39,7 +39,7 @@ def sections(blocks: DataFrame) -> DataFrame:
         toc = r["toc"]
         new = (r["kind"] == "open") | (r["kind"] == "alone") | ~s["open"] | ((r["kind"] == "text") & (toc != "") & (s["toc"] != toc))
         n = s["n"] + new.cast("int")
-        title = F.when(r["kind"] == "open", F.when(X.jaccard(r["content"], toc) > 0.7, toc).otherwise(X.stripped(r["content"]))).when(new, F.when(toc != "", toc).otherwise("Untitled Section")).otherwise(s["title"])
+        title = F.when(r["kind"] == "open", F.when(X.jaccard(r["content"], toc) > 0.7, toc).otherwise(X.stripped(r["content"]))).when(new, F.when(toc != "", toc).when(r["kind"] == "heading", X.stripped(r["content"])).otherwise("Untitled Section")).otherwise(s["title"])
         title = F.when(~new & (r["kind"] == "heading") & (s["toc"] == "") & (toc != "") & ((s["title"] == "Untitled Section") | (F.length(s["title"]) < F.length(toc))), toc).otherwise(title)
         kept = F.when(new, toc).when((s["toc"] == "") & (toc != ""), toc).otherwise(s["toc"])
         out = F.struct(r["place"].alias("place"), n.alias("n"), title.alias("title"))
