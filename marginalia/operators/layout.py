@@ -162,3 +162,20 @@ def toc_page_signals(text: Column) -> Column:
 
 def element_counts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("block_type").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+def worth_analysing(figures: DataFrame, page_area: float = 612.0 * PAGE_HEIGHT, share: float = 0.15, most: int = 20) -> DataFrame:
+    """Figures that cover enough of their page, the first `most` of each document."""
+    large = figures.withColumn("area_share", F.round((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / page_area, 6)).filter(F.col("area_share") >= share)
+    return large.withColumn("place", F.row_number().over(Window.partitionBy("pdf_filename").orderBy("page_number", "box_id"))).filter(F.col("place") <= most)
+
+
+def continues_toc(text: Column) -> Column:
+    """Two signs of a contents page's continuation or more."""
+    t = F.regexp_replace(F.lower(text), r"[ \t]", "")
+    numbers = F.size(F.filter(F.regexp_extract_all(t, F.lit(X.TOKEN), F.lit(0)), lambda w: w.rlike(r"^\d{1,3}$")))
+    signs = [F.contains(t, F.lit("appendix")), t.rlike(r"\.{3,}"), numbers > 3, X.holds(t, ["acknowledgements", "bibliography", "references", "index"]), t.rlike(r"\d:")]
+    total = signs[0].cast("int")
+    for s in signs[1:]:
+        total = total + s.cast("int")
+    return total >= 2

@@ -40,3 +40,18 @@ def pages_of_sections(pages: DataFrame, toc: DataFrame, titles: list[str], budge
     p = pages.filter(F.col("content").rlike(r"\S")).select(F.col("pdf_filename").alias("p"), "page_number", "content")
     found = spans.join(p, (F.col("pdf_filename") == F.col("p")) & F.col("page_number").between(F.col("start_page"), F.col("end_page")), "left")
     return found.withColumn("empty", F.max(F.col("page_number").isNull()).over(whole)).filter("not empty").select("pdf_filename", "page_number", "content")
+
+
+def parsed_range(text):
+    """(first, last) of "a-b" with a below b, else null."""
+    parts = F.split(text, "-")
+    first, last = parts[0].cast("bigint"), parts[1].cast("bigint")
+    return F.when(text.rlike(r"^\d{1,9}-\d{1,9}$") & (F.regexp_extract(text, r"^(\d+)-", 1).cast("bigint") < F.regexp_extract(text, r"-(\d+)$", 1).cast("bigint")), F.struct(first.alias("first"), last.alias("last")))
+
+
+def file_size(n):
+    """Bytes with a unit of 1024 and at most two decimals."""
+    level = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).otherwise(3)
+    value = F.round(n / F.pow(F.lit(1024.0), level), 2)
+    text = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
+    return F.concat(text, F.lit(" "), F.element_at(F.array(*map(F.lit, ["Bytes", "KB", "MB", "GB"])), level + 1))

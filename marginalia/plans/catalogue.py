@@ -416,5 +416,75 @@ def html_paragraphs(spark, sf):
     return parts.select("page_id", F.col("at").cast("bigint").alias("at"), X.squashed(F.regexp_replace("text", "<[^>]*>", " ")).alias("text"))
 
 
+@query
+def valid_names(spark, sf):
+    asked = views.table(spark, sf, "benchmark").select(F.concat(F.lit("src"), F.col("item_id")).alias("pdf_filename"))
+    return catalog.valid_names(asked, views.chunks(spark, sf, False))
+
+
+@query
+def best_path(spark, sf):
+    wanted = _files(spark, sf).select("collection", "pdf_filename")
+    folder = F.when(F.col("doc_id") % 4 == 0, F.col("collection")).when(F.col("doc_id") % 4 == 1, F.upper("collection")).when(F.col("doc_id") % 4 == 2, F.lit("elsewhere")).otherwise(F.lit("pdfs"))
+    one = _files(spark, sf).select(F.concat(F.lit("/data/"), folder, F.lit("/"), "pdf_filename").alias("path"), "pdf_filename")
+    two = _files(spark, sf).filter("doc_id % 3 = 0").select(F.concat(F.lit("/data/pdfs/"), "pdf_filename").alias("path"), "pdf_filename")
+    return catalog.best_path(wanted, one.unionByName(two).distinct())
+
+
+@query
+def figure_gate(spark, sf):
+    c = views.chunks(spark, sf, False)
+    boxes = c.select("pdf_filename", "page_number", F.col("chunk_id").alias("box_id"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("doc_id") % 60 * 10.0).alias("x1"), (F.length("content") % 700 * 1.0).alias("y1"))
+    return layout.worth_analysing(boxes).select("pdf_filename", "box_id", "area_share", "place")
+
+
+@query
+def toc_continuation(spark, sf):
+    return views.chunks(spark, sf, False).select("doc_id", layout.continues_toc(F.col("content")).alias("continues"))
+
+
+@query
+def page_range_parse(spark, sf):
+    t = F.concat(F.col("doc_id") % 17, F.when(F.col("doc_id") % 5 == 0, "x").otherwise("-"), F.col("doc_id") % 13)
+    return views.chunks(spark, sf, False).select("doc_id", pages.parsed_range(t).alias("r")).select("doc_id", F.coalesce("r.first", F.lit(-1)).alias("first"), F.coalesce("r.last", F.lit(-1)).alias("last"))
+
+
+@query
+def file_sizes(spark, sf):
+    return views.chunks(spark, sf, False).select("doc_id", pages.file_size(F.length("content").cast("bigint") * F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 1000).otherwise(1000000)).alias("size"))
+
+
+@query
+def caption_titles(spark, sf):
+    caption = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Figure "), F.col("doc_id"), F.lit(": "), X.first_words(F.col("content"), 4))).when(F.col("doc_id") % 4 == 1, X.first_words(F.col("content"), 4)).when(F.col("doc_id") % 4 == 2, "")
+    return views.chunks(spark, sf, False).select("doc_id", chunking.caption_title(caption, F.lit("figure"), F.col("page_number")).alias("title"))
+
+
+@query
+def column_geometry(spark, sf):
+    spans = views.chunks(spark, sf, False).select("pdf_filename", "page_number", (F.length("content") % 23 * 25.0).alias("x0"))
+    return layout.column_gaps(spans).select("pdf_filename", "page_number", "column_count", F.size("gaps").cast("bigint").alias("n_gaps"), F.coalesce(F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x), F.lit(0.0)).alias("total_gap"))
+
+
+@query
+def span_lines(spark, sf):
+    spans = views.chunks(spark, sf, False).select("pdf_filename", (F.col("page_number") % 4).alias("page_number"), "doc_id", (F.col("doc_id") * 7 % 101 * 3.0).alias("y0"), F.col("doc_id").cast("double").alias("x0"))
+    return layout.lines_of_spans(spans).select("doc_id", F.col("line").cast("bigint").alias("line"))
+
+
+@query
+def guessed_titles(spark, sf):
+    b = views.blocks(spark, sf).select(F.col("doc_id").cast("string").alias("pdf_filename"), (F.col("line") + 1).alias("place"), "content", F.lit(12.0).alias("font_size"))
+    return chunking.guessed_title(b)
+
+
+@query
+def answer_choice(spark, sf):
+    from marginalia.sources import providers
+
+    t = views.turns(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.explode(F.array(F.struct(F.lit(1).alias("answer"), F.col("user_message").alias("text"), F.when(F.col("conv_id") % 2 == 0, "medium").otherwise("low").alias("confidence")), F.struct(F.lit(2).alias("answer"), F.col("assistant_response").alias("text"), F.when(F.col("turn") % 4 == 1, "High").otherwise("low").alias("confidence")))).alias("a")).select("query_id", "a.*")
+    return providers.pick_by_confidence(t)
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return fused_pipeline(spark, sf)

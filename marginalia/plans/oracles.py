@@ -251,4 +251,15 @@ k AS (SELECT *, tokens <= 5000 OR near OR (last_summary IS NOT NULL AND since <
     "paragraph_positions": rf"WITH {CHUNKS}, p AS (SELECT pdf_filename, doc_id AS page_number, [t for t in [{squashed('x')} for x in string_split(content, chr(10))] if length(t) > 50 OR (length(t) > 20 AND contains(t, '.'))] AS l FROM chunks), e AS (SELECT *, unnest(generate_series(1, len(l))) AS i FROM p) SELECT pdf_filename, page_number, i - 1 AS paragraph_index, l[i] AS text, round(72.0::DOUBLE + (i - 1) * CASE WHEN len(l) > 1 THEN 648.0::DOUBLE / len(l) ELSE 324.0::DOUBLE END, 6) AS y0 FROM e",
     "toc_page_signals": rf"WITH {CHUNKS}, t AS (SELECT doc_id, regexp_replace(lower(content), '[ \t]', '', 'g') AS t FROM chunks) SELECT doc_id, CASE WHEN contains(t, 'contents') THEN 10 ELSE regexp_matches(t, '[a-z]+\.{{2,}}\d+')::INT + (len([x for x in regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') if regexp_full_match(x, '\d{{1,3}}')]) > 5)::INT + regexp_matches(t, '\d\.\d')::INT + contains(t, 'appendix')::INT + regexp_matches(t, '\d\.')::INT + contains(t, 'acknowledgements')::INT + contains(t, 'bibliography')::INT + contains(t, 'references')::INT END AS signals FROM t",
     "html_paragraphs": rf"WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)<(?:p|h1)>(.*?)</(?:p|h1)>', 1) AS l FROM pages), e AS (SELECT *, unnest(generate_series(1, len(l))) AS i FROM p) SELECT page_id, i - 1 AS at, {squashed("regexp_replace(l[i], '<[^>]*>', ' ', 'g')")} AS text FROM e",
+    "valid_names": f"WITH {CHUNKS} SELECT 'src' || item_id AS pdf_filename, ('src' || item_id) IN (SELECT pdf_filename FROM chunks) AS found FROM benchmark",
+    "best_path": f"WITH {FILES}, f AS (SELECT '/data/' || CASE doc_id % 4 WHEN 0 THEN collection WHEN 1 THEN upper(collection) WHEN 2 THEN 'elsewhere' ELSE 'pdfs' END || '/' || pdf_filename AS path, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 5 END AS place, pdf_filename FROM files UNION SELECT '/data/pdfs/' || pdf_filename, 5, pdf_filename FROM files WHERE doc_id % 3 = 0) SELECT collection, w.pdf_filename, arg_min(f.path, (f.place, f.path)) AS path FROM files w JOIN f ON f.pdf_filename = w.pdf_filename GROUP BY 1, 2",
+    "figure_gate": f"WITH {CHUNKS}, b AS (SELECT pdf_filename, page_number, chunk_id AS box_id, round((doc_id % 60 * 10.0::DOUBLE) * (length(content) % 700 * 1.0::DOUBLE) / (612.0::DOUBLE * 792.0::DOUBLE), 6) AS area_share FROM chunks) SELECT pdf_filename, box_id, area_share, place FROM (SELECT *, row_number() OVER (PARTITION BY pdf_filename ORDER BY page_number, box_id) AS place FROM b WHERE area_share >= 0.15) WHERE place <= 20",
+    "toc_continuation": rf"WITH {CHUNKS}, t AS (SELECT doc_id, regexp_replace(lower(content), '[ \t]', '', 'g') AS t FROM chunks) SELECT doc_id, contains(t, 'appendix')::INT + regexp_matches(t, '\.{{3,}}')::INT + (len([x for x in regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') if regexp_full_match(x, '\d{{1,3}}')]) > 3)::INT + {holds('t', ['acknowledgements', 'bibliography', 'references', 'index'])}::INT + regexp_matches(t, '\d:')::INT >= 2 AS continues FROM t",
+    "page_range_parse": f"WITH {CHUNKS} SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 17 < doc_id % 13 THEN doc_id % 17 ELSE -1 END AS first, CASE WHEN doc_id % 5 <> 0 AND doc_id % 17 < doc_id % 13 THEN doc_id % 13 ELSE -1 END AS last FROM chunks",
+    "file_sizes": rf"WITH {CHUNKS}, n AS (SELECT doc_id, length(content) * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END AS n FROM chunks), l AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1024 ** 2 THEN 1 WHEN n < 1024 ** 3 THEN 2 ELSE 3 END AS k FROM n) SELECT doc_id, regexp_replace(printf('%.2f', round(n / 1024.0::DOUBLE ** k, 2)), '\.?0+$', '') || ' ' || (['Bytes', 'KB', 'MB', 'GB'])[k + 1] AS size FROM l",
+    "caption_titles": f"WITH {CHUNKS} SELECT doc_id, CASE WHEN doc_id % 4 < 2 AND {first_words('content', 4)} <> '' THEN {first_words('content', 4)} ELSE 'Figure on page ' || page_number END AS title FROM chunks",
+    "column_geometry": f"WITH {CHUNKS}, x AS (SELECT DISTINCT pdf_filename, page_number, length(content) % 23 * 25.0::DOUBLE AS x0 FROM chunks), s AS (SELECT *, x0 - lag(x0) OVER (PARTITION BY pdf_filename, page_number ORDER BY x0) AS step FROM x) SELECT pdf_filename, page_number, count(*) FILTER (step > 50) + 1 AS column_count, count(*) FILTER (step > 20) AS n_gaps, coalesce(sum(step) FILTER (step > 20), 0) AS total_gap FROM s GROUP BY 1, 2",
+    "span_lines": f"WITH {CHUNKS}, x AS (SELECT pdf_filename, page_number % 4 AS p, doc_id, doc_id * 7 % 101 * 3.0::DOUBLE AS y0 FROM chunks), s AS (SELECT *, coalesce((y0 - lag(y0) OVER (PARTITION BY pdf_filename, p ORDER BY y0, doc_id) > 5)::INT, 0) AS b FROM x) SELECT doc_id, sum(b) OVER (PARTITION BY pdf_filename, p ORDER BY y0, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS line FROM s",
+    "guessed_titles": f"WITH {BLOCKS} SELECT pdf_filename, title FROM (SELECT doc_id::VARCHAR AS pdf_filename, content AS title, row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, line) AS n FROM blocks WHERE line < 10) WHERE n = 1",
+    "answer_choice": f"WITH {TURNS} SELECT conv_id || '-' || turn AS query_id, CASE WHEN turn % 4 = 1 THEN assistant_response ELSE user_message END AS text, CASE WHEN turn % 4 = 1 THEN 'High' WHEN conv_id % 2 = 0 THEN 'medium' ELSE 'low' END AS confidence FROM turns",
 }
