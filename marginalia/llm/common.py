@@ -150,7 +150,7 @@ _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_kept_powers["up"]) < n:
-        size = 1 << int(n).bit_length()
+        size = (n + (1 << 18)) >> 18 << 18
         _kept_powers["up"] = powers(size)
         down = np.full(size, _INVERSE, np.uint64)
         down[0] = 1

@@ -22,11 +22,11 @@ from .common import BYTE_CODE, _power_tables, checkpointed, mixed, pieces, span_
 from .induced import Room, descending
 
 #: Bytes of a string that counts, of the strings whose hashes place segments, and of a shard about.
-LENGTH, GRAM, SHARD_BYTES = 400, 32, 6 << 20
+LENGTH, GRAM, SHARD_BYTES = 400, 32, 3 << 19
 #: Bytes of text for each part of the table that texts are kept in.
 PART_BYTES = 24 << 20
 #: Memory for one shard's tuples; what goes beyond is on disk.
-MEMORY = 192 << 20
+MEMORY = 64 << 20
 
 SEGMENTS = "h bigint, seg bigint, key binary, start int, stop int, copies bigint, twice boolean"
 
@@ -70,7 +70,7 @@ def segments(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
 
 
 def _segment_rows(batches, length: int, gram: int):
-    for part in pieces(batches, "text"):
+    for part in pieces(batches, "text", 2 << 20):
         raw, at = utf8(part.column(1))
         h, start, stop, doc, twice = segments(raw, at, length, gram)
         if not len(h):
@@ -175,7 +175,7 @@ def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _rest(batches, digest: bool):
     """What remains of each text: rows (key, text, spans as a list or null)."""
-    for part in pieces(batches, "text"):
+    for part in pieces(batches, "text", 2 << 20):
         data = [(x or "").encode() for x in part.column(1).to_pylist()]
         lists = part.column(2)
         offsets, inner = lists.offsets.to_numpy(), lists.flatten()
