@@ -112,6 +112,9 @@ def mixed_sources(docs: DataFrame, seed: int = 1, block: int = BLOCK, shard: int
     upto = Window.partitionBy("source").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     drawn = drawn.withColumn("_first", F.sum("_count").over(upto) - F.col("_count")).filter("_count > 0")
 
+    # A row for each source and shard makes many slots: the rows are dealt out before that.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = drawn.select("source", "_k", "_blocks", "_first", "_count").repartition(parts, "source", "_k")
     slot = F.col("_slot")
     turn, inside = F.floor(slot / F.col("_blocks")), slot % F.col("_blocks")
     taken_blocks = (
@@ -128,7 +131,7 @@ def mixed_sources(docs: DataFrame, seed: int = 1, block: int = BLOCK, shard: int
     pieces = placed.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_begin") / block), F.floor((F.col("_end") - 1) / block)))).select(F.xxhash64("source").alias("_source"), "_block", "source", "doc_id", "size", "_begin", "_end")
     overlap = F.least(F.col("_end"), (F.col("_block") + 1) * block) - F.greatest(F.col("_begin"), F.col("_block") * block)
     rows = (
-        pieces.join(taken_blocks, ["_source", "_block"], "left")
+        pieces.join(taken_blocks.hint("merge"), ["_source", "_block"], "left")
         .withColumn("_taken", overlap * F.coalesce(F.col("_times"), F.lit(0)))
         .groupBy("source", "doc_id", "size", "_begin").agg(F.sum("_taken").alias("taken"))
         .select("source", "doc_id", "size", "taken")
