@@ -57,9 +57,10 @@ def shared_folder(spark: SparkSession) -> str:
     return jvm_dir.get()
 
 
-def written(df: DataFrame, key: str | None = None, parts: int = 1) -> DataFrame:
+def written(df: DataFrame, key: str | None = None, parts: int = 1, dealt: bool = False) -> DataFrame:
     """`df` as a Parquet table in the shared folder, with its lineage cut; with a key, bucketed by it, so
-    that joins and groupings by the key don't move its rows. The folder goes when the session's process ends."""
+    that joins and groupings by the key don't move its rows; `dealt` says that the rows are dealt by the key
+    to a number of partitions of which `parts` is a divisor. The folder goes when the session's process ends."""
     global _tables
     spark = df.sparkSession
     _tables += 1
@@ -69,7 +70,7 @@ def written(df: DataFrame, key: str | None = None, parts: int = 1) -> DataFrame:
     if key is None:
         df.write.parquet(path)
         return spark.read.parquet(path)
-    df.repartition(parts, key).write.format("parquet").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(name)
+    (df if dealt else df.repartition(parts, key)).write.format("parquet").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(name)
     return spark.table(name)
 
 

@@ -23,8 +23,6 @@ from .induced import Room, descending
 
 #: Bytes of a string that counts, of the strings whose hashes place segments, and of a shard about.
 LENGTH, GRAM, SHARD_BYTES = 400, 32, 3 << 19
-#: Bytes of text for each part of the table that texts are kept in.
-PART_BYTES = 24 << 20
 #: Memory for one shard's tuples; what goes beyond is on disk.
 MEMORY = 64 << 20
 
@@ -213,9 +211,9 @@ def covered_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(key, text, copies) of the distinct texts, null as empty: a bucketed table, so that joins by key move no text again."""
-    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text"))).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    return written(texts, "key", max(1, -(-n // PART_BYTES)))
+    # The grouping deals rows by key to this many partitions, each of which becomes one bucket as it is.
+    return written(texts, "key", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt=True)
 
 
 def remainders(docs: DataFrame, digest: bool, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
