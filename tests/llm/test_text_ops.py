@@ -198,6 +198,15 @@ def test_classes_against_all_pairs(spark, sf, odd, none):
     assert neardup.one_of_each(odd).count() == len(ODD) - 2
 
 
+def test_all_of_a_large_bucket_meet(spark):
+    # All shingles that the last two texts share lie in a header that hundreds of texts have.
+    head = " ".join(f"h{k}" for k in range(60))
+    docs = [(i, head + " " + " ".join(f"d{i}x{k}" for k in range(40))) for i in range(400)]
+    docs += [(400 + i, head + " " + " ".join(f"same{k}" if k % 2 else f"e{i}x{k}" for k in range(40))) for i in range(2)]
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert found == {i: min(i, 400) for i in range(402)}
+
+
 # Classifiers.
 
 
