@@ -207,6 +207,20 @@ def test_all_of_a_large_bucket_meet(spark):
     assert found == {i: min(i, 400) for i in range(402)}
 
 
+def test_near_texts_meet(spark):
+    rng, docs, wanted = random.Random(5), [], {}
+    cases = [(n, int(0.2 * n)) for n in (6, 7, 9, 12, 16, 19, 20, 24, 50, 100, 300)] * 12
+    for k, (n, edits) in enumerate(cases):
+        a = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        b = list(a)
+        for i in [n // 2] if edits == 1 else rng.sample(range(n), edits):
+            b[i] = f"v{rng.randrange(10**9)}"
+        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        wanted |= {2 * k: 2 * k, 2 * k + 1: 2 * k}
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert found == wanted
+
+
 # Classifiers.
 
 
