@@ -142,13 +142,15 @@ def mixed_sources(docs: DataFrame, seed: int = 1, block: int = BLOCK, shard: int
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each comes taken / size times, rounded half up, and at most twice; those that come no time go.
+    """The mix as documents: each comes taken / size times, and at most twice; those that come no time go. The fraction
+    is rounded up with its own chance, by a hash of the row, so that a source's expected words are those taken at any length.
 
     A document that the mix takes a part of is whole, as its blocks' words only count it. A text
     without words stays once, as the mix has no say on it. Rows that repeat doc_id, source and text
     come as often as the mix takes the first of them. All columns stay.
     """
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "source", "size"), F.lit(1 << 40)) / float(1 << 40)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size")) + (F.pmod(F.col("taken"), F.col("size")) / F.col("size") > chance).cast("int")).cast("int")
     taken = mixed_sources(docs, **options).groupBy("doc_id", "source", "size").agg(F.max(times).alias("__times")).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__times").filter("__times > 0")
     sized = docs.withColumn("__words", word_count(F.col("text")))
     joined = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))

@@ -124,3 +124,12 @@ def test_mix_of_odd_rows(odd, none):
     assert len(rows) == len(ODD) and all(r.taken <= 2 * r["size"] for r in rows)
     assert mixing.mixed_sources(none).count() == 0
     assert set(mixing.mixed_documents(odd).columns) == set(odd.columns)
+
+
+def test_mixed_documents_keep_the_targets_of_long_texts(spark):
+    docs = spark.range(1200).select("id", F.when(F.col("id") % 5 == 0, "a").when(F.col("id") % 5 < 4, "b").otherwise("c").alias("source")).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.concat(F.lit("w"), F.col("id"), F.lit("x"), i))).alias("text"), "source")
+    targets = {r.source: r.target for r in mixing.mixed_sources(docs).select("source", "target").distinct().collect()}
+    found = {r.source: 1000 * r["count"] for r in mixing.mixed_documents(docs).groupBy("source").count().collect()}
+    assert {s: found.get(s, 0) for s in targets} == pytest.approx(targets, rel=0.05)
+    most = mixing.mixed_documents(docs).groupBy("doc_id").count().agg(F.max("count")).first()[0]
+    assert most <= 2
