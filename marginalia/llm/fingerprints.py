@@ -3,6 +3,8 @@
 A fingerprint holds every hash of a five-word shingle that lies below 1/`SCALE` of the hash range,
 as sorted hexadecimal numbers. As the threshold is the same for all texts, fingerprints can be
 merged by union, and the share of one in another estimates containment however unequal the texts.
+Where one of two fingerprints holds fewer than `SMALL` hashes, as those of short texts do, the texts are compared
+by all their shingles instead.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 SHINGLE_WORDS, SCALE = 5, 4
+#: Hashes below which a fingerprint is too small to compare by.
+SMALL = 8
 #: Neighbouring documents in a bucket when the table is dealt by doc_id, and buckets in a group of them.
 BUCKET, FANOUT = 256, 1024
 
@@ -39,16 +43,22 @@ def printed(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of all shingles of both that both have; two equal sketches are alike even if empty."""
+    """Share of all hashes of both that both have; two equal sets are alike even if empty."""
     both = F.size(F.array_intersect(a, b))
     return F.when(a == b, 1.0).otherwise(F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)), F.lit(1.0))).cast("double")
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 1 if a has none."""
+    """Share of a's hashes that b has; 1 if a has none."""
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0)), F.lit(1.0)).cast("double")
 
 
+def compared(by, a: Column, b: Column, a_text: Column, b_text: Column, words: int = SHINGLE_WORDS) -> Column:
+    """`by` of two sketches, or of all the texts' shingles where a sketch is small; 1 for equal texts."""
+    every = lambda text: F.array_distinct(shingle_hashes(text, words))
+    return F.when(a_text == b_text, 1.0).when(F.least(F.size(a), F.size(b)) < SMALL, by(every(a_text), every(b_text))).otherwise(by(a, b))
+
+
 def dealt(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The rows dealt by `_bucket`, a range of doc_id that holds about `bucket` rows; -1 for a null."""
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
@@ -91,11 +101,13 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, scale: int = SCALE
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     rows = (
         own.withColumn("n_chars", F.length("text").cast("bigint"))
-        .withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.coalesce("_next", "_after"), F.lit(1), quarter)))
-        .select("doc_id", "n_chars", "_sketch", F.coalesce("_next_sketch", sketch(F.col("_after"), words, scale)).alias("_next_sketch"), F.sha2("_edited", 256).alias("edited_sha256"), sketch(F.col("_edited"), words, scale).alias("_edited_sketch"))
+        .withColumn("_next", F.coalesce("_next", "_after"))
+        .withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring("_next", F.lit(1), quarter)))
+        .select("doc_id", "n_chars", "text", "_edited", "_next", "_sketch", F.coalesce("_next_sketch", sketch(F.col("_after"), words, scale)).alias("_next_sketch"), F.sha2("_edited", 256).alias("edited_sha256"), sketch(F.col("_edited"), words, scale).alias("_edited_sketch"))
     )
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", printed(F.col("_sketch")).alias("fingerprint"), printed(F.col("_edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("_sketch"), F.col("_edited_sketch")).alias("near_edited"), likeness(F.col("_sketch"), F.col("_next_sketch")).alias("near_next"),
-        containment(F.col("_sketch"), F.col("_edited_sketch")).alias("contained_in_edited"),
+        compared(likeness, F.col("_sketch"), F.col("_edited_sketch"), F.col("text"), F.col("_edited"), words).alias("near_edited"),
+        compared(likeness, F.col("_sketch"), F.col("_next_sketch"), F.col("text"), F.col("_next"), words).alias("near_next"),
+        compared(containment, F.col("_sketch"), F.col("_edited_sketch"), F.col("text"), F.col("_edited"), words).alias("contained_in_edited"),
     )

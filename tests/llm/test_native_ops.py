@@ -73,6 +73,19 @@ def test_likeness_estimates_jaccard(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_short_texts_are_compared_whole(spark):
+    docs = [(k, " ".join(f"w{(k // 2) * 7 + i}" for i in range(3 + k % 9)), "en", "s", 1) for k in range(120)]
+    rows = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(docs, DOCS)).collect()}
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(max(1, len(w) - 4))}
+    for k, text, *_ in docs:
+        after = docs[(k + 1) % len(docs)][1]
+        q = len(text) // 4
+        own, edited, following = shingles(text), shingles(text[: len(text) - q] + after[:q]), shingles(after)
+        assert rows[k].near_edited == pytest.approx(len(own & edited) / len(own | edited))
+        assert rows[k].near_next == pytest.approx(len(own & following) / len(own | following))
+        assert rows[k].contained_in_edited == pytest.approx(len(own & edited) / len(own))
+
+
 def level(sizes, weights, share=1.5, most=2.0):
     """Targets by sharing again and again."""
     total, targets, open_ = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
