@@ -167,14 +167,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> bytes:
     The bound is the same for any input, so the sample fits on the driver. Equal texts count once.
     """
     known = docs.filter(learned(F.col("doc_id"), _HELD, _OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    pick = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), "doc_id")
+    # Copies are one text before anything is counted, drawn or ranked.
+    pick = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h")).distinct()
     languages = pick.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # A threshold on the hash keeps about twice the sample, whatever the language's size, before the exact top.
     share = languages.select(F.col("lang").alias("l"), (2.0 * sample / F.col("n")).alias("share"))
     unit = (F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40))
-    few = pick.join(share, F.col("lang") == F.col("l")).filter(unit <= F.col("share")).select("lang", "h", "doc_id")
-    turn = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = few.withColumn("r", F.row_number().over(turn)).filter(F.col("r") <= sample).select(F.col("h").alias("_h"), F.col("lang").alias("_l")).distinct()
+    few = pick.join(share, F.col("lang") == F.col("l")).filter(unit <= F.col("share")).select("lang", "h")
+    turn = Window.partitionBy("lang").orderBy("h")
+    chosen = few.withColumn("r", F.row_number().over(turn)).filter(F.col("r") <= sample).select(F.col("h").alias("_h"), F.col("lang").alias("_l"))
     texts = known.withColumn("_k", F.xxhash64("text")).join(F.broadcast(chosen), (F.col("_k") == F.col("_h")) & (F.col("lang") == F.col("_l")))
     rows = texts.groupBy("_l", "_k").agg(F.min("text").alias("text")).select("_l", "text").toPandas()
     return pickle.dumps(Model({lang: sorted(g["text"]) for lang, g in rows.groupby("_l")}))

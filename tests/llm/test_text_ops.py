@@ -235,6 +235,16 @@ def test_language(spark, sf, odd, none):
     assert langid.languages(none).count() == 0
 
 
+def test_language_sample_counts_copies_once(spark, monkeypatch):
+    copies = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("the same text again and again").alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(4000, 4040).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("en").alias("lang"))
+    seen = {}
+    monkeypatch.setattr(langid, "Model", lambda texts: seen.update(texts))
+    langid.train(copies.union(others), 30)
+    wanted = {r.text for r in copies.union(others).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    assert len(wanted) > 30 == len(seen["en"]) == len(set(seen["en"])) and set(seen["en"]) <= wanted
+
+
 def test_kneser_ney_sums_to_one():
     model = langid.Model({"x": ["abca bcab cabc", "aab"], "y": ["zzz yyy zyx"]})
     contexts = np.unique(model.grams(model.codes(langid.fold(["abca"])[0]), 3)).astype(np.uint32)
