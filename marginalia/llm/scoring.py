@@ -8,8 +8,8 @@ before it, which is counted over the whole corpus. Texts are laid out in blocks:
 to itself and the block before, so that windows overlap by half and every id is scored once.
 
 Counts come from all words of all training texts. The attention weights are trained by local steps of
-Adam on all partitions of a fixed share of the training texts' passages, averaged after each round, so
-what is learned from grows with the corpus.
+Adam on all partitions over every passage of the training texts, once a round at any size, averaged
+after each round.
 """
 
 from __future__ import annotations
@@ -30,9 +30,8 @@ _HELD, _OUT = 7, 2
 PART_BYTES = 12 << 20
 #: Width of the layer, tokens of a block, classes of word-initial and of other ids, and ids with an embedding of their own.
 WIDTH, SPAN, HEADS, INNER, OWN = 16, 16, 40, 87, 2048
-#: One passage of `PASSAGE` words in so many is trained on, in `ROUNDS` rounds over batches of `BATCH` passages; a
-#: partition of few passages goes over them again until it has made `STEPS` steps in a round.
-EVERY, PASSAGE, ROUNDS, BATCH, RATE, STEPS = 24, 48, 3, 8, 1e-2, 200
+#: Texts are trained on in passages of `PASSAGE` words, each once in each of `ROUNDS` rounds, in batches of `BATCH` passages.
+PASSAGE, ROUNDS, BATCH, RATE = 48, 1, 16, 1e-2
 #: Words that a worker keeps the ids of, and bytes of text that are worked on at once.
 KEEP_WORDS, PIECE = 200_000, 2 << 20
 #: Hash buckets that a neighbour id is counted by, to group ids into classes.
@@ -276,8 +275,7 @@ class Scorer:
         w = {n: x.copy() for n, x in self.weights.items()}
         m, v = ({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2))
         rng, seen = np.random.default_rng(seed), 0
-        again = -(-STEPS // -(-len(passages) // BATCH))
-        turn = np.concatenate([rng.permutation(len(passages)) for _ in range(again)])
+        turn = rng.permutation(len(passages))
         total = -(-len(turn) // BATCH)
         for t, k in enumerate(range(0, len(turn), BATCH), 1):
             batch = [passages[i] for i in turn[k : k + BATCH]]
@@ -294,7 +292,7 @@ class Scorer:
 
 
 def _passages(batches, path: str):
-    """Ids of the passages that are trained on: one in `EVERY` of each training text's, picked by a hash."""
+    """Ids of the passages that are trained on: all of each training text's."""
     coder = encoder(path)
     for part in pieces(batches, "text", PIECE):
         part = part.filter(part.column(1))
@@ -310,11 +308,12 @@ def _passages(batches, path: str):
         stop = np.minimum(start + PASSAGE, first[1:][doc])
         if not len(start):
             continue
-        pick = mixed(span_hashes(raw, begin[start], end[stop - 1]) + np.uint64(SEED)) % np.uint64(EVERY) == 0
-        data, rows = raw.tobytes(), []
-        words = [[data[a:b].decode() for a, b in zip(begin[i:j].tolist(), end[i:j].tolist())] for i, j in zip(start[pick].tolist(), stop[pick].tolist())]
-        ids, sizes = _ids(coder, [w for x in words for w in x])
-        cut = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum([len(x) for x in words]))).astype(int)]
+        _, one, which = np.unique(span_hashes(raw, begin, end), return_index=True, return_inverse=True)
+        data = raw.tobytes()
+        ids, sizes = _ids(coder, [data[a:b].decode() for a, b in zip(begin[one].tolist(), end[one].tolist())])
+        each = sizes[which]
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[which], each) + ranges(each)]
+        cut = np.concatenate(([0], np.cumsum(each)))[np.append(start, stop[-1])]
         rows = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.astype(np.int32)))
         yield pa.RecordBatch.from_arrays([rows], names=["ids"])
 
@@ -322,13 +321,20 @@ def _passages(batches, path: str):
 def _train(batches, shared, turn: int):
     """One row: the summed weights of this partition's steps, weighed by the ids seen."""
     model = pickle.loads(shared.value)
-    passages = [np.array(x, np.int64) for b in batches for x in b.column(0).to_pylist() if x and len(x) > 1]
+    passages = []
+    for b in batches:
+        ids, cut = b.column(0).values.to_numpy(), b.column(0).offsets.to_numpy()
+        passages += [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()) if j - i > 1]
     if passages:
         w, seen = model.steps(passages, turn)
         flat = np.concatenate([w[n].reshape(-1) for n in sorted(w)]).astype(np.float64) * seen
         yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([seen])], names=["weights", "seen"])
 
 
+def _train_texts(batches, path: str, shared, turn: int):
+    return _train(_passages(batches, path), shared, turn)
+
+
 def _sum(batches):
     flat, seen = None, 0
     for b in batches:
@@ -339,13 +345,13 @@ def _sum(batches):
         yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([seen])], names=["weights", "seen"])
 
 
-def train_weights(model: Scorer, passages: DataFrame, rounds: int = ROUNDS) -> None:
-    """Rounds of local steps; a partition's weights are summed with others' in two levels, so the driver gets a few rows."""
-    context = passages.sparkSession.sparkContext
+def train_weights(model: Scorer, texts: DataFrame, path: str, rounds: int = ROUNDS) -> None:
+    """Rounds of local steps over all passages, which are made from the texts again in each round; a partition's weights are summed with others' in two levels, so the driver gets a few rows."""
+    context = texts.sparkSession.sparkContext
     for turn in range(rounds):
         shared = context.broadcast(pickle.dumps(model))
         kind = "weights binary, seen bigint"
-        found = passages.mapInArrow(partial(_train, shared=shared, turn=turn), kind).repartition(6).mapInArrow(_sum, kind).toArrow()
+        found = texts.mapInArrow(partial(_train_texts, path=path, shared=shared, turn=turn), kind).repartition(6).mapInArrow(_sum, kind).toArrow()
         if not found.num_rows:
             return
         flat = sum(np.frombuffer(x.as_py(), np.float64) for x in found.column("weights")) / sum(found.column("seen").to_pylist())
@@ -428,8 +434,7 @@ def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     pairs = np.zeros((k, size + 1))
     pairs[found.column("before").to_numpy(), found.column("id").to_numpy() + 1] = found.column("n").to_numpy()
     model = Scorer(sides, initial, class_of, pairs[:, 1:], pairs[:, 0], n_ends)
-    passages = written(texts.select("block", "train", "text").mapInArrow(partial(_passages, path=path), "ids array<int>"))
-    train_weights(model, passages)
+    train_weights(model, texts.select("block", "train", "text"), path)
     shared = spark.sparkContext.broadcast(model)
     totals = (int(n_words + n_ends), int(n_types + (n_ends > 0)), int(n_ends))
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(partial(_score, path=path, shared=shared, totals=totals), SCORED)

@@ -291,6 +291,20 @@ def test_scores(spark, sf, odd, none):
     assert scoring.scores(odd).count() == len(ODD) and scoring.scores(none).count() == 0
 
 
+def test_all_passages_are_trained_on():
+    path = bpe.tokenizer_path()
+    texts = [" ".join(f"word{i} of{k}" for i in range(k)) for k in (1, 30, 200, 900)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 4), pa.array([True, True, False, True]), pa.array(texts)], names=["block", "train", "text"])
+    passages = [np.array(x) for b in scoring._passages([batch], path) for x in b.column(0).to_pylist()]
+    coder = bpe.encoder(path)
+    wanted = np.concatenate([scoring._ids(coder, words(texts[k]))[0] for k in (0, 1, 3)])
+    assert np.concatenate(passages).tolist() == wanted.tolist()
+    size, k = len(coder.bytes), 1 + scoring.HEADS + scoring.INNER
+    initial = np.array([x[:1] == b" " for x in coder.bytes])
+    m = scoring.Scorer(np.ones((size, scoring.SIDES)), initial, scoring._classes(np.ones((size, scoring.SIDES)), initial), np.ones((k, size)), np.ones(k), 3)
+    assert m.steps(passages, 0)[1] == m.steps(passages[:3], 0)[1] + m.steps(passages[3:], 0)[1] == sum(len(p) - 1 for p in passages)
+
+
 def test_scorer_gradients_and_sums():
     rng = np.random.default_rng(0)
     size = 50
