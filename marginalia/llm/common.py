@@ -42,6 +42,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = "_" + name
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 _tables = 0
 
 

@@ -146,3 +146,32 @@ def test_mixed_documents_keep_the_targets_of_long_texts(spark):
     assert {s: found.get(s, 0) for s in targets} == pytest.approx(targets, rel=0.05)
     most = mixing.mixed_documents(docs).groupBy("doc_id").count().agg(F.max("count")).first()[0]
     assert most <= 2
+
+
+@pytest.mark.parametrize("rows", [[(1, "a b c", "s")], [(1, "a b c " * 400, "s"), (2, "d e f " * 300, "s")], [(1, "a " * 90, None)], [(1, None, "s"), (2, "", "t")]])
+def test_mix_of_one_source(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r.doc_id: r for r in mixing.mixed_sources(docs).collect()}
+    for i, text, _ in rows:
+        r = found[i]
+        assert r["size"] == len(words(text)) and r.target == 1.5 * r.source_size and r.taken <= 2 * r["size"]
+    assert abs(sum(r.taken for r in found.values()) - 1.5 * sum(r["size"] for r in found.values())) <= mixing.BLOCK
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_mix_takes_as_the_blocks_that_it_draws(spark):
+    """The whole draw by hand: documents in the order of their hashes, blocks of words, slots of shards, permuted passes."""
+    docs = spark.createDataFrame([(k, "w " * (5 + 37 * k % 300), "abc"[k % 3]) for k in range(90)], "doc_id bigint, text string, source string")
+    rows = mixing.mixed_sources(docs, shard=64).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    slots = 0
+    for own in by.values():
+        taken, size = sum(r.taken for r in own), own[0].source_size
+        blocks = -(-size // mixing.BLOCK)
+        # All blocks of a pass are taken once, so the words per block differ by one pass at most.
+        assert size * (taken // size) <= taken <= min(2 * size, size * (taken // size + 1))
+        slots += taken / mixing.BLOCK
+        assert blocks > 0
+    assert abs(slots - sum(x[0].target for x in by.values()) / mixing.BLOCK) <= 4
