@@ -6,6 +6,10 @@ equal least hashes, so all places of a repeated string lie in segments of one ha
 hold no repeat. The distinct segments of the others are dealt to shards by hash, and each shard is
 sorted as one string by external induced sorting; neighbours that share 400 bytes, or a segment that
 stands for several, give the repeated windows. Their spans go back to all places of each segment.
+
+A hash whose segments are more than a shard's bytes, as that of a very common string, is split: its segments are cut
+again by further, independent least hashes of the same windows, one for each time that the bytes exceed
+a shard's twofold, and windows are sorted with those that agree in all of them.
 """
 
 from __future__ import annotations
@@ -18,34 +22,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, _power_tables, checkpointed, mixed, pieces, span_hashes, utf8, written
+from .common import BYTE_CODE, _power_tables, checkpointed, mixed, pieces, span_hashes, unused, utf8, written
 from .induced import Room, descending
 
 #: Bytes of a string that counts, of the strings whose hashes place segments, and of a shard about.
 LENGTH, GRAM, SHARD_BYTES = 400, 32, 3 << 19
-#: Memory for one shard's tuples; what goes beyond is on disk.
-MEMORY = 64 << 20
+#: Memory for one shard's tuples, less than those of an ordinary shard take; what goes beyond is on disk.
+MEMORY = 4 << 20
 
 SEGMENTS = "h bigint, seg bigint, key binary, start int, stop int, copies bigint, twice boolean"
 
 
-def segments(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """For each segment: its least hash, where it begins and ends, its text, and whether the hash is in it twice."""
-    window = length - gram + 1
+def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
+    """The hash of the `gram` bytes from each place on."""
     n = len(raw)
-    none = np.zeros(0, np.int64)
-    if n < length:
-        return none.astype(np.uint64), none, none, none, none.astype(bool)
     up, down = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_CODE[raw] * up[:n], out=sums[1:])
-    h = mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    return mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+
+
+def least_of(h: np.ndarray, window: int) -> np.ndarray:
+    """The least of each `window` hashes in a row."""
     least, size = h, 1
     while size * 2 <= window:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     if size < window:
         least = np.minimum(least[: len(least) - (window - size)], least[window - size :])
+    return least
+
+
+def segments(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """For each segment: its least hash, where it begins and ends, its text, and whether the hash is in it twice."""
+    window = length - gram + 1
+    none = np.zeros(0, np.int64)
+    if len(raw) < length:
+        return none.astype(np.uint64), none, none, none, none.astype(bool)
+    h = gram_hashes(raw, gram)
+    least = least_of(h, window)
     doc = np.repeat(np.arange(len(at) - 1), np.maximum(np.diff(at) - length + 1, 0))
     places = np.maximum(np.diff(at) - length + 1, 0)
     start = np.repeat(at[:-1], places) + np.arange(len(doc)) - np.repeat(np.cumsum(places) - places, places)
@@ -81,8 +96,20 @@ def _segment_rows(batches, length: int, gram: int):
         )
 
 
-def _cut(batches):
-    """The bytes of each segment of each text; rows (text, segments: array of (h, seg, weight, start, stop))."""
+def parted(raw: np.ndarray, levels: int, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A segment cut by `levels` further least hashes of its windows: a key, begin and end for each part."""
+    h, key = gram_hashes(raw, gram), np.zeros(len(raw) - length + 1, np.uint64)
+    for level in range(1, levels + 1):
+        key = mixed(key + least_of(mixed(h + np.uint64(level)), length - gram + 1))
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[head], head, np.append(head[1:], len(key)) - 1 + length
+
+
+CUT = "part bigint, h bigint, seg bigint, at int, weight bigint, bytes binary"
+
+
+def _cut(batches, length: int, gram: int):
+    """The bytes of each segment of each text; rows (text, segments: array of (h, seg, weight, levels, start, stop))."""
     for part in pieces(batches, "text"):
         raw, at = utf8(part.column(0))
         lists = part.column(1)
@@ -90,9 +117,19 @@ def _cut(batches):
         counts = np.diff(lists.offsets.to_numpy())
         base = np.repeat(at[:-1], counts)
         start, stop = inner.field("start").to_numpy() + base, inner.field("stop").to_numpy() + base
+        h, levels = inner.field("h").to_numpy(), inner.field("levels").to_numpy()
+        owner, keys, begin, end = [np.flatnonzero(levels == 0)], [h[levels == 0]], [start[levels == 0]], [stop[levels == 0]]
+        for k in np.flatnonzero(levels).tolist():
+            key, a, b = parted(raw[start[k] : stop[k]], int(levels[k]), length, gram)
+            owner.append(np.full(len(key), k)), keys.append(mixed(key ^ h[k : k + 1].view(np.uint64)).view(np.int64))
+            begin.append(a + start[k]), end.append(b + start[k])
+        owner, keys, begin, end = (np.concatenate(x) for x in (owner, keys, begin, end))
         data = raw.tobytes()
-        cut = pa.array([data[a:b] for a, b in zip(start.tolist(), stop.tolist())], pa.binary())
-        yield pa.RecordBatch.from_arrays([inner.field("h"), inner.field("seg"), inner.field("weight"), cut], names=["h", "seg", "weight", "bytes"])
+        cut = pa.array([data[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())
+        row = pa.array(owner)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys), inner.field("h").take(row), inner.field("seg").take(row), pa.array((begin - start[owner]).astype(np.int32)), inner.field("weight").take(row), cut], names=["part", "h", "seg", "at", "weight", "bytes"],
+        )
 
 
 def repeated_windows(parts: list[bytes], weight: np.ndarray, length: int = LENGTH, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,31 +171,31 @@ FOUND = "h bigint, seg bigint, spans array<struct<a:int,b:int>>"
 
 
 def _sort_shards(batches, length: int, memory: int, shard_bytes: int):
-    """Rows come sorted by h; all of one h go to the same shard."""
-    hashes, segs, weights, parts, held = [], [], [], [], 0
+    """Rows come sorted by part; all of one part go to the same shard."""
+    keys, hashes, segs, ats, weights, parts = held = [], [], [], [], [], []
 
     def flush():
-        if not parts:
-            return None
         owner, begin, end = repeated_windows(parts, np.array(weights), length, memory)
         keep, counts = np.unique(owner, return_counts=True)
-        spans = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["a", "b"])
+        shift = np.repeat(np.array(ats, np.int64)[keep], counts)
+        spans = pa.StructArray.from_arrays([pa.array((begin + shift).astype(np.int32)), pa.array((end + shift).astype(np.int32))], names=["a", "b"])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), spans)
         out = pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.int64)[keep]), pa.array(np.array(segs, np.int64)[keep]), lists], names=["h", "seg", "spans"])
-        for x in (hashes, segs, weights, parts):
+        for x in held:
             x.clear()
         return out
 
+    size = 0
     for batch in batches:
-        for h, seg, weight, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if held >= shard_bytes and h != hashes[-1]:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if size >= shard_bytes and row[0] != keys[-1]:
                 yield flush()
-                held = 0
-            hashes.append(h), segs.append(seg), weights.append(weight), parts.append(data)
-            held += len(data)
-    out = flush()
-    if out is not None:
-        yield out
+                size = 0
+            for column, x in zip(held, row):
+                column.append(x)
+            size += len(row[-1])
+    if parts:
+        yield flush()
 
 
 def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,14 +233,16 @@ def covered_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     """(key, spans): the covered spans of each distinct text (key, text, copies) that has any; they may overlap."""
     spark = texts.sparkSession
     rows = texts.select("key", "text", "copies").mapInArrow(partial(_segment_rows, length=length, gram=gram), SEGMENTS)
-    # One shuffle by the hash serves the count by hash and the grouping of equal segments.
-    shared = rows.withColumn("total", F.sum(F.col("copies") * F.when(F.col("twice"), 2).otherwise(1)).over(Window.partitionBy("h"))).filter("total > 1").drop("total", "twice")
+    # One shuffle by the hash serves the count by hash, its bytes and the grouping of equal segments.
+    own = Window.partitionBy("h")
+    total, held = F.sum(F.col("copies") * F.when(F.col("twice"), 2).otherwise(1)).over(own), F.sum((F.col("stop") - F.col("start")).cast("long")).over(own)
+    shared = rows.withColumns({"total": total, "levels": F.greatest(F.lit(0), F.ceil(F.log2(held / shard_bytes))).cast("int")}).filter("total > 1").drop("total", "twice")
     places = written(shared)
-    distinct = places.groupBy("h", "seg").agg(F.sum("copies").alias("weight"), F.min(F.struct("key", "start", "stop")).alias("at"))
-    by_text = distinct.groupBy("at.key").agg(F.collect_list(F.struct("h", "seg", "weight", F.col("at.start").alias("start"), F.col("at.stop").alias("stop"))).alias("segments"))
-    cut = texts.select("key", "text").join(by_text, "key").select("text", "segments").mapInArrow(_cut, "h bigint, seg bigint, weight bigint, bytes binary")
+    distinct = places.groupBy("h", "seg").agg(F.sum("copies").alias("weight"), F.max("levels").alias("levels"), F.min(F.struct("key", "start", "stop")).alias("at"))
+    by_text = distinct.groupBy("at.key").agg(F.collect_list(F.struct("h", "seg", "weight", "levels", F.col("at.start").alias("start"), F.col("at.stop").alias("stop"))).alias("segments"))
+    cut = texts.select("key", "text").join(by_text, "key").select("text", "segments").mapInArrow(partial(_cut, length=length, gram=gram), CUT)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    shards = cut.repartition(parts, "h").sortWithinPartitions("h", "seg")
+    shards = cut.repartition(parts, "part").sortWithinPartitions("part", "h", "seg", "at")
     found = written(shards.mapInArrow(partial(_sort_shards, length=length, memory=MEMORY, shard_bytes=shard_bytes), FOUND))
     spans = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
     return places.join(found, ["h", "seg"]).select("key", spans.alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -239,12 +278,14 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with what remains of their texts, and n_chars to match; a code point that lost bytes goes whole.
 
-    A null text stays null. All other columns stay as they were.
+    A null text stays null, an empty one empty. Copies and rows that repeat are places of their own, so all of them lose what
+    they share. All other columns stay as they were, whatever their names. An empty table gives no rows.
     """
-    rest = remainders(docs, False, length).select(F.col("key").alias("__key"), F.col("rest").alias("__rest"), F.col("n_removed").alias("__removed"))
-    marked = docs.withColumn("__at", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    changed = {"text": F.when(F.col("text").isNull() | (F.col("__removed") == 0), F.col("text")).otherwise(F.col("__rest"))}
+    own, key, kept, removed = unused(docs, "own", "key", "kept", "removed")
+    rest = remainders(docs, False, length).select(F.col("key").alias(key), F.col("rest").alias(kept), F.col("n_removed").alias(removed))
+    marked = docs.withColumn(own, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    whole = F.col("text").isNull() | (F.col(removed) == 0)
+    changed = {"text": F.when(whole, F.col("text")).otherwise(F.col(kept))}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("text").isNull() | (F.col("__removed") == 0), F.col("n_chars")).otherwise(F.length("__rest").cast(kind))
-    return marked.join(rest, F.col("__at") == F.col("__key")).select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
+    return marked.join(rest, F.col(own) == F.col(key)).select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))

@@ -3,7 +3,7 @@
 Suffixes are sorted from the order of the leftmost S-type ones (LMS): one ascending scan induces the
 L-type suffixes, one descending scan the S-type. Both scans are driven by a queue of tuples (symbol,
 position, common prefix with the tuple before it in the symbol's bucket) that is ordered by symbol and
-arrival, holds a bounded number of tuples in memory and the rest on disk. The common prefix of two
+arrival, holds a bounded number of tuples in memory and the rest on disk. Every string is sorted so, however short. The common prefix of two
 induced neighbours is one more than the least common prefix scanned between their sources. The LMS
 order comes from the same algorithm applied to the string of LMS substring names, until that fits in
 memory; names beyond the queue's symbol range are written as two digits. Work goes block by block in numpy, and every array as
@@ -19,8 +19,8 @@ import numpy as np
 
 from .common import cpu_local_dir
 
-#: Tuples of a block, symbols of one range of the queue, most symbols of a string, and names of a reduced string
-#: that is short enough to be sorted in memory; a longer one is induced from a further reduction.
+#: Tuples of a block, symbols of one range of the queue, most symbols of a string, and symbols of a reduced string
+#: (never of the text itself) that is short enough to be sorted in memory; a longer one is induced from a further reduction.
 BLOCK, RANGE, SYMBOLS, SHORT = 1 << 15, 64, 1 << 12, 1 << 21
 FAR = np.int32(1 << 30)
 
@@ -368,7 +368,7 @@ def lms_order(text: np.ndarray, s_type: np.ndarray, symbols: int, most: int, roo
     name[number] = np.cumsum(new) - 1
     names = int(new.sum())
     if names <= SYMBOLS:
-        rank, together = suffix_order(name.astype(np.int32), names, most, room)
+        rank, together = suffix_order(name.astype(np.int32), names, most, room, True)
         rank = np.array(rank, np.int64)
         together = np.array(together, np.int64)
     else:
@@ -376,7 +376,7 @@ def lms_order(text: np.ndarray, s_type: np.ndarray, symbols: int, most: int, roo
         base = 1 << -(-names.bit_length() // digits)
         columns = [name // base**d % base + 1 for d in range(digits - 1, -1, -1)]
         written = np.append(np.stack(columns, axis=1).reshape(-1), 0).astype(np.int32)
-        rank, together = suffix_order(written, base + 1, most * digits, room)
+        rank, together = suffix_order(written, base + 1, most * digits, room, True)
         rank, together = np.array(rank, np.int64), np.array(together, np.int64)
         head = np.flatnonzero((rank % digits == 0) & (rank < len(written) - 1))
         # Between two such suffixes the common prefix is the least on the way.
@@ -391,10 +391,10 @@ def lms_order(text: np.ndarray, s_type: np.ndarray, symbols: int, most: int, roo
     return sorted_lms, shared.astype(np.int32)
 
 
-def descending(text: np.ndarray, symbols: int, most: int, room: Room):
+def descending(text: np.ndarray, symbols: int, most: int, room: Room, reduced: bool = False):
     """Blocks of all suffixes in descending order, each with the common prefix it has with the one before,
-    at most `most`. The text's last symbol is 0 and is nowhere else."""
-    if len(text) <= SHORT:
+    at most `most`. The text's last symbol is 0 and is nowhere else; `reduced`: its symbols are names."""
+    if reduced and len(text) <= SHORT:
         order, shared = _short(text, most)
         yield order[::-1], np.append(shared[1:], 0)[::-1].astype(np.int32)
         return
@@ -403,10 +403,10 @@ def descending(text: np.ndarray, symbols: int, most: int, room: Room):
     yield from induce(text, s_type, symbols, seeds, shared, most, room)
 
 
-def suffix_order(text: np.ndarray, symbols: int, most: int, room: Room) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, symbols: int, most: int, room: Room, reduced: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in ascending order, and the common prefix of each with the one before."""
     spools = Spool(room, np.int32), Spool(room, np.int32)
-    for position, shared in descending(text, symbols, most, room):
+    for position, shared in descending(text, symbols, most, room, reduced):
         spools[0].append(position), spools[1].append(shared)
     position, shared = (x.array() for x in spools)
     return position[::-1], np.concatenate((np.zeros(1, np.int32), shared[::-1][:-1]))

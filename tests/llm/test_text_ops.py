@@ -112,6 +112,50 @@ def test_removed_repeats(spark, odd, none):
     assert exact.without_repeats(odd).columns == odd.columns
 
 
+def test_shards_of_the_query_are_induced_and_spooled(monkeypatch, spark, sf):
+    calls, files = [], []
+    induce, path = induced.induce, induced.Room.path
+    monkeypatch.setattr(induced, "induce", lambda text, *rest: calls.append(len(text)) or induce(text, *rest))
+    monkeypatch.setattr(induced.Room, "path", lambda room: files.append(path(room)) or files[-1])
+    text = " ".join(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text).encode()[:700_000]
+    parts = [text[k : k + 900] for k in range(0, len(text) - 900, 450)]
+    n = len(parts)
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array([1] * n), pa.array(range(n)), pa.array([0] * n), pa.array([1] * n), pa.array(parts, pa.binary())], names=["part", "h", "seg", "at", "weight", "bytes"])
+    found = {r["seg"]: [(x["a"], x["b"]) for x in r["spans"]] for b in exact._sort_shards([batch], 400, exact.MEMORY, exact.SHARD_BYTES) for r in b.to_pylist()}
+    # One text, far beyond the memory for tuples: sorted once for the names and once for the suffixes, from disk.
+    assert max(calls) > 900_000 and len(calls) >= 2 and len(files) > 3
+    count = Counter(p[i : i + 400] for p in parts for i in range(len(p) - 399))
+    for k, p in enumerate(parts):
+        hit = np.zeros(len(p), bool)
+        for i in range(len(p) - 399):
+            if count[p[i : i + 400]] > 1:
+                hit[i : i + 400] = True
+        got = np.zeros(len(p), bool)
+        for a, b in found.get(k, []):
+            got[a:b] = True
+        assert (hit == got).all()
+
+
+def test_large_groups_of_one_hash_are_split(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    common = " ".join(word() for _ in range(40))
+    texts = [" ".join(word() for _ in range(60)) + common + " ".join(word() for _ in range(60)) for _ in range(80)]
+    texts += [t[rng.randrange(100) :][:700] for t in texts[:30]]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    wanted = {hashlib.md5(t.encode()).digest(): (sum_, runs) for t, (sum_, runs, _) in zip(texts, brute_rest([t.encode() for t in texts], 400))}
+    found = {bytes(r.key): (r.n_removed, r.n_spans) for r in exact.remainders(docs, True, shard_bytes=3000).collect()}
+    assert found == wanted and any(n for n, _ in wanted.values())
+
+
+def test_clashing_names_of_the_stages(spark):
+    rows = [(1, "a b c d e f g h i j k l", 1, 2, 3, 4, 5), (1, "a b c d e f g h i j k l", 1, 2, 3, 4, 5), (2, "other words of a text that is here alone for now", 9, 8, 7, 6, 5)]
+    names = "doc_id bigint, text string, _own int, _KEY int, __node int, _times int, `_rest` int"
+    docs = spark.createDataFrame(rows, names)
+    assert sorted(map(tuple, exact.without_repeats(docs).collect())) == sorted(rows)
+    assert sorted(map(tuple, neardup.one_of_each(docs).collect())) == sorted(set(rows))
+
+
 # BPE.
 
 
