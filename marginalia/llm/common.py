@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -80,10 +81,26 @@ def written(df: DataFrame, key: str | None = None, parts: int = 1, dealt: bool =
     path = f"{shared_folder(spark)}/{name}"
     atexit.register(_remove, spark, path)
     if key is None:
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-    (df if dealt else df.repartition(parts, key)).write.format("parquet").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(name)
-    return spark.table(name)
+        df.write.option("compression", "zstd").parquet(path)
+        found = spark.read.parquet(path)
+    else:
+        (df if dealt else df.repartition(parts, key)).write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts, key).sortBy(key).saveAsTable(name)
+        found = spark.table(name)
+    found._cut = (path, name if key else None)
+    return found
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Removes tables that `written` made, once all that was made of them is written too. The driver's garbage collection
+    after it lets Spark's cleaner remove the shuffle files of ended queries, on all executors."""
+    spark = tables[0].sparkSession
+    for table in tables:
+        path, name = table._cut
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _remove(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
