@@ -54,6 +54,26 @@ def test_next_over_many_buckets(spark):
     check_fingerprints(fingerprints.fingerprints(spark.createDataFrame(docs, DOCS)).collect(), docs)
 
 
+def test_buckets_of_uneven_ids(spark):
+    ids = [*range(2000), 9 * 10**18, -(9 * 10**18), *range(10**12, 10**12 + 500)]
+    docs = [(k, f"text {k}", "en", "s", 1) for k in ids]
+    df = spark.createDataFrame(docs, DOCS)
+    sizes = [r["count"] for r in fingerprints.dealt(df, bucket=16, root=8).groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 120 and sum(sizes) == len(ids)
+    check_fingerprints(fingerprints.fingerprints(df).collect(), docs)
+
+
+def test_fingerprints_against_sql(spark, sf):
+    import duckdb
+
+    rows = fingerprints.fingerprints(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    names = list(rows.columns)
+    wanted = con.execute(f"SELECT {', '.join(names)} FROM ({fingerprints.ORACLE_SQL})").fetchall()
+    assert sorted(map(tuple, rows[names].itertuples(index=False))) == sorted(wanted)
+
+
 def test_likeness_estimates_jaccard(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = fingerprints.fingerprints(docs).collect()
