@@ -3,8 +3,8 @@
 One model of order `ORDER` per language, over letters folded to lower case with anything else as one
 boundary. Its n-grams are hashed; each order keeps sorted arrays of hashes with the discounted
 probability of the n-gram and the back-off weight of its context. A text goes to the language with the
-lowest cross-entropy per character; a text that no model explains as well as it explains its own
-training texts is marked as rejected, while the prediction stays the best one.
+lowest cross-entropy per character; a text that the best model explains worse than nearly all texts of its language that
+a model of the others was not fitted on is marked as rejected, while the prediction stays the best one.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from .common import learned, mixed, pieces, utf8
 ORDER, DISCOUNT = 4, 0.75
 #: Documents of each language that a model is trained on, at most: those with the least hash of their text.
 SAMPLE = 1500
-#: Share of a language's own training texts that may lie above its rejection threshold.
-REJECTED_SHARE = 0.001
-#: Characters that keep a code of their own; others share the last one.
-ALPHABET = 60
+#: Share of a language's texts outside a fit that may lie above its rejection threshold, and one text in so many that is outside.
+REJECTED_SHARE, FOLDS = 0.001, 4
+#: Bits of a letter's code, so that an n-gram is one 64-bit number: room for all letters of the training texts, of any script.
+BITS = 16
 #: Sharpness of the score: the softmax of minus the cross-entropy per character times this.
 SHARPNESS = 8.0
 
@@ -67,26 +67,40 @@ class Model:
         folded = {lang: fold(t) for lang, t in texts.items()}
         letters, counts = np.unique(np.concatenate([x for x, _ in folded.values()]) if folded else np.zeros(0, np.uint32), return_counts=True)
         counts, letters = counts[letters > 0], letters[letters > 0]
-        best = np.sort(letters[np.argsort(-counts, kind="stable")][: ALPHABET])
-        self.code = np.full(0x30000, ALPHABET + 1, np.uint8)
+        best = np.sort(letters[np.argsort(-counts, kind="stable")][: (1 << BITS) - 2])
+        self.size = len(best) + 2  # with the boundary and letters that no training text has
+        self.code = np.full(0x30000, len(best) + 1, np.uint16)
         self.code[0] = 0
-        self.code[best[best < len(self.code)]] = np.arange(1, np.count_nonzero(best < len(self.code)) + 1)
-        self.size = ALPHABET + 2
-        self.tables = {lang: self._fit(self.codes(x), begin, discount) for lang, (x, begin) in folded.items()}
-        self.limits = {}
-        for lang in self.languages:
-            entropy = self.entropies(*folded[lang])[:, self.languages.index(lang)] if texts[lang] else np.array([np.inf])
-            self.limits[lang] = float(np.quantile(entropy, 1 - REJECTED_SHARE))
+        self.code[np.minimum(best, len(self.code) - 1)] = np.arange(1, len(best) + 1)
+        self.tables, self.limits = {}, {}
+        for lang, (x, begin) in folded.items():
+            self.tables[lang] = self._fit(self.codes(x), begin, discount)
+            self.limits[lang] = self._limit(self.codes(x), begin, discount)
+
+    def _limit(self, codes: np.ndarray, begin: np.ndarray, discount: float) -> float:
+        """The entropy that all but a small share of a language's texts stay below in a fit on the others."""
+        n = len(begin)
+        if n < FOLDS:
+            return np.inf
+        number = np.repeat(np.arange(n), np.diff(np.append(begin, len(codes))))
+        out = number % FOLDS == 0
+        held, held_at = codes[out], np.flatnonzero(np.append(True, np.diff(number[out]) != 0)) if out.any() else begin[:0]
+        fitted = self._fit(codes[~out], np.flatnonzero(np.append(True, np.diff(number[~out]) != 0)), discount)
+        bits = -self._log2(fitted, self.grams(held, self.order))
+        bits[held_at] = 0
+        size = np.diff(np.append(held_at, len(held))) - 1
+        sums = np.add.reduceat(bits, held_at)[size > 0]
+        return float(np.quantile(sums / size[size > 0], 1 - REJECTED_SHARE)) if len(sums) else np.inf
 
     def codes(self, folded: np.ndarray) -> np.ndarray:
         return self.code[np.minimum(folded, len(self.code) - 1)]
 
     def grams(self, codes: np.ndarray, n: int) -> np.ndarray:
         """The number of the n-gram that ends at each place; places before the first read as boundaries."""
-        out = np.zeros(len(codes), np.uint32)
+        out = np.zeros(len(codes), np.uint64)
         for back in range(n - 1, -1, -1):
-            out = out * np.uint32(64)
-            out[back:] += codes[: len(codes) - back]
+            out <<= np.uint64(BITS)
+            out[back:] |= codes[: len(codes) - back]
         return out
 
     def _fit(self, codes: np.ndarray, begin: np.ndarray, d: float) -> list[tuple]:
@@ -96,51 +110,44 @@ class Model:
         found, counts = np.unique(self.grams(codes, self.order)[scored], return_counts=True)
         tables = []
         for n in range(self.order, 0, -1):
-            context = found // 64
+            context = found >> np.uint64(BITS)
             groups, where = np.unique(context, return_inverse=True)
             total = np.bincount(where, counts, len(groups))
             types = np.bincount(where, minlength=len(groups))
             p = np.maximum(counts - d, 0) / total[where]
             tables.append((*_sorted(found, p), *_sorted(groups, d * types / total)))
             # Kneser-Ney: a lower order counts the contexts that its n-gram follows.
-            low = found % np.uint32(64 ** (n - 1)) if n > 1 else found[:0]
+            low = found & _ends_with(n - 1) if n > 1 else found[:0]
             found, counts = np.unique(low, return_counts=True)
         return tables[::-1]
 
     def log_probability(self, lang: str, grams: np.ndarray) -> np.ndarray:
         """log2 of the probability of each n-gram's last character after the others."""
+        return self._log2(self.tables[lang], grams)
+
+    def _log2(self, tables: list[tuple], grams: np.ndarray) -> np.ndarray:
         p = np.full(len(grams), 1.0 / self.size)
-        for n, (keys, values, contexts, weights) in enumerate(self.tables[lang], 1):
-            gram = grams % np.uint32(64**n)
-            p = _lookup(keys, values, gram, 0.0) + _lookup(contexts, weights, gram // 64, 1.0) * p
+        for n, (keys, values, contexts, weights) in enumerate(tables, 1):
+            gram = grams & _ends_with(n)
+            p = _lookup(keys, values, gram, 0.0) + _lookup(contexts, weights, gram >> np.uint64(BITS), 1.0) * p
         return np.log2(p)
 
     def entropies(self, folded: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Bits per character of each text under each language; a text without letters gets zeros."""
-        grams = self.grams(self.codes(folded), self.order)
-        if not hasattr(self, "slot"):
-            self.slot, self.seen = np.full(64**self.order, -1, np.int32), [np.zeros((0, len(self.languages)), np.float32)]
-            self.bits = self.seen[0]
-        slots = self.slot[grams]
-        new = np.unique(grams[slots < 0])
-        if len(new):
-            self.slot[new] = len(self.bits) + np.arange(len(new))
-            values = np.stack([-self.log_probability(lang, new) for lang in self.languages], axis=1) if self.languages else np.zeros((len(new), 0))
-            self.bits = np.concatenate((self.bits, values.astype(np.float32)))
-            slots = self.slot[grams]
-        end = np.append(begin[1:], len(folded))
-        n = end - begin - 1
+        grams, which = np.unique(self.grams(self.codes(folded), self.order), return_inverse=True)
+        n = np.diff(np.append(begin, len(folded))) - 1
         out = np.zeros((len(begin), len(self.languages)))
-        full = n > 0
-        for k in range(len(self.languages)):
-            bits = self.bits[:, k][slots]
+        for k, lang in enumerate(self.languages):
+            bits = -self.log_probability(lang, grams)[which]
             bits[begin] = 0
-            sums = np.add.reduceat(bits, begin, dtype=np.float64) if len(begin) else np.zeros(0)
-            out[full, k] = sums[full] / n[full]
+            sums = np.add.reduceat(bits, begin) if len(begin) else np.zeros(0)
+            out[n > 0, k] = sums[n > 0] / n[n > 0]
         return out
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("slot", "seen", "bits")}
+
+def _ends_with(n: int) -> np.uint64:
+    """Keeps the last n letters of an n-gram's number."""
+    return np.uint64((1 << (BITS * n)) - 1)
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -222,5 +229,9 @@ def identify(docs: DataFrame, model: bytes) -> DataFrame:
 
 
 def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Trains on the table and predicts for all of it."""
+    """Trains on the table and predicts for all of it: one row per document, as `identify` gives them.
+
+    Rows that repeat are predicted alike and trained on once; where languages tie, the first by name is predicted. A text of any length is
+    read whole. An empty table gives no rows, and one without a known language `und` for all.
+    """
     return identify(docs, train(docs, sample))

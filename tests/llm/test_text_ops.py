@@ -290,11 +290,54 @@ def test_language_sample_counts_copies_once(spark, monkeypatch):
 
 
 def test_kneser_ney_sums_to_one():
-    model = langid.Model({"x": ["abca bcab cabc", "aab"], "y": ["zzz yyy zyx"]})
-    contexts = np.unique(model.grams(model.codes(langid.fold(["abca"])[0]), 3)).astype(np.uint32)
+    model = langid.Model({"x": ["abca bcab cabc", "aab"], "y": ["zzz yyy zyx"], "z": ["日本語 一二三 語", "ひらがな"]})
+    contexts = np.unique(model.grams(model.codes(langid.fold(["abca zyx 日本語q"])[0]), 3))
     for c in contexts:
-        grams = np.uint32(c) * np.uint32(64) + np.arange(model.size, dtype=np.uint32)
-        assert np.exp2(model.log_probability("x", grams)).sum() == pytest.approx(1, abs=0.05)
+        grams = (c << np.uint64(langid.BITS)) + np.arange(model.size, dtype=np.uint64)
+        for lang in "xyz":
+            assert np.exp2(model.log_probability(lang, grams)).sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_kneser_ney_by_hand():
+    """The recursion written out over counts of tuples, for every character of some texts."""
+    texts = ["abca bcab cabc", "aab", "bca bca"]
+    model = langid.Model({"x": texts})
+    letters = sorted(set("".join(texts)) - {" "})
+    grams = Counter()
+    seen = [0, 0, 0]  # places before the first read as boundaries, as do those before a text
+    for t in texts:
+        codes = [0] + [letters.index(c) + 1 if c != " " else 0 for c in t]
+        for k, c in enumerate(codes):
+            seen.append(c)
+            if k:
+                grams[tuple(seen[-4:])] += 1
+    counts = {4: grams}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(letters) + 2)
+        own = {g: c for g, c in counts[len(gram)].items() if g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        if not total:
+            return p(gram[1:])
+        return max(own.get(gram, 0) - 0.75, 0) / total + 0.75 * len(own) / total * p(gram[1:])
+
+    for gram in [*grams, (1, 2, 3, 1), (0, 0, 4, 4), (3, 3, 3, 3)]:
+        number = sum(c << (langid.BITS * (3 - k)) for k, c in enumerate(gram))
+        assert np.exp2(model.log_probability("x", np.array([number], np.uint64)))[0] == pytest.approx(p(gram), rel=1e-9)
+
+
+def test_languages_of_many_scripts(spark):
+    rows, k = [], 0
+    for lang, first, n in (("zh", 0x4E00, 900), ("ko", 0xAC00, 900), ("ru", 0x430, 32), ("en", 97, 26)):
+        rng = random.Random(lang)
+        for _ in range(40):
+            rows.append((k, " ".join("".join(chr(first + int(n * rng.random() ** 2)) for _ in range(rng.randrange(2, 7))) for _ in range(40)), lang))
+            k += 1
+    found = {r.doc_id: r.lang_pred for r in langid.languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert found == {i: lang for i, _, lang in rows}
 
 
 def test_quality(spark, sf, odd, none):
@@ -380,13 +423,24 @@ def test_scorer_gradients_and_sums():
     [
         ("<p>a  b<p>c<br>d", "a b\n\nc\nd"), ("<ul><li>one<li>two<ol start=3><li>x</ol></ul>", "- one\n- two\n  3. x"), ("<table><tr><th>Name<th>N<tr><td>alpha<td>10</table>z", "Name   N\nalpha  10\n\nz"),
         ("<div hidden>n</div><b style='display: NONE'>n</b>x<script>a</script><!-- c -->", "x"), ("<pre>a\n  b</pre>", "a\n  b"), ("<head><title>t</title></head>b &amp; c", "b & c"), (None, ""), ("", ""), ("a<b>c", "ac"), ("1 < 2 <", "1 < 2 <"),
-        ("<div>" * 3000 + "deep", "deep"), ("<table><tr><td colspan=2>wide<tr><td>a<td>b</table>", "wide\na  b"),
+        ("<table><tr><td rowspan=2>A<td>b<td>c<tr><td>d<td>e</table>", "A  b  c\n   d  e"), ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</div>d", "b\nd"),
+        ("<style>.no, p#x {display:none} i{visibility:hidden}</style><p class='y no'>a<p id=x>b<p>c<i>d</i>e", "ce"), ("<div>" * 160 + "<div hidden>secret</div>x", "x"),
+        ("<div>" * 10000 + "<i hidden>no</i>deep", "deep"), ("<a href=\"x>y\">t</a> <b 'c", "t <b 'c"), ("<div>" * 3000 + "deep", "deep"), ("<table><tr><td colspan=2>wide<tr><td>a<td>b</table>", "wide\na  b"),
     ],
 )
 def test_render(page, text):
     assert htmltext.render(page) == text
 
 
+@pytest.mark.parametrize("page", ["<a " * 400_000, "<a \"x\" " * 200_000 + "'", "<a '" * 300_000, "<p><table>" + "<span>" * 60_000 + "</p><div></div>" * 60_000, "<!" * 500_000, "<table><tr>" + "<td>x" * 20_000, "<li>" * 100_000 + "</ul>" * 100_000])
+def test_hostile_pages_take_seconds(page):
+    import time
+
+    began = time.perf_counter()
+    htmltext.render(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_all_visible_words_stay(spark, sf):
     import html
 
