@@ -28,6 +28,8 @@ from .common import learned, lower_ascii, mixed, pieces, ranges, span_hashes, ut
 _HELD, _OUT = 7, 2
 #: Bytes of text for each block of documents.
 PART_BYTES = 12 << 20
+#: Buckets that the blocks are kept in, at most; a bucket may have many blocks, each worked on by itself.
+BUCKETS = 50_000
 #: Width of the layer, tokens of a block, classes of word-initial and of other ids, and ids with an embedding of their own.
 WIDTH, SPAN, HEADS, INNER, OWN = 16, 16, 40, 87, 2048
 #: Texts are trained on in passages of `PASSAGE` words, each once in each of `ROUNDS` rounds, in batches of `BATCH` passages.
@@ -415,10 +417,10 @@ def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-n // PART_BYTES))
     slim = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("block"), learned(F.col("doc_id"), _HELD, _OUT).alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    texts = written(slim, "block", parts)
+    texts = written(slim, "block", min(parts, BUCKETS))
     own = Window.partitionBy("word")
     words = texts.select("block", "train", "text").mapInArrow(word_counts, "block bigint, word string, n bigint").repartition("word").groupBy("word", "block").agg(F.sum("n").alias("n"))
-    words = written(words.select("block", "word", F.sum("n").over(own).alias("c"), (F.col("block") == F.min("block").over(own)).alias("first")), "block", parts)
+    words = written(words.select("block", "word", F.sum("n").over(own).alias("c"), (F.col("block") == F.min("block").over(own)).alias("first")), "block", min(parts, BUCKETS))
     types = words.filter("first and c > 0").select("word", "c")
     n_words, n_types = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_ends = texts.filter("train").count()
