@@ -9,7 +9,8 @@ stands for several, give the repeated windows. Their spans go back to all places
 
 A hash whose segments are more than a shard's bytes, as that of a very common string, is split: its segments are cut
 again by further, independent least hashes of the same windows, one for each time that the bytes exceed
-a shard's twofold, and windows are sorted with those that agree in all of them.
+a shard's twofold, and windows are sorted with those that agree in all of them. What is still larger is sorted in
+rooms, two at a time, so that memory stays that of a shard.
 """
 
 from __future__ import annotations
@@ -170,32 +171,52 @@ def repeated_windows(parts: list[bytes], weight: np.ndarray, length: int = LENGT
 FOUND = "h bigint, seg bigint, spans array<struct<a:int,b:int>>"
 
 
+def repeats_in_rooms(parts: list[bytes], weight: np.ndarray, length: int, memory: int, most_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `repeated_windows`, for strings of any size together: beyond `most_bytes` they are dealt to rooms of half as
+    many bytes and each two rooms are sorted together, so that two equal windows always meet."""
+    upto = np.cumsum([len(x) for x in parts])
+    if upto[-1] <= most_bytes:
+        return repeated_windows(parts, weight, length, memory)
+    rooms = [np.flatnonzero(upto // (most_bytes // 2) == r) for r in range(upto[-1] // (most_bytes // 2) + 1)]
+    rooms = [r for r in rooms if len(r)]
+    found = []
+    for i, one in enumerate(rooms):
+        for other in rooms[i + 1 :]:
+            both = np.concatenate((one, other))
+            owner, begin, end = repeated_windows([parts[k] for k in both], weight[both], length, memory)
+            found.append(np.stack((both[owner], begin, end)))
+    return tuple(np.unique(np.concatenate(found, axis=1), axis=1)) if len(rooms) > 1 else repeated_windows(parts, weight, length, memory)
+
+
 def _sort_shards(batches, length: int, memory: int, shard_bytes: int):
-    """Rows come sorted by part; all of one part go to the same shard."""
-    keys, hashes, segs, ats, weights, parts = held = [], [], [], [], [], []
+    """Rows come sorted by part; all of one part go to the same shard, and as many parts as its bytes allow."""
+    held: list[tuple] = []
 
-    def flush():
-        owner, begin, end = repeated_windows(parts, np.array(weights), length, memory)
+    def flush(rows):
+        _, hashes, segs, ats, weights, parts = zip(*rows)
+        owner, begin, end = repeats_in_rooms(list(parts), np.array(weights), length, memory, 2 * shard_bytes if len(parts) < 2 else shard_bytes)
         keep, counts = np.unique(owner, return_counts=True)
         shift = np.repeat(np.array(ats, np.int64)[keep], counts)
         spans = pa.StructArray.from_arrays([pa.array((begin + shift).astype(np.int32)), pa.array((end + shift).astype(np.int32))], names=["a", "b"])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), spans)
-        out = pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.int64)[keep]), pa.array(np.array(segs, np.int64)[keep]), lists], names=["h", "seg", "spans"])
-        for x in held:
-            x.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.int64)[keep]), pa.array(np.array(segs, np.int64)[keep]), lists], names=["h", "seg", "spans"])
 
-    size = 0
+    part, size, own = [], 0, 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= shard_bytes and row[0] != keys[-1]:
-                yield flush()
-                size = 0
-            for column, x in zip(held, row):
-                column.append(x)
-            size += len(row[-1])
-    if parts:
-        yield flush()
+            if part and row[0] != part[-1][0]:
+                if held and size + own > shard_bytes:
+                    yield flush(held)
+                    held, size = [], 0
+                held += part
+                size, part, own = size + own, [], 0
+            part.append(row)
+            own += len(row[-1])
+    if held and part and size + own > shard_bytes:
+        yield flush(held)
+        held = []
+    if held + part:
+        yield flush(held + part)
 
 
 def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
