@@ -89,12 +89,16 @@ def chunk_pages(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def caption_title(caption: Column, kind: Column, page: Column) -> Column:
-    """A caption without its label, else kind and page."""
+    """A caption without its label, else a table's or figure's page."""
     bare = F.regexp_extract(caption, r"(?i)^(?:Table|Figure|Fig\.?)\s*\d*:?\s*(.+)", 1)
-    return F.coalesce(F.nullif(bare, F.lit("")), F.nullif(caption, F.lit("")), F.concat(F.initcap(kind), F.lit(" on page "), page.cast("string")))
+    fallback = F.when(F.lower(kind).isin("table", "figure"), F.concat(F.initcap(kind), F.lit(" (Page "), F.coalesce(page.cast("string"), F.lit("?")), F.lit(")"))).otherwise("Untitled")
+    return F.coalesce(F.nullif(X.stripped(bare), F.lit("")), F.nullif(caption, F.lit("")), fallback)
 
 
 def guessed_title(blocks: DataFrame, first: int = 10) -> DataFrame:
-    """(pdf_filename, title): of the first blocks the one with the best half of its font size and tenth of its length."""
-    b = blocks.filter(F.col("place") <= first)
-    return b.groupBy("pdf_filename").agg(F.max_by("content", F.struct((F.col("font_size") * 0.5 + F.length("content") * 0.1).alias("s"), (-F.col("place")).alias("p"))).alias("title"))
+    """(pdf_filename, title): of the headings among the first blocks that don't look like metadata the one with the best half of its
+    font size and tenth of its length, the first of equal ones; "Document Content" where there is none."""
+    b = blocks.withColumn("content", X.stripped(F.col("content")))
+    may = (F.col("place") <= first) & (F.col("block_type") == "heading") & (F.length("content") > 10) & ~looks_like_metadata(F.col("content"))
+    score = F.struct((F.col("font_size") * 0.5 + F.length("content") * 0.1).alias("s"), (-F.col("place")).alias("p"))
+    return b.groupBy("pdf_filename").agg(F.coalesce(F.max_by("content", F.when(may, score)), F.lit("Document Content")).alias("title"))

@@ -26,38 +26,60 @@ def extract(answers: DataFrame) -> DataFrame:
 
 
 def label(name: Column) -> Column:
-    bare = F.regexp_replace(name, r"\.pdf", "")
+    """The document's name without its ending, cut to 25 characters."""
+    bare = F.regexp_replace(name, r"(?i)\.pdf$", "")
     return F.when(F.length(bare) > 25, F.concat(F.substring(bare, 1, 22), F.lit("..."))).otherwise(bare)
 
 
 def tooltip(text: Column) -> Column:
-    return F.when(F.length(text) > 150, F.concat(F.substring(text, 1, 147), F.lit("..."))).otherwise(text)
+    """The trimmed text, cut to 147 characters if it has more than 150, with dots after it; null if it is blank."""
+    t = X.stripped(text)
+    return F.when(t != "", F.concat(F.when(F.length(t) > 150, F.substring(t, 1, 147)).otherwise(t), F.lit("...")))
 
 
 def normal(text: Column) -> Column:
-    return X.squashed(F.lower(text))
+    """White space, quotes and dashes made alike, special marks dropped, lower case, trimmed."""
+    t = F.regexp_replace(text, r"\s+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, "[\"']", '"'), r"[\x{2013}\x{2014}]", "-")
+    return F.btrim(F.lower(F.regexp_replace(t, r"[^A-Za-z0-9_\s\-\".,;:!?()\[\]]", "")), F.lit(" "))
 
 
 def only_words(text: Column) -> Column:
-    return X.squashed(F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_\s]", ""))
+    return F.lower(F.array_join(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), " "))
 
 
-def strategy(page: Column, cited: Column) -> Column:
-    """The first of the ways in which the page holds the cited text, or null: as it is; normalised; words only; by its first words."""
-    n, w = normal(cited), only_words(cited)
-    bare = normal(page)
-    out = F.when(F.contains(page, cited), 1).when(F.contains(bare, n), 2).when((F.length(w) >= 10) & F.contains(only_words(page), w), 3)
-    for k, first in enumerate((15, 10, 7, 5), 4):
-        out = out.when((F.size(X.words(n)) >= first) & F.contains(bare, X.first_words(n, first)), k)
-    long = F.array_join(F.slice(F.filter(X.words(w), lambda x: F.length(x) >= 3), 1, 5), " ")
-    return out.when((F.length(long) >= 10) & F.contains(only_words(page), long), 8)
+#: Words of the parts of a cited text that are looked for one after the other.
+HEADS = (15, 10, 7, 5)
+
+
+def cited_forms(text: Column) -> Column:
+    """The forms in which a cited text is looked for: itself, normalised, words only, its first words, its first longer words."""
+    w = F.split(text, r"\s+")
+    heads = [F.when(F.size(w) >= n, normal(F.array_join(F.slice(w, 1, n), " "))).alias(f"head_{n}") for n in HEADS]
+    only = only_words(text)
+    long = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]{3,}"), F.lit(0)), 1, 5), " ")
+    return F.struct(text.alias("text"), normal(text).alias("normal"), F.when(F.length(only) >= 10, only).alias("words"), *heads, F.when(F.length(long) >= 10, normal(long)).alias("long"))
+
+
+def strategy(page: Column, page_normal: Column, page_words: Column, cited: Column) -> Column:
+    """The first of the ways in which the page holds the cited text's forms, or null."""
+    ways = [(page, "text"), (page_normal, "normal"), (page_words, "words"), *((page_normal, f"head_{n}") for n in HEADS), (page_normal, "long")]
+    out = None
+    for k, (where, form) in enumerate(ways, 1):
+        held = F.contains(where, cited[form])
+        out = F.when(held, k) if out is None else out.when(held, k)
+    return out
 
 
 def locate(citations: DataFrame, pages: DataFrame) -> DataFrame:
-    """Each citation of five characters or more with the page, its own or a neighbour, that holds it: the page before, its own, the next."""
-    c = citations.filter(F.length("cited_text") >= 5)
-    p = pages.select(F.col("pdf_filename").alias("p"), F.col("page_number").alias("found_page"), F.col("content").alias("page_text"))
+    """Each citation of five characters or more with the page, its own or a neighbour, that holds it: the page before, its own, the next.
+
+    The forms of pages and citations are made once each, before they meet.
+    """
+    c = citations.filter(F.length("cited_text") >= 5).withColumn("cited", cited_forms(F.col("cited_text"))).drop("cited_text")
+    p = pages.select(F.col("pdf_filename").alias("p"), F.col("page_number").alias("found_page"), F.col("content").alias("page_text"), normal(F.col("content")).alias("page_normal"), only_words(F.col("content")).alias("page_words"))
     # The three pages by equality, so that the join is on keys.
     near = c.withColumn("try_page", F.explode(F.sequence(F.col("page_number").cast("bigint") - 1, F.col("page_number").cast("bigint") + 1)))
-    tried = near.join(p, (F.col("pdf_name") == F.col("p")) & (F.col("try_page") == F.col("found_page"))).withColumn("strategy", strategy(F.col("page_text"), F.col("cited_text"))).filter("strategy is not null")
+    tried = near.join(p, (F.col("pdf_name") == F.col("p")) & (F.col("try_page") == F.col("found_page")))
+    tried = tried.withColumn("strategy", strategy(F.col("page_text"), F.col("page_normal"), F.col("page_words"), F.col("cited"))).filter("strategy is not null")
     return tried.groupBy("answer_id", "pdf_name", "page_number", "chunk_id").agg(F.min(F.struct("found_page", "strategy")).alias("f")).select("answer_id", "pdf_name", "chunk_id", F.col("page_number").cast("bigint").alias("page_number"), "f.found_page", F.col("f.strategy").cast("bigint").alias("strategy"))

@@ -112,11 +112,11 @@ def grid_of_text(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, "\n"), lambda r: r.rlike(r"\S")), lambda r: F.split(X.stripped(r), r"\s{2,}"))
 
 
-def column_gaps(spans: DataFrame, gap: float = 20.0, major: float = 50.0) -> DataFrame:
-    """(pdf_filename, page_number, column_count, gaps): gaps between neighbouring left edges of a page's spans."""
+def column_gaps(spans: DataFrame, major: float = 50.0) -> DataFrame:
+    """(pdf_filename, page_number, column_count, gaps): the gaps of more than `major` between neighbouring left edges of a page's spans."""
     edges = spans.select("pdf_filename", "page_number", "x0").distinct()
     steps = edges.withColumn("step", F.col("x0") - F.lag("x0").over(Window.partitionBy("pdf_filename", "page_number").orderBy("x0")))
-    return steps.groupBy("pdf_filename", "page_number").agg((F.count_if(F.col("step") > major) + 1).alias("column_count"), F.sort_array(F.collect_list(F.when(F.col("step") > gap, F.col("step")))).alias("gaps"))
+    return steps.groupBy("pdf_filename", "page_number").agg((F.count_if(F.col("step") > major) + 1).alias("column_count"), F.sort_array(F.collect_list(F.when(F.col("step") > major, F.col("step")))).alias("gaps"))
 
 
 def lines_of_spans(spans: DataFrame, reach: float = 5.0) -> DataFrame:
@@ -136,11 +136,13 @@ def footnotes(spans: DataFrame, height: float = PAGE_HEIGHT) -> DataFrame:
 
 
 def captions(boxes: DataFrame, spans: DataFrame, reach: float = 50.0, margin: float = 30.0) -> DataFrame:
-    """Each figure or table box with its caption: a span above or below it that begins as one does, else any short one."""
+    """Each box with its caption: a span below it, or above it where `kind` is table, that begins as one does, else any short one.
+    Boxes without a column `kind` are figures."""
+    boxes = boxes if "kind" in boxes.columns else boxes.withColumn("kind", F.lit("figure"))
     s = spans.select(F.col("pdf_filename").alias("p"), F.col("page_number").alias("n"), F.col("x0").alias("sx"), F.col("y0").alias("sy"), "content")
-    near = (F.col("pdf_filename") == F.col("p")) & (F.col("page_number") == F.col("n")) & F.col("sx").between(F.col("x0") - margin, F.col("x1") + margin) & (F.col("sy").between(F.col("y1"), F.col("y1") + reach) | F.col("sy").between(F.col("y0") - reach, F.col("y0")))
-    kind = F.when(F.col("content").rlike(r"(?i)^\s*(figure|fig\.?|table|tab\.?|chart|diagram)\s*\d+"), 1).when(F.length("content") < 200, 2)
-    return boxes.join(s, near, "left").withColumn("kind", kind).groupBy("pdf_filename", "page_number", "box_id").agg(F.min(F.when(F.col("kind").isNotNull(), F.struct("kind", "sy", "sx", "content")))["content"].alias("caption"))
+    near = (F.col("pdf_filename") == F.col("p")) & (F.col("page_number") == F.col("n")) & F.col("sx").between(F.col("x0") - margin, F.col("x1") + margin) & F.when(F.col("kind") == "table", F.col("sy").between(F.col("y0") - reach, F.col("y0"))).otherwise(F.col("sy").between(F.col("y1"), F.col("y1") + reach))
+    rank = F.when(F.col("content").rlike(r"(?i)^\s*(figure|fig\.?|table|tab\.?|chart|diagram)\s*\d+"), 1).when(F.length("content") < 200, 2)
+    return boxes.join(s, near, "left").withColumn("rank", rank).groupBy("pdf_filename", "page_number", "box_id").agg(F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "sy", "sx", "content")))["content"].alias("caption"))
 
 
 def paragraph_positions(pages: DataFrame) -> DataFrame:
@@ -153,7 +155,7 @@ def paragraph_positions(pages: DataFrame) -> DataFrame:
 def toc_page_signals(text: Column) -> Column:
     """How many signs of a contents page a page's text has, of the ten; `contents` alone is ten."""
     t = F.regexp_replace(F.lower(text), r"[ \t]", "")
-    signs = [t.rlike(r"[a-z]+\.{2,}\d+"), F.size(F.filter(F.regexp_extract_all(t, F.lit(X.TOKEN), F.lit(0)), lambda w: w.rlike(r"^\d{1,3}$"))) > 5, t.rlike(r"\d\.\d"), F.contains(t, F.lit("appendix")), t.rlike(r"\d\."), F.contains(t, F.lit("acknowledgements")), F.contains(t, F.lit("bibliography")), F.contains(t, F.lit("references"))]
+    signs = [t.rlike(r"[\p{L}\p{N}_]\.{2,}\d"), F.size(F.filter(F.regexp_extract_all(t, F.lit(X.TOKEN), F.lit(0)), lambda w: w.rlike(r"^\d{1,3}$"))) > 5, t.rlike(r"\d\.\d"), F.contains(t, F.lit("appendix")), t.rlike(r"\d\."), F.contains(t, F.lit("acknowledgements")), F.contains(t, F.lit("bibliography")), F.contains(t, F.lit("references"))]
     total = signs[0].cast("int")
     for s in signs[1:]:
         total = total + s.cast("int")
@@ -174,7 +176,7 @@ def continues_toc(text: Column) -> Column:
     """Two signs of a contents page's continuation or more."""
     t = F.regexp_replace(F.lower(text), r"[ \t]", "")
     numbers = F.size(F.filter(F.regexp_extract_all(t, F.lit(X.TOKEN), F.lit(0)), lambda w: w.rlike(r"^\d{1,3}$")))
-    signs = [F.contains(t, F.lit("appendix")), t.rlike(r"\.{3,}"), numbers > 3, X.holds(t, ["acknowledgements", "bibliography", "references", "index"]), t.rlike(r"\d:")]
+    signs = [F.contains(t, F.lit("appendix")), t.rlike(r"[\p{L}\p{N}_]\.{2,}\d"), numbers > 3, X.holds(t, ["acknowledgements", "bibliography", "references", "notes", "abouttheauthor"]), t.rlike(r"\d:")]
     total = signs[0].cast("int")
     for s in signs[1:]:
         total = total + s.cast("int")

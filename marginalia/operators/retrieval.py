@@ -96,9 +96,10 @@ def keyword_weight(content: Column, keyword: Column, place: Column) -> Column:
 def keyword_search(chunks: DataFrame, queries: DataFrame, mode: str = "observed") -> DataFrame:
     """(query_id, chunk_id, keyword_score, similarity, matched_keywords): chunks that hold a keyword of the query at least."""
     asked = queries.select("query_id", rule_keywords(F.col("query"), mode).alias("keywords")).filter(F.size("keywords") > 0)
-    pairs = chunks.select("chunk_id", "content").join(packed(asked, ["query_id", "keywords"]))
-    low = F.lower(F.col("content"))
-    hit = pairs.select("chunk_id", "content", F.explode(F.filter("queries", lambda q: F.exists(q["keywords"], lambda w: F.contains(low, F.lower(w))))).alias("q"))
+    # Texts and keywords are lowered once each, before they meet.
+    asked = asked.withColumn("low", F.transform("keywords", lambda w: F.lower(w)))
+    pairs = chunks.select("chunk_id", "content", F.lower("content").alias("low")).join(packed(asked, ["query_id", "keywords", "low"]))
+    hit = pairs.select("chunk_id", "content", F.explode(F.filter("queries", lambda q: F.exists(q["low"], lambda w: F.contains(F.col("low"), w)))).alias("q"))
     score = F.aggregate(F.transform(F.col("q.keywords"), lambda w, i: keyword_weight(F.col("content"), w, i)), F.lit(0.0), lambda s, x: s + x)
     matched = F.filter(F.col("q.keywords"), lambda w: F.contains(F.lower(F.col("content")), F.lower(w)))
     return hit.select("q.query_id", "chunk_id", F.round(score, 6).alias("keyword_score"), F.array_join(matched, "|").alias("matched_keywords")).withColumn("similarity", F.least(F.col("keyword_score"), F.lit(1.0)))

@@ -310,7 +310,7 @@ def citation_extract(spark, sf):
 @query
 def citation_labels(spark, sf):
     c = citations.extract(_answers(spark, sf))
-    return c.select("answer_id", citations.label(F.concat("pdf_name", F.lit("_of_collection_"), "chunk_id", F.lit(".pdf"))).alias("label"), citations.tooltip(F.repeat("cited_text", 5)).alias("tooltip"))
+    return c.select("answer_id", citations.label(F.concat("pdf_name", F.lit(".pdf_of_"), "chunk_id", F.lit(".PDF"))).alias("label"), citations.tooltip(F.repeat("cited_text", (F.col("answer_id") % 5 + 1).cast("int"))).alias("tooltip"))
 
 
 @query
@@ -474,7 +474,7 @@ def span_lines(spark, sf):
 
 @query
 def guessed_titles(spark, sf):
-    b = views.blocks(spark, sf).select(F.col("doc_id").cast("string").alias("pdf_filename"), (F.col("line") + 1).alias("place"), "content", F.lit(12.0).alias("font_size"))
+    b = views.blocks(spark, sf).select(F.col("doc_id").cast("string").alias("pdf_filename"), (F.col("line") + 1).alias("place"), "content", F.when(F.col("line") % 2 == 0, 12.0).otherwise(14.0).alias("font_size"), F.when(F.col("line") % 3 < 2, "heading").otherwise("paragraph").alias("block_type"))
     return chunking.guessed_title(b)
 
 

@@ -164,11 +164,25 @@ def bare(x: str) -> str:
     return squashed(rf"regexp_replace(lower({x}), '[^A-Za-z0-9_\s]', '', 'g')")
 
 
+def _seen(x: str) -> str:
+    """White space, quotes and dashes alike, special marks dropped."""
+    spaced = rf"regexp_replace({x}, '\s+', ' ', 'g')"
+    alike = f"translate({spaced}, {chr(39) * 4} || chr(8211) || chr(8212), '{chr(34)}--')"
+    return rf"trim(lower(regexp_replace({alike}, '[^A-Za-z0-9_\s\-{chr(34)}.,;:!?()\[\]]', '', 'g')), ' ')"
+
+
+def _plain(x: str, least: int = 1) -> str:
+    return f"regexp_extract_all({x}, '[A-Za-z0-9_]{{{least},}}')"
+
+
 def locate() -> str:
-    long = f"array_to_string(([x for x in {words(bare('cited_text'))} if length(x) >= 3])[1:5], ' ')"
-    heads = " ".join(f"WHEN len({words(normal('cited_text'))}) >= {n} AND contains({normal('content')}, {first_words(normal('cited_text'), n)}) THEN {k}" for k, n in enumerate((15, 10, 7, 5), 4))
-    way = f"CASE WHEN contains(content, cited_text) THEN 1 WHEN contains({normal('content')}, {normal('cited_text')}) THEN 2 WHEN length({bare('cited_text')}) >= 10 AND contains({bare('content')}, {bare('cited_text')}) THEN 3 {heads} WHEN length({long}) >= 10 AND contains({bare('content')}, {long}) THEN 8 END"
-    return f"""WITH {CHUNKS}, {ANSWERS}, {CITED}, tried AS (SELECT answer_id, pdf_name, c.chunk_id, c.page_number::BIGINT AS page_number, p.page_number AS found_page, {way} AS strategy FROM cited c JOIN chunks p ON p.pdf_filename = c.pdf_name AND abs(p.page_number - c.page_number::BIGINT) <= 1 WHERE length(cited_text) >= 5)
+    split = r"regexp_split_to_array(cited_text, '\s+')"
+    heads = ", ".join(f"CASE WHEN len({split}) >= {n} THEN {_seen(f'array_to_string({split}[1:{n}], {chr(39)} {chr(39)})')} END AS h{n}" for n in (15, 10, 7, 5))
+    long = f"array_to_string({_plain('cited_text', 3)}[1:5], ' ')"
+    forms = f"forms AS (SELECT *, {_seen('cited_text')} AS n, lower(array_to_string({_plain('cited_text')}, ' ')) AS w, {heads}, CASE WHEN length({long}) >= 10 THEN {_seen(long)} END AS l FROM cited WHERE length(cited_text) >= 5)"
+    seen = f"seen AS (SELECT pdf_filename, page_number, content, {_seen('content')} AS cn, lower(array_to_string({_plain('content')}, ' ')) AS cw FROM chunks)"
+    way = "CASE WHEN contains(content, cited_text) THEN 1 WHEN contains(cn, n) THEN 2 WHEN length(w) >= 10 AND contains(cw, w) THEN 3 WHEN contains(cn, h15) THEN 4 WHEN contains(cn, h10) THEN 5 WHEN contains(cn, h7) THEN 6 WHEN contains(cn, h5) THEN 7 WHEN contains(cn, l) THEN 8 END"
+    return f"""WITH {CHUNKS}, {ANSWERS}, {CITED}, {forms}, {seen}, tried AS (SELECT answer_id, pdf_name, c.chunk_id, c.page_number::BIGINT AS page_number, p.page_number AS found_page, {way} AS strategy FROM forms c JOIN seen p ON p.pdf_filename = c.pdf_name AND abs(p.page_number - c.page_number::BIGINT) <= 1)
 SELECT answer_id, pdf_name, chunk_id, page_number, found_page, strategy FROM (SELECT *, row_number() OVER (PARTITION BY answer_id, pdf_name, page_number, chunk_id ORDER BY found_page, strategy) AS rn FROM tried WHERE strategy IS NOT NULL) WHERE rn = 1"""
 
 
@@ -235,7 +249,7 @@ k AS (SELECT *, tokens <= 5000 OR near OR (last_summary IS NOT NULL AND since <
     "chunk_content_type": f"WITH {CHUNKS} SELECT chunk_id, {_KIND} AS content_type FROM chunks",
     "content_type_filter": f"WITH {CHUNKS}, {QUERIES}, {bm25('b', 10)}, k AS (SELECT query_id, chunk_id, {_KIND} AS kind FROM b JOIN chunks USING (chunk_id)), m AS (SELECT *, bool_or(kind = 'table') OVER (PARTITION BY query_id) AS any_hit FROM k) SELECT query_id, chunk_id, kind FROM m WHERE kind = 'table' OR NOT any_hit",
     "citation_extract": f"WITH {CHUNKS}, {ANSWERS}, {CITED} SELECT * FROM cited",
-    "citation_labels": f"WITH {CHUNKS}, {ANSWERS}, {CITED} SELECT answer_id, CASE WHEN length(pdf_name || '_of_collection_' || chunk_id) > 25 THEN substr(pdf_name || '_of_collection_' || chunk_id, 1, 22) || '...' ELSE pdf_name || '_of_collection_' || chunk_id END AS label, CASE WHEN length(repeat(cited_text, 5)) > 150 THEN substr(repeat(cited_text, 5), 1, 147) || '...' ELSE repeat(cited_text, 5) END AS tooltip FROM cited",
+    "citation_labels": f"WITH {CHUNKS}, {ANSWERS}, {CITED}, l AS (SELECT answer_id, (pdf_name || '.pdf_of_' || chunk_id) AS bare, trim(repeat(cited_text, (answer_id % 5 + 1)::INT), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM cited) SELECT answer_id, CASE WHEN length(bare) > 25 THEN substr(bare, 1, 22) || '...' ELSE bare END AS label, CASE WHEN t = '' THEN NULL WHEN length(t) > 150 THEN substr(t, 1, 147) || '...' ELSE t || '...' END AS tooltip FROM l",
     "citation_locate": locate(),
     "table_clean": f"WITH {CHUNKS}, {GRIDS} SELECT doc_id, len(g) AS rows, array_to_string([array_to_string(r, '|') for r in g], chr(10)) AS cells FROM grids",
     "table_markdown": f"WITH {CHUNKS}, {GRIDS} SELECT doc_id, CASE WHEN len(g) = 0 THEN '' ELSE array_to_string(list_concat(['| ' || array_to_string(g[1], ' | ') || ' |', '| ' || array_to_string(['---' for c in g[1]], ' | ') || ' |'], ['| ' || array_to_string(r, ' | ') || ' |' for r in g[2:]]), chr(10)) END AS markdown FROM grids",
@@ -249,17 +263,17 @@ k AS (SELECT *, tokens <= 5000 OR near OR (last_summary IS NOT NULL AND since <
     "batch_outcomes": f"WITH {FILES} SELECT f.collection, CASE WHEN l.pdf_filename IS NULL THEN 'processed' ELSE 'skipped' END AS status, count(*) AS files FROM files f LEFT JOIN ledger l ON l.collection = f.collection AND l.pdf_filename = f.pdf_filename GROUP BY 1, 2",
     "upserted_chunks": f"WITH {CHUNKS} SELECT collection, pdf_filename, count(*) FILTER (pdf_filename NOT IN ('src1', 'src7') OR length(content) % 2 = 1) AS chunks, count(*) FILTER (pdf_filename IN ('src1', 'src7') AND length(content) % 2 = 1) AS fresh FROM chunks GROUP BY 1, 2 HAVING count(*) FILTER (pdf_filename NOT IN ('src1', 'src7') OR length(content) % 2 = 1) > 0",
     "paragraph_positions": rf"WITH {CHUNKS}, p AS (SELECT pdf_filename, doc_id AS page_number, [t for t in [{squashed('x')} for x in string_split(content, chr(10))] if length(t) > 50 OR (length(t) > 20 AND contains(t, '.'))] AS l FROM chunks), e AS (SELECT *, unnest(generate_series(1, len(l))) AS i FROM p) SELECT pdf_filename, page_number, i - 1 AS paragraph_index, l[i] AS text, round(72.0::DOUBLE + (i - 1) * CASE WHEN len(l) > 1 THEN 648.0::DOUBLE / len(l) ELSE 324.0::DOUBLE END, 6) AS y0 FROM e",
-    "toc_page_signals": rf"WITH {CHUNKS}, t AS (SELECT doc_id, regexp_replace(lower(content), '[ \t]', '', 'g') AS t FROM chunks) SELECT doc_id, CASE WHEN contains(t, 'contents') THEN 10 ELSE regexp_matches(t, '[a-z]+\.{{2,}}\d+')::INT + (len([x for x in regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') if regexp_full_match(x, '\d{{1,3}}')]) > 5)::INT + regexp_matches(t, '\d\.\d')::INT + contains(t, 'appendix')::INT + regexp_matches(t, '\d\.')::INT + contains(t, 'acknowledgements')::INT + contains(t, 'bibliography')::INT + contains(t, 'references')::INT END AS signals FROM t",
+    "toc_page_signals": rf"WITH {CHUNKS}, t AS (SELECT doc_id, regexp_replace(lower(content), '[ \t]', '', 'g') AS t FROM chunks) SELECT doc_id, CASE WHEN contains(t, 'contents') THEN 10 ELSE regexp_matches(t, '[\p{{L}}\p{{N}}_]\.{{2,}}\d')::INT + (len([x for x in regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') if regexp_full_match(x, '\d{{1,3}}')]) > 5)::INT + regexp_matches(t, '\d\.\d')::INT + contains(t, 'appendix')::INT + regexp_matches(t, '\d\.')::INT + contains(t, 'acknowledgements')::INT + contains(t, 'bibliography')::INT + contains(t, 'references')::INT END AS signals FROM t",
     "html_paragraphs": rf"WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)<(?:p|h1)>(.*?)</(?:p|h1)>', 1) AS l FROM pages), e AS (SELECT *, unnest(generate_series(1, len(l))) AS i FROM p) SELECT page_id, i - 1 AS at, {squashed("regexp_replace(l[i], '<[^>]*>', ' ', 'g')")} AS text FROM e",
     "valid_names": f"WITH {CHUNKS} SELECT 'src' || item_id AS pdf_filename, ('src' || item_id) IN (SELECT pdf_filename FROM chunks) AS found FROM benchmark",
     "best_path": f"WITH {FILES}, f AS (SELECT '/data/' || CASE doc_id % 4 WHEN 0 THEN collection WHEN 1 THEN upper(collection) WHEN 2 THEN 'elsewhere' ELSE 'pdfs' END || '/' || pdf_filename AS path, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 5 END AS place, pdf_filename FROM files UNION SELECT '/data/pdfs/' || pdf_filename, 5, pdf_filename FROM files WHERE doc_id % 3 = 0) SELECT collection, w.pdf_filename, arg_min(f.path, (f.place, f.path)) AS path FROM files w JOIN f ON f.pdf_filename = w.pdf_filename GROUP BY 1, 2",
     "figure_gate": f"WITH {CHUNKS}, b AS (SELECT pdf_filename, page_number, chunk_id AS box_id, round((doc_id % 60 * 10.0::DOUBLE) * (length(content) % 700 * 1.0::DOUBLE) / (612.0::DOUBLE * 792.0::DOUBLE), 6) AS area_share FROM chunks) SELECT pdf_filename, box_id, area_share, place FROM (SELECT *, row_number() OVER (PARTITION BY pdf_filename ORDER BY page_number, box_id) AS place FROM b WHERE area_share >= 0.15) WHERE place <= 20",
-    "toc_continuation": rf"WITH {CHUNKS}, t AS (SELECT doc_id, regexp_replace(lower(content), '[ \t]', '', 'g') AS t FROM chunks) SELECT doc_id, contains(t, 'appendix')::INT + regexp_matches(t, '\.{{3,}}')::INT + (len([x for x in regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') if regexp_full_match(x, '\d{{1,3}}')]) > 3)::INT + {holds('t', ['acknowledgements', 'bibliography', 'references', 'index'])}::INT + regexp_matches(t, '\d:')::INT >= 2 AS continues FROM t",
+    "toc_continuation": rf"WITH {CHUNKS}, t AS (SELECT doc_id, regexp_replace(lower(content), '[ \t]', '', 'g') AS t FROM chunks) SELECT doc_id, contains(t, 'appendix')::INT + regexp_matches(t, '[\p{{L}}\p{{N}}_]\.{{2,}}\d')::INT + (len([x for x in regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') if regexp_full_match(x, '\d{{1,3}}')]) > 3)::INT + {holds('t', ['acknowledgements', 'bibliography', 'references', 'notes', 'abouttheauthor'])}::INT + regexp_matches(t, '\d:')::INT >= 2 AS continues FROM t",
     "page_range_parse": f"WITH {CHUNKS} SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 17 < doc_id % 13 THEN doc_id % 17 ELSE -1 END AS first, CASE WHEN doc_id % 5 <> 0 AND doc_id % 17 < doc_id % 13 THEN doc_id % 13 ELSE -1 END AS last FROM chunks",
     "file_sizes": rf"WITH {CHUNKS}, n AS (SELECT doc_id, length(content) * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END AS n FROM chunks), l AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1024 ** 2 THEN 1 WHEN n < 1024 ** 3 THEN 2 ELSE 3 END AS k FROM n) SELECT doc_id, regexp_replace(printf('%.2f', round(n / 1024.0::DOUBLE ** k, 2)), '\.?0+$', '') || ' ' || (['Bytes', 'KB', 'MB', 'GB'])[k + 1] AS size FROM l",
-    "caption_titles": f"WITH {CHUNKS} SELECT doc_id, CASE WHEN doc_id % 4 < 2 AND {first_words('content', 4)} <> '' THEN {first_words('content', 4)} ELSE 'Figure on page ' || page_number END AS title FROM chunks",
-    "column_geometry": f"WITH {CHUNKS}, x AS (SELECT DISTINCT pdf_filename, page_number, length(content) % 23 * 25.0::DOUBLE AS x0 FROM chunks), s AS (SELECT *, x0 - lag(x0) OVER (PARTITION BY pdf_filename, page_number ORDER BY x0) AS step FROM x) SELECT pdf_filename, page_number, count(*) FILTER (step > 50) + 1 AS column_count, count(*) FILTER (step > 20) AS n_gaps, coalesce(sum(step) FILTER (step > 20), 0) AS total_gap FROM s GROUP BY 1, 2",
+    "caption_titles": f"WITH {CHUNKS} SELECT doc_id, CASE WHEN doc_id % 4 < 2 AND {first_words('content', 4)} <> '' THEN {first_words('content', 4)} ELSE 'Figure (Page ' || page_number || ')' END AS title FROM chunks",
+    "column_geometry": f"WITH {CHUNKS}, x AS (SELECT DISTINCT pdf_filename, page_number, length(content) % 23 * 25.0::DOUBLE AS x0 FROM chunks), s AS (SELECT *, x0 - lag(x0) OVER (PARTITION BY pdf_filename, page_number ORDER BY x0) AS step FROM x) SELECT pdf_filename, page_number, count(*) FILTER (step > 50) + 1 AS column_count, count(*) FILTER (step > 50) AS n_gaps, coalesce(sum(step) FILTER (step > 50), 0) AS total_gap FROM s GROUP BY 1, 2",
     "span_lines": f"WITH {CHUNKS}, x AS (SELECT pdf_filename, page_number % 4 AS p, doc_id, doc_id * 7 % 101 * 3.0::DOUBLE AS y0 FROM chunks), s AS (SELECT *, coalesce((y0 - lag(y0) OVER (PARTITION BY pdf_filename, p ORDER BY y0, doc_id) > 5)::INT, 0) AS b FROM x) SELECT doc_id, sum(b) OVER (PARTITION BY pdf_filename, p ORDER BY y0, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS line FROM s",
-    "guessed_titles": f"WITH {BLOCKS} SELECT pdf_filename, title FROM (SELECT doc_id::VARCHAR AS pdf_filename, content AS title, row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, line) AS n FROM blocks WHERE line < 10) WHERE n = 1",
+    "guessed_titles": rf"WITH {BLOCKS}, t AS (SELECT doc_id, line, {stripped('content')} AS c FROM blocks WHERE line < 10 AND line % 3 < 2), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN line % 2 = 0 THEN 12.0::DOUBLE ELSE 14.0 END * 0.5::DOUBLE + length(c) * 0.1::DOUBLE DESC, line) AS n FROM t WHERE length(c) > 10 AND NOT (upper(c) = c AND lower(c) <> c) AND NOT regexp_matches(c, '\d{{4}}') AND NOT regexp_matches(c, '^[\p{{L}}\p{{N}}_]+\s*$') AND c NOT LIKE '.%' AND NOT contains(c, '@') AND NOT contains(c, '#') AND NOT regexp_matches(c, '^[A-Z][a-z]+\s+[A-Z][a-z]+$')) SELECT d.doc_id::VARCHAR AS pdf_filename, coalesce(m.c, 'Document Content') AS title FROM (SELECT DISTINCT doc_id FROM blocks) d LEFT JOIN m ON m.doc_id = d.doc_id AND m.n = 1",
     "answer_choice": f"WITH {TURNS} SELECT conv_id || '-' || turn AS query_id, CASE WHEN turn % 4 = 1 THEN assistant_response ELSE user_message END AS text, CASE WHEN turn % 4 = 1 THEN 'High' WHEN conv_id % 2 = 0 THEN 'medium' ELSE 'low' END AS confidence FROM turns",
 }
