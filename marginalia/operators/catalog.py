@@ -118,3 +118,13 @@ def upserted(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 def write_collections(chunks: DataFrame, path: str) -> None:
     """Writes whole documents; those of other collections and documents stay."""
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "pdf_filename").parquet(path)
+
+
+def without_document(chunks: DataFrame, collection: str, document: str) -> DataFrame:
+    """The chunks that stay when a document is deleted from a collection."""
+    return chunks.filter(~(F.col("collection").eqNullSafe(F.lit(collection)) & F.col("pdf_filename").eqNullSafe(F.lit(document))))
+
+
+def without_collection(chunks: DataFrame, collection: str | None = None) -> DataFrame:
+    """The chunks that stay when a collection is dropped; none without a name."""
+    return chunks.limit(0) if collection is None else chunks.filter(~F.col("collection").eqNullSafe(F.lit(collection)))

@@ -107,8 +107,13 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, mode: str = "observed"
 
 def hybrid(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """Semantic top 2n merged with all keyword matches; the best n of each query."""
-    semantic = knn(chunks, queries, 2 * n, digits=10).select("query_id", "chunk_id", F.round(half_similarity(F.col("distance")), 6).alias("semantic"), F.col("rank").alias("place"))
-    lexical = keyword_search(chunks, queries).select("query_id", "chunk_id", "similarity")
+    return merged(knn(chunks, queries, 2 * n, digits=10), keyword_search(chunks, queries), n)
+
+
+def merged(near: DataFrame, lexical: DataFrame, n: int) -> DataFrame:
+    """Nearest chunks (query_id, chunk_id, distance, rank) and keyword matches (query_id, chunk_id, similarity) in one list of n."""
+    semantic = near.select("query_id", "chunk_id", F.round(half_similarity(F.col("distance")), 6).alias("semantic"), F.col("rank").alias("place"))
+    lexical = lexical.select("query_id", "chunk_id", "similarity")
     both = semantic.join(lexical, ["query_id", "chunk_id"], "full_outer")
     score = F.when(F.col("semantic").isNull(), F.col("similarity")).when(F.col("similarity").isNull(), F.col("semantic")).otherwise(F.least(F.lit(1.0), F.col("semantic") + 0.1))
     out = both.select(

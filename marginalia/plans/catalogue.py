@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import catalog, chunking, citations, history, layout, pages, retrieval
+from marginalia.operators import catalog, chunking, citations, history, layout, pages, retrieval, routing
 from marginalia.operators.catalog import Scope
 from marginalia.sources import views
 
@@ -135,17 +135,55 @@ def fused_pipeline(spark, sf):
 
 @query
 def routed_search_with_fallback(spark, sf):
-    """Sections routed for each query first; where they give fewer than max(3, n / 2) rows, the whole scope fills up."""
-    n = 8
-    c, q = _child(spark, sf), views.queries(spark, sf)
-    routed = retrieval.hybrid(c.filter("toc_title = 'Section 4' and pdf_filename in ('src1', 'src2')"), q, n).select("query_id", "chunk_id", "score", "source_type", F.lit(0).alias("stage"), "rank")
-    few = q.select("query_id").join(routed.groupBy("query_id").agg(F.count(F.lit(1)).alias("found")), "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    short = few.filter(F.col("found") < max(3, n // 2))
-    wide = retrieval.hybrid(c.filter("pdf_filename in ('src1', 'src2', 'src3')"), q, 2 * n)
-    fresh = wide.join(short, "query_id").filter(F.col("rank") <= 2 * (n - F.col("found"))).join(routed.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    fresh = retrieval.ranked(fresh.withColumn("place", F.col("rank")), None, "place", ["query_id"], name="turn", ascending=True).filter(F.col("turn") <= n - F.col("found"))
-    both = routed.unionByName(fresh.select("query_id", "chunk_id", "score", F.lit("global_fallback").alias("source_type"), F.lit(1).alias("stage"), F.col("place").alias("rank")))
-    return retrieval.ranked(both.drop("rank"), None, "score", ["query_id"]).drop("stage")
+    """Two documents' section for all queries, in a scope of three documents."""
+    c, q = _child(spark, sf).filter("pdf_filename in ('src1', 'src2', 'src3')"), views.queries(spark, sf)
+    to = F.explode(F.array(F.lit("src1"), F.lit("src2"))).alias("pdf_filename")
+    return routing.sections_first(c, q, q.select("query_id", to, F.lit("Section 4").alias("toc_title")), 8)
+
+
+@query
+def routed_sections(spark, sf):
+    """Each query has its own route; a third of them have none and ask the whole scope."""
+    q = views.queries(spark, sf)
+    turn = F.col("query_id") % 3
+    routes = q.filter(turn > 0).select("query_id", F.concat(F.lit("src"), turn).alias("pdf_filename"), F.when(turn == 1, "Section 4").otherwise("Section 2").alias("toc_title"))
+    return routing.sections_first(_child(spark, sf), q, routes, 8)
+
+
+@query
+def ask_collection(spark, sf):
+    return routing.ask(views.chunks(spark, sf), views.queries(spark, sf), Scope(), 10)
+
+
+@query
+def ask_documents(spark, sf):
+    return routing.ask(views.chunks(spark, sf), views.queries(spark, sf), Scope(chunk_type="child", documents=("src1", "src2", "no such")), 10)
+
+
+@query
+def ask_sections(spark, sf):
+    return routing.ask(views.chunks(spark, sf), views.queries(spark, sf), Scope(chunk_type="child", documents=("src1",), sections=("Section 1", "Section 2")), 10)
+
+
+@query
+def ask_pages(spark, sf):
+    return routing.ask(views.chunks(spark, sf), views.queries(spark, sf), Scope(chunk_type="child", documents=("src2",), pages=(5, 20)), 10)
+
+
+@query
+def ask_whole_pages(spark, sf):
+    return routing.ask(views.chunks(spark, sf), views.queries(spark, sf), Scope(chunk_type="parent", documents=("src4",), pages=(3, 9)), 10)
+
+
+@query
+def deleted_document(spark, sf):
+    c = catalog.without_document(views.chunks(spark, sf, False), "en", "src2")
+    return c.groupBy("collection", "pdf_filename").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query
+def dropped_collection(spark, sf):
+    return catalog.without_collection(views.chunks(spark, sf, False), "en").groupBy("collection").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query

@@ -218,6 +218,17 @@ SQL: dict[str, str] = {
 few AS (SELECT q.query_id, count(a.chunk_id) AS found FROM queries q LEFT JOIN a USING (query_id) GROUP BY 1 HAVING count(a.chunk_id) < 4),
 fresh AS (SELECT * FROM (SELECT w.query_id, w.chunk_id, w.score, found, row_number() OVER (PARTITION BY w.query_id ORDER BY w.rank, w.chunk_id) AS turn FROM w JOIN few USING (query_id) WHERE w.rank <= 2 * (8 - found) AND NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = w.query_id AND a.chunk_id = w.chunk_id)) WHERE turn <= 8 - found)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, score, source_type FROM a UNION ALL SELECT query_id, chunk_id, score, 'global_fallback' FROM fresh)""",
+    "routed_sections": f"""WITH {CHUNKS}, {QUERIES}, {hybrid('a', 8, "(query_id % 3 = 1 AND toc_title = 'Section 4' AND pdf_filename = 'src1') OR (query_id % 3 = 2 AND toc_title = 'Section 2' AND pdf_filename = 'src2')")}, {hybrid('w', 16, "true")},
+few AS (SELECT query_id, coalesce(found, 0) AS found FROM queries LEFT JOIN (SELECT query_id, count(*) AS found FROM a GROUP BY 1) USING (query_id) WHERE coalesce(found, 0) < 4 AND query_id % 3 > 0),
+fresh AS (SELECT w.query_id, w.chunk_id, w.score, few.found, row_number() OVER (PARTITION BY w.query_id ORDER BY w.rank, w.chunk_id) AS turn FROM w JOIN few USING (query_id) ANTI JOIN a ON a.query_id = w.query_id AND a.chunk_id = w.chunk_id WHERE w.rank <= 2 * (8 - few.found)),
+u AS (SELECT query_id, chunk_id, score, source_type FROM a UNION ALL SELECT query_id, chunk_id, score, 'global_fallback' FROM fresh WHERE turn <= 8 - found UNION ALL SELECT query_id, chunk_id, score, source_type FROM w WHERE rank <= 8 AND query_id % 3 = 0)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM u""",
+    "ask_documents": f"""WITH {CHUNKS}, {QUERIES}, {hybrid('h', 10, "pdf_filename IN ('src1', 'src2')")} SELECT query_id, chunk_id, score, rank FROM h""",
+    "ask_sections": f"""WITH {CHUNKS}, {QUERIES}, {knn('k', 10, "c.chunk_type = 'child' AND c.pdf_filename = 'src1' AND c.toc_title IN ('Section 1', 'Section 2')")} SELECT query_id, chunk_id, round(1.0::DOUBLE - distance, 6) AS score, rank FROM k""",
+    "ask_pages": f"""WITH {CHUNKS}, {QUERIES}, {knn('k', 10, "c.chunk_type = 'child' AND c.pdf_filename = 'src2' AND c.page_number BETWEEN 5 AND 20")} SELECT query_id, chunk_id, round(1.0::DOUBLE - distance, 6) AS score, rank FROM k""",
+    "ask_whole_pages": rf"WITH {CHUNKS}, {QUERIES} SELECT query_id, pdf_filename || ':page:' || page_number AS chunk_id, 1.0::DOUBLE AS score, page_number - 2 AS rank FROM chunks, queries WHERE pdf_filename = 'src4' AND page_number BETWEEN 3 AND 9 AND regexp_matches(content, '\S')",
+    "deleted_document": f"WITH {CHUNKS} SELECT collection, pdf_filename, count(*) AS chunks FROM chunks WHERE NOT (collection IS NOT DISTINCT FROM 'en' AND pdf_filename IS NOT DISTINCT FROM 'src2') GROUP BY ALL",
+    "dropped_collection": f"WITH {CHUNKS} SELECT collection, count(*) AS chunks FROM chunks WHERE collection IS DISTINCT FROM 'en' GROUP BY 1",
     "full_pages": rf"WITH {CHUNKS} SELECT pdf_filename || ':page:' || page_number AS id, pdf_filename, page_number, content, 1.0::DOUBLE AS score, page_number - 2 AS rank FROM chunks WHERE pdf_filename = 'src4' AND page_number BETWEEN 3 AND 9 AND regexp_matches(content, '\S')",
     "section_page_ranges": f"WITH {CHUNKS}, {TOC}, {RANGES} SELECT * FROM ranges",
     "merged_intervals": f"WITH {CHUNKS}, {TOC}, {RANGES}, pages AS (SELECT DISTINCT pdf_filename, unnest(generate_series(start_page, end_page)) AS p FROM ranges), g AS (SELECT pdf_filename, p, p - row_number() OVER (PARTITION BY pdf_filename ORDER BY p) AS island FROM pages) SELECT pdf_filename, min(p) AS start_page, max(p) AS end_page FROM g GROUP BY pdf_filename, island",
@@ -277,3 +288,5 @@ k AS (SELECT *, tokens <= 5000 OR near OR (last_summary IS NOT NULL AND since <
     "guessed_titles": rf"WITH {BLOCKS}, t AS (SELECT doc_id, line, {stripped('content')} AS c FROM blocks WHERE line < 10 AND line % 3 < 2), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN line % 2 = 0 THEN 12.0::DOUBLE ELSE 14.0 END * 0.5::DOUBLE + length(c) * 0.1::DOUBLE DESC, line) AS n FROM t WHERE length(c) > 10 AND NOT (upper(c) = c AND lower(c) <> c) AND NOT regexp_matches(c, '\d{{4}}') AND NOT regexp_matches(c, '^[\p{{L}}\p{{N}}_]+\s*$') AND c NOT LIKE '.%' AND NOT contains(c, '@') AND NOT contains(c, '#') AND NOT regexp_matches(c, '^[A-Z][a-z]+\s+[A-Z][a-z]+$')) SELECT d.doc_id::VARCHAR AS pdf_filename, coalesce(m.c, 'Document Content') AS title FROM (SELECT DISTINCT doc_id FROM blocks) d LEFT JOIN m ON m.doc_id = d.doc_id AND m.n = 1",
     "answer_choice": f"WITH {TURNS} SELECT conv_id || '-' || turn AS query_id, CASE WHEN turn % 4 = 1 THEN assistant_response ELSE user_message END AS text, CASE WHEN turn % 4 = 1 THEN 'High' WHEN conv_id % 2 = 0 THEN 'medium' ELSE 'low' END AS confidence FROM turns",
 }
+
+SQL["ask_collection"] = f"SELECT query_id, chunk_id, score, rank FROM ({SQL['fused_pipeline']})"
