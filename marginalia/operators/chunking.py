@@ -102,3 +102,28 @@ def guessed_title(blocks: DataFrame, first: int = 10) -> DataFrame:
     may = (F.col("place") <= first) & (F.col("block_type") == "heading") & (F.length("content") > 10) & ~looks_like_metadata(F.col("content"))
     score = F.struct((F.col("font_size") * 0.5 + F.length("content") * 0.1).alias("s"), (-F.col("place")).alias("p"))
     return b.groupBy("pdf_filename").agg(F.coalesce(F.max_by("content", F.when(may, score)), F.lit("Document Content")).alias("title"))
+
+
+# Words that begin a new part of a long paragraph.
+STARTERS = [
+    "However,", "Moreover,", "Furthermore,", "Nevertheless,", "Therefore,", "In addition,", "On the other hand,", "For example,", "Similarly,", "In contrast,", "As a result,", "Consequently,", "Meanwhile,",
+    "First,", "Second,", "Third,", "Finally,", "Another", "The design argument", "Design arguments", "This argument",
+]
+
+
+def paragraph_parts(text: Column, long: int = 800, most: int = 600, least: int = 400, short: int = 50) -> Column:
+    """The parts of a paragraph of more than `long` characters: a sentence that makes a part exceed `most` begins a new one if
+    the part has more than `least` already or the sentence begins as such do. Parts of up to `short` go, unless none is left."""
+    sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), X.stripped), lambda s: s != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("part"), F.lit(0).alias("size"))
+
+    def step(a: Column, s: Column) -> Column:
+        opens = X.any_of(s.startswith(w) for w in STARTERS)
+        cut = (a["size"] + F.length(s) > most) & (a["part"] != "") & (opens | (a["size"] > least))
+        return F.when(cut, F.struct(F.array_append(a["done"], a["part"]).alias("done"), s.alias("part"), F.length(s).alias("size"))).otherwise(
+            F.struct(a["done"].alias("done"), F.when(a["part"] == "", s).otherwise(F.concat(a["part"], F.lit(" "), s)).alias("part"), (a["size"] + F.length(s)).alias("size"))
+        )
+
+    parts = F.aggregate(sentences, start, step, lambda a: F.when(a["part"] == "", a["done"]).otherwise(F.array_append(a["done"], a["part"])))
+    kept = F.filter(F.transform(parts, X.stripped), lambda p: F.length(p) > short)
+    return F.when(F.length(text) <= long, F.array(text)).otherwise(F.when(F.size(kept) > 0, kept).otherwise(F.array(text)))

@@ -43,6 +43,40 @@ def compaction(turns: DataFrame, by: list[str], order: list[str], trigger: float
     return g.select(*by, "tokens", F.when(keep, "keep").otherwise("summarise").alias("action"), F.when(keep, 0).otherwise(F.col("older")).cast("bigint").alias("summarised_turns"))
 
 
+def summarised(turns: DataFrame, by: list[str], order: list[str], kept: float = 2000.0, summarise=None, **options) -> DataFrame:
+    """The histories after compaction: where it is due, the turns before the newest ones are marked as summarised, and a summary row that
+    stands for them, at the place of the oldest, is added. `summarise` gives (by, text) for the marked turns; the default text is empty."""
+    due = compaction(turns, by, order, kept=kept, **options).filter("action = 'summarise'").select(*(F.col(c).alias(f"_{c}") for c in by))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    newest = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
+    t = turns.withColumns({"is_summary": F.coalesce("is_summary", F.lit(False)), "_tokens": turn_tokens(F.col("user_message"), F.col("assistant_response"))})
+    t = t.withColumn("_upto", F.round(F.sum("_tokens").over(newest.rowsBetween(Window.unboundedPreceding, 0)), 4)).withColumn("_newest", F.row_number().over(newest))
+    t = t.join(due.withColumn("_due", F.lit(True)), same, "left").drop(*(f"_{c}" for c in by))
+    old = F.coalesce(F.col("_due"), F.lit(False)) & ~((F.col("_upto") <= kept) | (F.col("_newest") == 1)) & ~F.col("is_summary")
+    marked = t.withColumn("is_summarized", old).drop("_tokens", "_upto", "_newest", "_due")
+    gone = marked.filter("is_summarized")
+    counted = gone.groupBy(*by).agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    text = summarise(gone).select(*by, F.col("text").alias("_text")) if summarise else None
+    counted = counted.join(text, by, "left") if text is not None else counted.withColumn("_text", F.lit(""))
+    own = {c: F.col(c) for c in by} | {c: F.col(f"_first.{c}") for c in order} | {
+        "user_message": F.concat(F.lit("[Summary of "), "_n", F.lit(" earlier messages]")), "assistant_response": F.coalesce("_text", F.lit("")), "is_summary": F.lit(True), "is_summarized": F.lit(False),
+    }
+    rows = counted.select(*((own[f.name] if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in marked.schema.fields))
+    return marked.unionByName(rows)
+
+
+def appended(turns: DataFrame, new: DataFrame) -> DataFrame:
+    """The history with new turns at its end; columns that either lacks are null."""
+    return turns.unionByName(new, allowMissingColumns=True)
+
+
+def last_turns(turns: DataFrame, by: list[str], order: list[str], n: int = 5) -> DataFrame:
+    """The newest n turns of each history that are not cleared or summarised."""
+    newest = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
+    shown = visible(turns, True) if {"is_cleared", "is_summarized"} <= set(turns.columns) else turns
+    return shown.withColumn("_newest", F.row_number().over(newest)).filter(F.col("_newest") <= n).drop("_newest")
+
+
 def display(turns: DataFrame) -> DataFrame:
     """Turns as rows of one message each, the user's first."""
     rows = F.array(F.struct(F.lit(0).alias("part"), F.lit("user").alias("role"), F.col("user_message").alias("text")), F.struct(F.lit(1).alias("part"), F.lit("assistant").alias("role"), F.col("assistant_response").alias("text")))

@@ -207,14 +207,20 @@ def section_pages(spark, sf):
     return pages.pages_of_sections(views.chunks(spark, sf, False), toc, ["Section 1"])
 
 
+def _headed(spark, sf):
+    """Blocks where most documents begin with a line of their source, spaced and cased in two ways."""
+    line = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("The  Report of "), "pdf_filename")).otherwise(F.concat(F.lit(" the report OF "), "pdf_filename"))
+    return views.blocks(spark, sf).withColumn("content", F.when((F.col("line") == 0) & (F.col("doc_id") % 10 < 8), line).otherwise(F.col("content")))
+
+
 @query
 def header_footer_patterns(spark, sf):
-    return layout.running_lines(views.blocks(spark, sf))
+    return layout.running_lines(_headed(spark, sf))
 
 
 @query
 def header_footer_removal(spark, sf):
-    b = views.blocks(spark, sf)
+    b = _headed(spark, sf)
     return layout.without_running_lines(b, layout.running_lines(b)).groupBy("pdf_filename").agg(F.count(F.lit(1)).alias("blocks"))
 
 
@@ -297,6 +303,17 @@ def history_compaction(spark, sf):
     return history.compaction(t, ["collection"], ["conv_id", "turn"])
 
 
+@query
+def history_summarised(spark, sf):
+    t = views.turns(spark, sf).withColumn("is_summary", (F.col("conv_id") % 37 == 5) & (F.col("turn") == 1))
+    return history.summarised(t, ["collection"], ["conv_id", "turn"]).select("collection", "conv_id", "turn", "user_message", "is_summary", "is_summarized")
+
+
+@query
+def last_turns(spark, sf):
+    return history.last_turns(views.turns(spark, sf), ["collection"], ["conv_id", "turn"], 15).select("collection", "conv_id", "turn")
+
+
 @query
 def history_display(spark, sf):
     return history.display(views.turns(spark, sf))

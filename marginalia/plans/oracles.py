@@ -132,6 +132,7 @@ def block_type(x: str) -> str:
 
 
 RANGES = "ranges AS (SELECT t.pdf_filename, t.title, t.page_number AS start_page, coalesce((SELECT min(u.page_number) FROM toc u WHERE u.pdf_filename = t.pdf_filename AND u.page_number > t.page_number) - 1, t.page_number + 10) AS end_page FROM toc t)"
+HEADED = BLOCKS.replace("l[i] AS content", "CASE WHEN i = 1 AND doc_id % 10 < 8 THEN CASE WHEN doc_id % 2 = 0 THEN 'The  Report of ' || source ELSE ' the report OF ' || source END ELSE l[i] END AS content")
 RUNNING = f"""pagecount AS (SELECT pdf_filename, count(DISTINCT page_number) AS pages FROM blocks GROUP BY 1 HAVING count(DISTINCT page_number) >= 2),
 near AS (SELECT pdf_filename, CASE WHEN y0 < 118.8 THEN 'header' WHEN y0 > 673.2 THEN 'footer' END AS band, (round_even(y0 / 5.0, 0) * 5)::BIGINT AS y_band, {stripped("content")} AS raw FROM blocks),
 running AS (SELECT r.* EXCLUDE pages FROM (SELECT pdf_filename, band, y_band, lower({squashed("raw")}) AS text, count(*) AS seen, any_value(pages) AS pages FROM near JOIN pagecount USING (pdf_filename) WHERE band IS NOT NULL AND length(raw) >= 3 GROUP BY 1, 2, 3, 4) r WHERE seen >= greatest(2, floor(pages * 0.6)))"""
@@ -233,8 +234,8 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id
     "section_page_ranges": f"WITH {CHUNKS}, {TOC}, {RANGES} SELECT * FROM ranges",
     "merged_intervals": f"WITH {CHUNKS}, {TOC}, {RANGES}, pages AS (SELECT DISTINCT pdf_filename, unnest(generate_series(start_page, end_page)) AS p FROM ranges), g AS (SELECT pdf_filename, p, p - row_number() OVER (PARTITION BY pdf_filename ORDER BY p) AS island FROM pages) SELECT pdf_filename, min(p) AS start_page, max(p) AS end_page FROM g GROUP BY pdf_filename, island",
     "section_pages": rf"WITH {CHUNKS}, {TOC}, {RANGES}, own AS (SELECT * FROM ranges WHERE pdf_filename = 'src5' AND substr(title, 1, 9) = 'Section 1'), fit AS (SELECT * FROM own WHERE (SELECT sum(end_page - start_page + 1) FROM own) <= 10) SELECT c.pdf_filename, c.page_number, content FROM chunks c JOIN fit f ON f.pdf_filename = c.pdf_filename AND c.page_number BETWEEN start_page AND end_page WHERE regexp_matches(content, '\S')",
-    "header_footer_patterns": f"WITH {BLOCKS}, {RUNNING} SELECT * FROM running",
-    "header_footer_removal": f"WITH {BLOCKS}, {RUNNING} SELECT pdf_filename, count(*) AS blocks FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM running r WHERE r.pdf_filename = b.pdf_filename AND r.text = lower({squashed('b.content')}) AND abs(b.y0 - r.y_band) <= 10) GROUP BY 1",
+    "header_footer_patterns": f"WITH {HEADED}, {RUNNING} SELECT * FROM running",
+    "header_footer_removal": f"WITH {HEADED}, {RUNNING} SELECT pdf_filename, count(*) AS blocks FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM running r WHERE r.pdf_filename = b.pdf_filename AND r.text = lower({squashed('b.content')}) AND abs(b.y0 - r.y_band) <= 10) GROUP BY 1",
     "block_types": f"WITH {BLOCKS} SELECT doc_id, line, {block_type('content')} AS block_type FROM blocks",
     "block_type_counts": f"WITH {BLOCKS} SELECT {block_type('content')} AS block_type, count(*) AS blocks FROM blocks GROUP BY 1",
     "toc_asof": f"WITH {CHUNKS}, {TOC}, rows AS (SELECT pdf_filename, doc_id AS rid, page_number FROM chunks), {ASOF} SELECT rid AS doc_id, toc_title, toc_level, toc_page FROM linked",
@@ -253,6 +254,12 @@ SELECT f.doc_id, parent, min(c[pos]) AS first_child, count(*) AS children, round
 u AS (SELECT *, round(sum(tokens) OVER w, 4) AS upto, row_number() OVER w AS newest, max(CASE WHEN is_summary THEN place END) OVER (PARTITION BY collection) AS last_summary FROM t WINDOW w AS (PARTITION BY collection ORDER BY conv_id DESC, turn DESC ROWS UNBOUNDED PRECEDING)),
 g AS (SELECT collection, round(sum(tokens), 4) AS tokens, bool_or(round(upto - tokens, 4) < 2000 AND is_summary) AS near, max(last_summary) AS last_summary, round(coalesce(sum(tokens) FILTER (place > last_summary), 0), 4) AS since, count(*) FILTER (NOT (upto <= 2000 OR newest = 1) AND NOT is_summary) AS older FROM u GROUP BY 1),
 k AS (SELECT *, tokens <= 5000 OR near OR (last_summary IS NOT NULL AND since < 3000) OR older < 2 AS keep FROM g) SELECT collection, tokens, CASE WHEN keep THEN 'keep' ELSE 'summarise' END AS action, CASE WHEN keep THEN 0 ELSE older END AS summarised_turns FROM k""",
+    "history_summarised": f"""WITH {TURNS}, t AS (SELECT *, {_TURN} AS tokens, conv_id % 37 = 5 AND turn = 1 AS is_summary, row_number() OVER (PARTITION BY collection ORDER BY conv_id, turn) AS place FROM turns),
+u AS (SELECT *, round(sum(tokens) OVER w, 4) AS upto, row_number() OVER w AS newest, max(CASE WHEN is_summary THEN place END) OVER (PARTITION BY collection) AS last_summary FROM t WINDOW w AS (PARTITION BY collection ORDER BY conv_id DESC, turn DESC ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT collection, round(sum(tokens), 4) AS tokens, bool_or(round(upto - tokens, 4) < 2000 AND is_summary) AS near, max(last_summary) AS last_summary, round(coalesce(sum(tokens) FILTER (place > last_summary), 0), 4) AS since, count(*) FILTER (NOT (upto <= 2000 OR newest = 1) AND NOT is_summary) AS older FROM u GROUP BY 1),
+k AS (SELECT *, tokens <= 5000 OR near OR (last_summary IS NOT NULL AND since < 3000) OR older < 2 AS keep FROM g), d AS (SELECT u.*, NOT k.keep AND NOT (upto <= 2000 OR newest = 1) AND NOT is_summary AS old FROM u JOIN k USING (collection))
+SELECT collection, conv_id, turn, user_message, is_summary, old AS is_summarized FROM d UNION ALL SELECT collection, arg_min(conv_id, place), arg_min(turn, place), '[Summary of ' || count(*) || ' earlier messages]', true, false FROM d WHERE old GROUP BY collection""",
+    "last_turns": f"WITH {TURNS} SELECT collection, conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY conv_id DESC, turn DESC) AS n FROM turns) WHERE n <= 15",
     "history_display": f"WITH {TURNS} SELECT collection, conv_id, turn, 0 AS part, 'user' AS role, user_message AS text FROM turns UNION ALL SELECT collection, conv_id, turn, 1, 'assistant', assistant_response FROM turns",
     "history_clear": f"WITH {TURNS} SELECT collection, count(*) AS turns FROM turns WHERE collection <> 'c2' GROUP BY 1",
     "content_type_request": f"WITH {TURNS} SELECT conv_id, turn, {_REQUEST} AS request FROM turns",

@@ -212,3 +212,30 @@ def test_plans_stay_in_the_jvm_and_push_filters(spark, sf):
     plan = QUERIES["page_range_filter"](spark, sf)._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "source" in plan.split("PushedFilters")[1][:200] and "Python" not in plan
     assert "WindowGroupLimit" in QUERIES["knn_topk"](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_long_paragraphs_are_split(spark):
+    import random
+    import re
+
+    def parts(text):
+        if len(text) <= 800:
+            return [text]
+        done, part, size = [], [], 0
+        for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", text):
+            s = s.strip()
+            if s and part and size + len(s) > 600 and (size > 400 or s.startswith(tuple(chunking.STARTERS))):
+                done.append(" ".join(part))
+                part, size = [], 0
+            if s:
+                part.append(s)
+                size += len(s)
+        done += [" ".join(part)] if part else []
+        return [p.strip() for p in done if len(p.strip()) > 50] or [text]
+
+    rng = random.Random(4)
+    texts = ["", "short", "x" * 900, "A. " * 400]
+    for _ in range(40):
+        texts.append(" ".join(rng.choice(["However, ", "Then ", "Another ", "the "]) + "word " * rng.randrange(1, 90) + rng.choice([".", "!", " no end"]) for _ in range(rng.randrange(1, 20))))
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", chunking.paragraph_parts(F.col("t")).alias("p")).collect()
+    assert {r.k: r.p for r in rows} == {k: parts(t) for k, t in enumerate(texts)}
