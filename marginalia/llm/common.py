@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _own_folder(context) -> str:
+    """A folder for tests on one machine; on a cluster nobody else would see it, so one has to be named."""
+    if not context.master.startswith("local"):
+        raise ValueError("name a shared folder in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, with its lineage cut.
 
@@ -39,7 +46,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(named or _own_folder(context))
     return df.checkpoint(eager=True)
 
 
@@ -65,7 +72,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        spark.sparkContext.setCheckpointDir(_own_folder(spark.sparkContext))
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     return jvm_dir.get()
 
