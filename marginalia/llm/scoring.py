@@ -6,6 +6,8 @@ before it, so that all ids have a probability and these sum to one. The class mo
 masked attention layer finds in the ids before to the log-probability of the class after the class
 before it, which is counted over the whole corpus. Texts are laid out in blocks: each block attends
 to itself and the block before, so that windows overlap by half and every id is scored once.
+A word's probability is half that of its ids, and that it ends there, and half its share of all training tokens,
+so that words that the corpus has often are not only spelled.
 
 Counts come from all words of all training texts. The attention weights are trained by local steps of
 Adam on all partitions over every passage of the training texts, once a round at any size, averaged
@@ -36,6 +38,8 @@ WIDTH, SPAN, HEADS, INNER, OWN = 16, 16, 40, 87, 2048
 PASSAGE, ROUNDS, BATCH, RATE = 48, 1, 16, 1e-2
 #: Words that a worker keeps the ids of, and bytes of text that are worked on at once.
 KEEP_WORDS, PIECE = 200_000, 2 << 20
+#: Share of a word's probability that comes from its count among the training tokens, not from the model of its ids.
+MIX = 0.5
 #: Hash buckets that a neighbour id is counted by, to group ids into classes.
 SIDES = 61
 SEED = 3
@@ -205,8 +209,25 @@ class Scorer:
         fresh[start[:-1][blocks > 0]] = True
         return place, fresh, int(start[-1])
 
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, counts: np.ndarray, blocks_at_once: int = 512) -> np.ndarray:
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Natural logarithm of each target's probability; inputs are the ids before them, the end before a text."""
+        return self.logs(inputs, targets, counts)[0]
+
+    def word_logs(self, inputs: np.ndarray, targets: np.ndarray, counts: np.ndarray, starts: np.ndarray, ends: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each word and end, whose ids begin at `starts`; `ends` says which are ends.
+
+        A word is its ids and that no further one follows, given that a word or the end begins. `MIX` of its probability
+        is its share of all training tokens.
+        """
+        p, stop = (x.astype(np.float64) for x in self.logs(inputs, targets, counts))
+        after = np.append(stop[starts[1:]], 0.0)
+        after[ends] = 0.0
+        spelled = np.add.reduceat(p, starts) - stop[starts] + after
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(1 - MIX) + spelled, np.log(MIX) + np.log(shares))
+
+    def logs(self, inputs: np.ndarray, targets: np.ndarray, counts: np.ndarray, blocks_at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """`log_probabilities`, and in the same places the logarithm of the chance that a word or the end begins."""
         place, fresh, n = self.layout(inputs, counts)
         rows = np.full(n * SPAN, OWN, np.int64)
         rows[place] = self.row[inputs]
@@ -215,7 +236,7 @@ class Scorer:
         before[place] = self.class_of[inputs]
         wanted = np.zeros(n * SPAN, np.int64)
         wanted[place] = self.class_of[targets]
-        out = np.empty(n * SPAN, np.float32)
+        out, stop = np.empty(n * SPAN, np.float32), np.empty(n * SPAN, np.float32)
         for k in range(0, n, blocks_at_once):
             low = max(k - 1, 0)
             own = slice(low, k + blocks_at_once)
@@ -230,8 +251,10 @@ class Scorer:
             picked = logits[np.arange(len(z)), wanted[part]]
             logits -= top[:, None]
             np.exp(logits, out=logits)
-            out[part] = picked - top - np.log(logits.sum(axis=1))
-        return out[place] + self.within[self.class_of[inputs], targets]
+            whole = logits.sum(axis=1)
+            out[part] = picked - top - np.log(whole)
+            stop[part] = np.log(np.maximum(logits[:, : HEADS + 1].sum(axis=1) / whole, np.float32(1e-30)))
+        return out[place] + self.within[self.class_of[inputs], targets], stop[place]
 
     def gradients(self, w: dict, inputs: np.ndarray, targets: np.ndarray, counts: np.ndarray, scored: np.ndarray):
         place, fresh, n = self.layout(inputs, counts)
@@ -391,10 +414,13 @@ def _score(key, texts: pa.Table, counts: pa.Table, path: str, shared, totals: tu
         upto = np.concatenate(([0], np.cumsum(each)))[first]
         lengths = np.diff(upto)
         total = np.zeros(len(lengths))
-        targets = np.insert(stream, upto[1:], model.end)
-        inputs = np.insert(stream, upto[:-1], model.end)
-        p = model.log_probabilities(inputs, targets, lengths + 1).astype(np.float64)
-        total = np.add.reduceat(p, np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]) / np.log(10) if len(lengths) else total
+        if len(lengths):
+            targets = np.insert(stream, upto[1:], model.end)
+            inputs = np.insert(stream, upto[:-1], model.end)
+            sizes = np.insert(each, first[1:], 1)
+            shares = np.insert(c, first[1:], n_ends) / max(n_all, 1)
+            p = model.word_logs(inputs, targets, lengths + 1, np.cumsum(sizes) - sizes, first[1:] + np.arange(len(lengths)), shares)
+            total = np.add.reduceat(p, first[:-1] + np.arange(len(lengths))) / np.log(10)
         rows.append(pa.RecordBatch.from_arrays(
             [part.column(part.schema.get_field_index("doc_id")), pa.array(~part.column(part.schema.get_field_index("train")).to_numpy(zero_copy_only=False)), pa.array(np.diff(first) + 1), pa.array(known.astype(np.int64)), pa.array(np.full(len(lengths), n_all)), pa.array(base), pa.array(total)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

@@ -414,6 +414,17 @@ def test_scorer_gradients_and_sums():
     m.weights = {n: x.astype(np.float32) for n, x in w.items()}
     total = sum(math.exp(m.log_probabilities(np.append(m.end, ids[:20]), np.append(ids[:20], t), np.array([21]))[-1]) for t in range(size + 1))
     assert total == pytest.approx(1, abs=1e-3)
+    # Words of two, one and three ids, then the end: each by its ids and its stop, mixed with its share.
+    stream = np.array([2, 1, 4, 6, 3, 5])
+    before, after = np.append(m.end, stream), np.append(stream, m.end)
+    p, stop = m.logs(before, after, np.array([7]))
+    for t in range(7):
+        seen = np.array([m.log_probabilities(before[: t + 1], np.append(after[:t], x), np.array([t + 1]))[-1] for x in [*np.flatnonzero(initial), m.end]])
+        assert math.exp(stop[t]) == pytest.approx(np.exp(seen).sum(), abs=1e-3)
+    shares = [0.2, 0.0, 0.05, 0.1]
+    spelled = [p[0] + p[1] - stop[0] + stop[2], p[2] - stop[2] + stop[3], p[3] + p[4] + p[5] - stop[3] + stop[6], p[6] - stop[6]]
+    wanted = [math.log((1 - scoring.MIX) * math.exp(x) + scoring.MIX * y) for x, y in zip(spelled, shares)]
+    assert m.word_logs(before, after, np.array([7]), np.array([0, 2, 3, 6]), np.array([3]), np.array(shares)) == pytest.approx(wanted, abs=1e-4)
 
 
 # HTML.
