@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, fingerprints, htmltext, langid, mixing, neardup, quality, repetition, scoring
+from . import bpe, exact, fingerprints, htmltext, langid, mixing, neardup, quality, ranked, repetition, scoring
 from .common import table
 
 
@@ -48,5 +48,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_score, op2_remove_repeats, op3_language_id, op4_near_duplicates, op5_fingerprints, op6_quality, op7_bpe, op8_html_text, op9_mix_sources, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op5_fingerprints": fingerprints.ORACLE_SQL}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_score, op2_remove_repeats, op3_language_id, op4_near_duplicates, op5_fingerprints, op6_quality, op7_bpe, op8_html_text, op9_mix_sources, op10_quality_rules, op13_ranked_search)}
+ORACLE_SQL: dict[str, str] = {"op5_fingerprints": fingerprints.ORACLE_SQL, "op13_ranked_search": ranked.ORACLE_SQL}
