@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import queries, ranked
+from marginalia.llm import divergence, queries, ranked
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ODD = [
@@ -98,3 +98,54 @@ def test_tree_opens_ties_and_closes_the_rest():
     assert [x.shape[1] for x in tree.levels] == [256, 16, 1]
     docs, scores = tree.search(np.array([0]), 3, 1, np.zeros(1, bool))
     assert sorted(docs.tolist()) == list(range(7, n, 512)) and len(set(scores.tolist())) == 1
+
+
+def audited(docs, fewest, top):
+    """Rows by the formulas, over every term of every group."""
+    held = [(d[2] or "", d[3] or "", Counter(re.findall(divergence.TERM, lowered(d[1])))) for d in docs]
+    out = []
+    for lang in {d[0] for d in held}:
+        own = [(s, c) for g, s, c in held if g == lang]
+        kept = {t for t, n in Counter(t for _, c in own for t in c).items() if n >= fewest}
+        sources = sorted({s for s, _ in own})
+        count = {s: Counter() for s in [*sources, None]}
+        for s, c in own:
+            for t in kept & set(c):
+                count[s][t] += c[t]
+                count[None][t] += c[t]
+        p = {s: {t: 1 + 10**9 * (c[t] + 1) // (sum(c.values()) + len(kept)) for t in kept} for s, c in count.items()}
+        f = lambda p, q: (p - q) ** 2 // q
+        for s in sources:
+            pairs = [(-sum(f(p[s][t], p[o][t]) for t in kept), o.encode(), o) for o in sources if o != s]
+            terms = [(-f(p[s][t], p[None][t]), t.encode(), t) for t in kept if count[s][t] and p[s][t] > p[None][t]]
+            out += [(lang, s, "pair", x[2], -x[0], r + 1) for r, x in enumerate(sorted(pairs))] + [(lang, s, "term", x[2], -x[0], r + 1) for r, x in enumerate(sorted(terms)[:top])]
+    return sorted(out)
+
+
+def test_divergence_is_its_sql(spark, sf, db):
+    check_sql(spark, sf, db, "op11_source_divergence")
+
+
+@pytest.mark.parametrize("fewest, top", [(3, 200), (1, 200), (1, 2), (2, 1)])
+def test_divergence_of_odd_rows(spark, odd, monkeypatch, fewest, top):
+    """With sources dealt one by one, and buckets opened a few at a time."""
+    monkeypatch.setattr(divergence, "DEAL", 2)
+    monkeypatch.setattr(divergence, "MORE", 2)
+    extra = [(100 + k, f"a b{k % 4} é{k % 3} c{k % 7} " * (k % 5), "en", f"s{k % 6}", 1) for k in range(60)]
+    docs = odd.unionByName(spark.createDataFrame(extra, DOCS), allowMissingColumns=True)
+    found = divergence.audit(docs, fewest, top)
+    assert found.columns == ["lang", "source", "part", "item", "value", "rank"]
+    assert sorted(tuple(r) for r in found.collect()) == audited(ODD + extra, fewest, top)
+
+
+def test_divergence_without_rows_or_terms(spark, odd, none):
+    assert divergence.audit(none).count() == 0
+    few = odd.filter("doc_id in (1, 3, 2) or doc_id is null")
+    assert sorted(tuple(r)[:5] for r in divergence.audit(few).collect()) == [("en", "s1", "pair", "s2", 0), ("en", "s2", "pair", "s1", 0)]
+
+
+def test_probabilities_beyond_64_bits(spark):
+    """Counts of a petabyte: the product with the scale needs more than 64 bits."""
+    n = 3 * 10**12
+    row = spark.range(1).select(divergence.share(F.lit(n), F.lit(7 * 10**12 + 1)).alias("p")).first()
+    assert row.p == 1 + 10**9 * (n + 1) // (7 * 10**12 + 1)
