@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, divergence, exact, fingerprints, htmltext, langid, mixing, neardup, quality, ranked, repetition, scoring
+from . import bpe, divergence, exact, fingerprints, htmltext, langid, mixing, neardup, ngramjoin, quality, ranked, repetition, scoring
 from .common import table
 
 
@@ -52,9 +52,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.joined(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_score, op2_remove_repeats, op3_language_id, op4_near_duplicates, op5_fingerprints, op6_quality, op7_bpe, op8_html_text, op9_mix_sources, op10_quality_rules, op11_source_divergence, op13_ranked_search)}
-ORACLE_SQL: dict[str, str] = {"op5_fingerprints": fingerprints.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op13_ranked_search": ranked.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_score, op2_remove_repeats, op3_language_id, op4_near_duplicates, op5_fingerprints, op6_quality, op7_bpe, op8_html_text, op9_mix_sources, op10_quality_rules, op11_source_divergence, op12_ngram_join, op13_ranked_search)}
+ORACLE_SQL: dict[str, str] = {"op5_fingerprints": fingerprints.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op12_ngram_join": ngramjoin.ORACLE_SQL, "op13_ranked_search": ranked.ORACLE_SQL}

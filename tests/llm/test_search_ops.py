@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import divergence, queries, ranked
+from marginalia.llm import divergence, ngramjoin, queries, ranked
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ODD = [
@@ -149,3 +149,84 @@ def test_probabilities_beyond_64_bits(spark):
     n = 3 * 10**12
     row = spark.range(1).select(divergence.share(F.lit(n), F.lit(7 * 10**12 + 1)).alias("p")).first()
     assert row.p == 1 + 10**9 * (n + 1) // (7 * 10**12 + 1)
+
+
+def grouped(docs, percent=90):
+    """(doc_id, n_shingles, component_id) by comparing all pairs."""
+    sets = []
+    for d in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lowered(d[1]))
+        sets.append({tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+    root = list(range(len(docs)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, d in enumerate(docs):
+        if d[0] is not None:
+            least[find(k)] = min(d[0], least.get(find(k), d[0]))
+    return sorted(((d[0], len(sets[k]), least.get(find(k))) for k, d in enumerate(docs)), key=str)
+
+
+def test_ngram_join_is_its_sql(spark, sf, db):
+    check_sql(spark, sf, db, "op12_ngram_join")
+
+
+def test_ngram_join_of_odd_rows(spark, odd, none):
+    assert sorted((tuple(r) for r in ngramjoin.joined(odd).collect()), key=str) == grouped(ODD)
+    assert ngramjoin.joined(none).count() == 0
+    assert [tuple(r) for r in ngramjoin.joined(odd.filter("doc_id = 10")).collect()] == [(10, 0, 10)]
+
+
+@pytest.mark.parametrize("deal, most, cost, turns", [(256, 8, 50, 2), (3, 1, 50, 1), (5, 4, 1000, 2)])
+def test_ngram_join_of_near_copies(spark, monkeypatch, deal, most, cost, turns):
+    """Groups of near copies on both sides of the limit, with a passage that many share and chains of links."""
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(400)]
+    passage = " ".join(rng.choices(words, k=40))
+    docs = []
+    for group in range(12):
+        base = rng.choices(words, k=rng.choice([3, 12, 60, 130]))
+        for _ in range(rng.choice([1, 2, 25])):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 5])):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            if rng.random() < 0.2:
+                base = own  # the next ones are copies of this one
+            text = " ".join(own)
+            docs.append((len(docs) * 3 % 101, f"{passage} {text}" if group % 3 == 0 else text.upper() if rng.random() < 0.3 else text, "en", "s", 1))
+    monkeypatch.setattr(ngramjoin, "DEAL", deal)
+    monkeypatch.setattr(ngramjoin, "PAIRS", deal)
+    found = ngramjoin.joined(spark.createDataFrame(docs, DOCS), most=most, cost=cost, turns=turns)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == grouped(docs)
+
+
+def test_prefixes_ask_for_more_where_many_meet():
+    """A shingle set in many texts takes a longer prefix with more matches; one with enough shingles of its own meets nobody."""
+    import numpy as np
+
+    n = 100
+    row, value = np.repeat([0, 1], n), np.tile(np.arange(n, dtype=np.uint64), 2)
+    df = np.concatenate([np.full(n, 1000), np.where(np.arange(n) < 30, 1, 1000)])
+    sizes, need, held, _ = ngramjoin.prefixes(row, value, df, 2, 90, 8, 50)
+    assert sizes.tolist() == [100, 100] and need[0] > 1 and need[1] == 1
+    assert (held == 0).sum() == 10 + need[0] and (held == 1).sum() == 0
+
+
+def test_a_text_of_some_megabytes(spark):
+    """Longer than a slice: read whole by all three."""
+    long = "start " + "middle of a long text " * 400_000 + "last zyx"
+    docs = spark.createDataFrame([(1, long, "en", "a", 1), (2, long + " ", "en", "b", 1), (3, "zyx", "en", "b", 1)], DOCS)
+    assert sorted(tuple(r) for r in ngramjoin.joined(docs).collect()) == [(1, 8, 1), (2, 8, 1), (3, 1, 3)]
+    items = spark.createDataFrame([(1, "zyx")], "item_id bigint, text string")
+    assert [r.doc_id for r in ranked.search(docs, items).orderBy("rank").collect()] == [3, 1, 2]
+    assert {r.item for r in divergence.audit(docs, 2).filter("part = 'term'").collect()} <= set(long.split())
