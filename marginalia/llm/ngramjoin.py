@@ -4,7 +4,8 @@ A document is the set of its distinct 3-word shingles, ordered from the rarest i
 Jaccard similarity is t at least share l shingles or more in their prefixes of |s| - ceil(t |s|) + l, for any l. Each document
 takes the l from 1 to `MOST` whose estimated cost is least: a longer prefix meets more documents, but more of its shingles have to
 be shared before the texts are compared, the less of the two documents' l at least. Shingles that only one text has can't be
-shared, so a document with as many of them as its prefix is long meets nobody.
+shared, so a document with as many of them as its prefix is long meets nobody. Of two documents that meet, the sizes tell how many
+shingles they have to share at least, hence a prefix of this pair's own, mostly half as long, in which their matches count.
 
 How many texts have a shingle is counted by a 32-bit print in one of many buckets: blocks of texts send each print once, and get
 back those that others have too. Prints that meet by chance alter the order only, which is the same for all documents. Of the
@@ -27,8 +28,8 @@ from .neardup import components
 
 #: Words of a shingle; percent of the union that is shared at least.
 WORDS, PERCENT = 3, 90
-#: Most matches that a prefix asks for; the cost of comparing two texts, in postings.
-MOST, VERIFY = 8, 50
+#: Most matches that a prefix asks for; the cost of comparing two texts, in postings (few that meet once don't share their pair's prefix).
+MOST, VERIFY = 4, 1
 #: Bytes of text in a slice, whose prints are counted together, and for each bucket of prints.
 SLICE, BUCKET = 8 << 20, 16 << 20
 #: Turns in which members meet leaders; members of a list, and pairs of one text, that meet in one task.
@@ -100,11 +101,11 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else table.slice(0, 0).select(["slice", "bucket", "prints", "counts"])
 
 
-CHOSEN = "node binary, n int, need int, keys array<bigint>"
+CHOSEN = "node binary, n int, need int, keys array<bigint>, places array<int>"
 
 
-def prefixes(row: np.ndarray, value: np.ndarray, df: np.ndarray, n_rows: int, percent: int, most: int, cost: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Set size and matches asked for of each row, and the rows and shingles of the prefixes, without those of one text."""
+def prefixes(row: np.ndarray, value: np.ndarray, df: np.ndarray, n_rows: int, percent: int, most: int, cost: float) -> tuple[np.ndarray, ...]:
+    """Set size and matches asked for of each row, and the rows, shingles and places in the row's order of the prefixes, without shingles of one text."""
     order = np.lexsort((value, df, row))
     row, value, df = row[order], value[order], df[order]
     n = np.bincount(row, minlength=n_rows)
@@ -121,7 +122,7 @@ def prefixes(row: np.ndarray, value: np.ndarray, df: np.ndarray, n_rows: int, pe
         need = np.where(now < best, l, need)
         best = np.minimum(best, now)
     held = (place < (free + need)[row]) & (df > 1)
-    return n, need, row[held], value[held]
+    return n, need, row[held], value[held], place[held]
 
 
 def _choose(left: pa.Table, right: pa.Table, buckets: int, percent: int, most: int, cost: float) -> pa.Table:
@@ -139,10 +140,10 @@ def _choose(left: pa.Table, right: pa.Table, buckets: int, percent: int, most: i
             wanted = _print_keys(value, buckets)
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             df = np.where(keys[at] == wanted, counts[at], 1)
-        n, need, held, shingle = prefixes(row, value, df, part.num_rows, percent, most, cost)
+        n, need, held, shingle, place = prefixes(row, value, df, part.num_rows, percent, most, cost)
         at = np.searchsorted(held, np.arange(part.num_rows + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(shingle.view(np.int64)))
-        out.append(pa.table([part.column(part.schema.get_field_index("node")), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32)), lists], names=["node", "n", "need", "keys"]))
+        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (shingle.view(np.int64), place.astype(np.int32))]
+        out.append(pa.table([part.column(part.schema.get_field_index("node")), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32)), *lists], names=[x.split()[0] for x in CHOSEN.split(", ")]))
     return pa.concat_tables(out)
 
 
@@ -187,8 +188,12 @@ def _compared(pairs: DataFrame, known: DataFrame, slice_of, percent: int) -> Dat
     return checkpointed(b.join(a, ["a", "turn"]).select("a", "b", "a_text", "b_text").mapInArrow(partial(_alike, percent=percent), "a binary, b binary"))
 
 
-def _alike_in_size(n: Column, m: Column, percent: int) -> Column:
-    return 100 * F.least(n, m).cast("bigint") >= percent * F.greatest(n, m).cast("bigint")
+def _may_match(a: Column, b: Column, percent: int) -> Column:
+    """Whether two postings of a shingle (n, need, place) count for their documents: the sizes allow a link, and both places are in
+    the prefixes that the pair's least overlap and the less of their needs leave."""
+    n, m = a["n"].cast("bigint"), b["n"].cast("bigint")
+    spare = F.least(a["need"], b["need"]) - F.ceil(percent * (n + m) / F.lit(100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (a["place"] < n + spare) & (b["place"] < m + spare)
 
 
 def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -196,17 +201,17 @@ def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     In each list the members outside its largest component meet all members; a long list's members are dealt out.
     """
-    rooted = members.join(classes.select(F.col("node").alias("v"), "root"), F.col("node") == F.col("v"), "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "n", "need", "root")
+    rooted = members.join(classes.select(F.col("node").alias("v"), "root"), F.col("node") == F.col("v"), "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "own", "root")
     rooted = written(rooted)
     main = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("roots"))
     main = main.filter("roots > 1").select(F.col("key").alias("l"), F.col("x.root").alias("main"), F.ceil(F.col("all") / DEAL).cast("bigint").alias("deals"))
     mixed_lists = rooted.join(main, F.col("key") == F.col("l")).drop("l")
     turns = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deals") - 1)).alias("deal")
-    a = mixed_lists.filter("root <> main").select("key", turns, F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("need").alias("need_a"), F.col("root").alias("root_a"))
-    b = mixed_lists.select("key", F.pmod(F.xxhash64("node"), F.col("deals")).alias("deal"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), "root", "main")
-    met = a.join(b, ["key", "deal"]).filter((F.col("root_a") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))) & _alike_in_size(F.col("n_a"), F.col("n_b"), percent))
+    a = mixed_lists.filter("root <> main").select("key", turns, F.col("node").alias("a"), F.col("own").alias("own_a"), F.col("root").alias("root_a"))
+    b = mixed_lists.select("key", F.pmod(F.xxhash64("node"), F.col("deals")).alias("deal"), F.col("node").alias("b"), "own", "root", "main")
+    met = a.join(b, ["key", "deal"]).filter((F.col("root_a") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_match(F.col("own_a"), F.col("own"), percent))
     # A list's largest component may be another one's small one: both directions count as one pair.
-    pair = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("need_a", "need_b").alias("need"))
+    pair = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("own_a.need", "own.need").alias("need"))
     return checkpointed(pair.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("m")).filter("m >= need").select("a", "b")), rooted
 
 
@@ -235,20 +240,20 @@ def joined(docs: DataFrame, percent: int = PERCENT, most: int = MOST, cost: floa
 
     shared = known.groupBy("slice").applyInArrow(prints, PRINTS).groupBy("bucket").applyInArrow(_shared, PRINTS)
     chosen = written(known.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(choose, CHOSEN))
-    lists = chosen.select("node", "n", "need", F.explode("keys").alias("key"))
+    lists = chosen.select("node", "n", "need", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("node", F.struct("n", "need", F.col("x.places").alias("place")).alias("own"), F.col("x.keys").alias("key"))
     several = lists.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("key").alias("k"))
     every = members = written(lists.join(several, F.col("key") == F.col("k")).drop("k"))
 
     links: list[DataFrame] = []
     tables = [every]
     for turn in range(turns):
-        leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node", "n")).alias("l"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("key").alias("k"), F.col("l.node").alias("leader"), F.col("l.n").alias("n_l"))
+        leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node", "own")).alias("l"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("key").alias("k"), F.col("l.node").alias("leader"), F.col("l.own").alias("own_l"))
         met = members.join(leaders, F.col("key") == F.col("k")).filter("node <> leader")
-        pairs = checkpointed(met.filter(_alike_in_size(F.col("n"), F.col("n_l"), percent)).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+        pairs = checkpointed(met.filter(_may_match(F.col("own"), F.col("own_l"), percent)).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
         links.append(_compared(pairs, known, slice_of, percent))
         if turn + 1 < turns:  # those that neither lead nor are linked to their leader meet again
             taken = links[-1].select(F.col("a").alias("leader"), F.col("b").alias("node"))
-            members = written(met.join(taken, ["leader", "node"], "left_anti").select("key", "node", "n", "need"))
+            members = written(met.join(taken, ["leader", "node"], "left_anti").select("key", "node", "own"))
             tables.append(members)
     classes = components(reduce(DataFrame.union, links)) if links else known.select("node", F.col("node").alias("root")).limit(0)
     pairs, rooted = _apart(every, classes, percent)

@@ -217,7 +217,7 @@ def test_prefixes_ask_for_more_where_many_meet():
     n = 100
     row, value = np.repeat([0, 1], n), np.tile(np.arange(n, dtype=np.uint64), 2)
     df = np.concatenate([np.full(n, 1000), np.where(np.arange(n) < 30, 1, 1000)])
-    sizes, need, held, _ = ngramjoin.prefixes(row, value, df, 2, 90, 8, 50)
+    sizes, need, held, _, _ = ngramjoin.prefixes(row, value, df, 2, 90, 8, 50)
     assert sizes.tolist() == [100, 100] and need[0] > 1 and need[1] == 1
     assert (held == 0).sum() == 10 + need[0] and (held == 1).sum() == 0
 
