@@ -135,16 +135,6 @@ def footnotes(spans: DataFrame, height: float = PAGE_HEIGHT) -> DataFrame:
     return rows.select("pdf_filename", "page_number", F.col("s")[0]["number"].alias("reference_number"), F.array_join(F.col("s.content"), " ").alias("content"), "x0", "y0", "x1", "y1")
 
 
-def captions(boxes: DataFrame, spans: DataFrame, reach: float = 50.0, margin: float = 30.0) -> DataFrame:
-    """Each box with its caption: a span below it, or above it where `kind` is table, that begins as one does, else any short one.
-    Boxes without a column `kind` are figures."""
-    boxes = boxes if "kind" in boxes.columns else boxes.withColumn("kind", F.lit("figure"))
-    s = spans.select(F.col("pdf_filename").alias("p"), F.col("page_number").alias("n"), F.col("x0").alias("sx"), F.col("y0").alias("sy"), "content")
-    near = (F.col("pdf_filename") == F.col("p")) & (F.col("page_number") == F.col("n")) & F.col("sx").between(F.col("x0") - margin, F.col("x1") + margin) & F.when(F.col("kind") == "table", F.col("sy").between(F.col("y0") - reach, F.col("y0"))).otherwise(F.col("sy").between(F.col("y1"), F.col("y1") + reach))
-    rank = F.when(F.col("content").rlike(r"(?i)^\s*(figure|fig\.?|table|tab\.?|chart|diagram)\s*\d+"), 1).when(F.length("content") < 200, 2)
-    return boxes.join(s, near, "left").withColumn("rank", rank).groupBy("pdf_filename", "page_number", "box_id").agg(F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "sy", "sx", "content")))["content"].alias("caption"))
-
-
 def paragraph_positions(pages: DataFrame) -> DataFrame:
     """Paragraphs of a page's text, cut at empty lines, at even steps down the page."""
     parts = pages.withColumn("parts", F.filter(F.transform(F.split("content", r"\n\s*\n"), X.squashed), lambda p: (F.length(p) > 50) | ((F.length(p) > 20) & F.contains(p, F.lit(".")))))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import catalog, chunking, citations, history, layout, pages, retrieval, routing
+from marginalia.operators import bm25index, catalog, chunking, citations, history, layout, matching, pages, retrieval, routing, spatial
 from marginalia.operators.catalog import Scope
-from marginalia.sources import views
+from marginalia.sources import shared, views
 
 QUERIES: dict = {}
 
@@ -94,6 +96,19 @@ def bm25_topk(spark, sf):
     return retrieval.bm25(views.chunks(spark, sf, False), views.queries(spark, sf, False), 10)
 
 
+@query
+def bm25_stored(spark, sf):
+    """The stored index after three upserts and a deletion."""
+    chunks = views.chunks(spark, sf, False).select("collection", "pdf_filename", "chunk_id", "content")
+    index = bm25index.StoredBm25(spark, shared.scratch(spark, "bm25"))
+    late = F.col("pdf_filename").isin("src1", "src2", "src3")
+    index.upsert(chunks.withColumn("content", F.when(late, X.first_words(F.col("content"), 9)).otherwise(F.col("content"))))
+    for name in ("src1", "src2", "src3"):
+        index.upsert(chunks.filter(F.col("pdf_filename") == name))
+    index.delete(chunks.filter("pdf_filename = 'src4' and collection = 'en'").select("collection", "pdf_filename").distinct())
+    return index.search(views.queries(spark, sf, False), 10)
+
+
 @query
 def rule_keywords(spark, sf):
     q = views.queries(spark, sf, False)
@@ -541,5 +556,51 @@ def answer_choice(spark, sf):
     return providers.pick_by_confidence(t)
 
 
+@query
+def toc_title_spans(spark, sf):
+    d, c = views.table(spark, sf, "documents"), F.col("text")
+    title = F.when(F.col("doc_id") % 4 == 0, X.first_words(c, 6)).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("zzq "), X.first_words(c, 6), F.lit(" qqz"))).when(F.col("doc_id") % 4 == 2, F.translate(X.first_words(c, 2), string.ascii_lowercase, string.ascii_uppercase)).otherwise(F.concat(X.first_words(c, 1), F.lit(" qx vz Report kq")))
+    titles = d.select(F.col("source").alias("pdf_filename"), F.col("doc_id").alias("title_id"), title.alias("title"))
+    spans = views.blocks(spark, sf).select("pdf_filename", F.struct("page_number", "doc_id", "line").alias("place"), "content")
+    return matching.title_spans(titles, spans).select("pdf_filename", "title_id", "place.page_number", "place.doc_id", "place.line", "rule")
+
+
+def _boxes(spark, sf, *, x: int, y: int, left: int, top: int, wide: int, least: int, high: int):
+    """A box for each document, on one of five pages of its source."""
+    c, n = F.col, F.coalesce(F.length("text"), F.lit(0))
+    x0, y0 = left + c("doc_id") * x % 320, top + c("doc_id") * y % 600
+    sides = {"x0": x0, "y0": y0, "x1": x0 + least + n % wide, "y1": y0 + high}
+    return views.table(spark, sf, "documents").select(c("source").alias("pdf_filename"), (F.floor(c("doc_id") / 20) % 5 + 1).cast("bigint").alias("page_number"), "doc_id", n.alias("n"), *(v.cast("double").alias(k) for k, v in sides.items()))
+
+
+@query
+def toc_link_targets(spark, sf):
+    sides = F.struct("x0", "y0", "x1", "y1").alias("bbox")
+    entries = _boxes(spark, sf, x=37, y=53, left=72, top=72, wide=200, least=20, high=12).select("pdf_filename", "page_number", F.col("doc_id").alias("entry_id"), sides)
+    links = _boxes(spark, sf, x=91, y=29, left=60, top=70, wide=90, least=15, high=10).select("pdf_filename", "page_number", F.col("doc_id").alias("ord"), sides, (F.col("n") % 40 + 1).cast("bigint").alias("dest_page"))
+    return spatial.link_targets(entries, links)
+
+
+@query
+def box_captions(spark, sf):
+    boxes = _boxes(spark, sf, x=37, y=53, left=72, top=72, wide=200, least=20, high=60).withColumnRenamed("doc_id", "box_id").withColumn("kind", F.when(F.col("box_id") % 3 == 0, "table").otherwise("figure"))
+    c = F.col
+    spans = views.blocks(spark, sf).select(
+        "pdf_filename", (F.floor(c("doc_id") / 20) % 5 + 1).cast("bigint").alias("page_number"), (40.0 + (c("doc_id") * 37 + c("line") * 11) % 500).alias("x0"), (40.0 + (c("line") * 13 + c("doc_id") * 7) % 700).alias("y0"),
+        F.when((c("doc_id") + c("line")) % 5 == 0, F.concat(F.lit("Figure "), c("line"), F.lit(": "), c("content"))).otherwise(c("content")).alias("content"),
+    )
+    return spatial.captions(boxes, spans)
+
+
+@query
+def table_fallback(spark, sf):
+    """Every word is a span of its document's region; lines are rows, some of them a few points apart only."""
+    words = views.blocks(spark, sf).select("pdf_filename", "doc_id", "line", F.posexplode(X.words(F.col("content"))).alias("k", "content"))
+    x0, y0 = 50.0 + F.col("k") * 60.0, 72.0 + F.col("line") * 12.0 - F.when(F.col("line") % 4 == 3, 6.0).otherwise(0.0) + F.col("k") % 3 * 2.0
+    spans = words.select("pdf_filename", F.lit(1).alias("page_number"), F.col("doc_id").alias("region"), "content", x0.alias("x0"), y0.alias("y0"), (x0 + F.length("content") * 6.0).alias("x1"))
+    g = spatial.table_grids(spans)
+    return g.select("region", F.size("grid").cast("bigint").alias("n_rows"), F.size(F.get("grid", F.lit(0))).cast("bigint").alias("n_columns"), F.md5(F.array_join(F.transform("grid", lambda r: F.array_join(r, "|")), "~")).alias("digest"))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return fused_pipeline(spark, sf)

@@ -193,7 +193,39 @@ _REQUEST = f"CASE WHEN {holds('lower(user_message)', lists.TABLE_REQUEST)} THEN
 _CLASS = f"CASE WHEN {holds('lower(user_message)', lists.VISUAL_QUESTION)} THEN 'visual' WHEN {holds('lower(user_message)', lists.COMPLEX_QUESTION)} THEN 'complex' WHEN {holds('lower(user_message)', lists.SIMPLE_QUESTION)} THEN 'simple' ELSE 'medium' END"
 _KIND = f"CASE WHEN contains(lower(toc_title), 'table') THEN 'table' WHEN contains(lower(toc_title), 'fig') THEN 'figure' WHEN len([r for r in string_split(content, chr(10)) if contains(r, '|')]) >= 2 THEN 'table' WHEN {holds('lower(content)', lists.FIGURE_CONTENT)} THEN 'figure' ELSE 'text' END"
 
+def boxes(name: str, x: int, y: int, left: int, top: int, wide: int, least: int, high: int) -> str:
+    return f"""{name} AS (SELECT source AS pdf_filename, doc_id // 20 % 5 + 1 AS page_number, doc_id, coalesce(length(text), 0) AS n, ({left} + doc_id * {x} % 320)::DOUBLE AS x0, ({top} + doc_id * {y} % 600)::DOUBLE AS y0,
+  x0 + {least} + coalesce(length(text), 0) % {wide} AS x1, y0 + {high} AS y1 FROM documents)"""
+
+
+def _near(p: str, q: str) -> str:
+    return f"least(abs(a.{p} - b.{q}), abs(a.{q} - b.{p}), abs(a.{p} - b.{p}), abs(a.{q} - b.{q})) <= 10"
+
+
+_HELD = "len([w FOR w IN t.w IF contains(s.low, w)])"
+_KEYS = "[w FOR w IN t.w[1:3] IF length(w) > 3]"
+
 SQL: dict[str, str] = {
+    "toc_title_spans": f"""WITH {BLOCKS}, titles AS (SELECT source AS pdf_filename, doc_id AS title_id, coalesce(CASE doc_id % 4 WHEN 0 THEN {first_words("text", 6)} WHEN 1 THEN 'zzq ' || {first_words("text", 6)} || ' qqz' WHEN 2 THEN translate({first_words("text", 2)}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE {first_words("text", 1)} || ' qx vz Report kq' END, '') AS title FROM documents),
+t AS (SELECT *, {stripped("lower(title)")} AS low, {words(stripped("lower(title)"))} AS w FROM titles), s AS (SELECT *, lower(content) AS low FROM blocks WHERE content <> ''),
+m AS (SELECT t.pdf_filename, t.title_id, s.page_number, s.doc_id, s.line, CASE WHEN contains(s.low, t.low) THEN 1 WHEN len(t.w) > 1 AND {_HELD} >= len(t.w) // 2 THEN 2 WHEN len(t.w) > 2 AND len({_KEYS}) > 0 AND len([w FOR w IN {_KEYS} IF contains(s.low, w)]) = len({_KEYS}) THEN 3 END AS rule FROM t JOIN s USING (pdf_filename))
+SELECT * FROM m WHERE rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pdf_filename, title_id ORDER BY rule, page_number, doc_id, line) = 1""",
+    "toc_link_targets": f"""WITH {boxes("a", 37, 53, 72, 72, 200, 20, 12)}, {boxes("b", 91, 29, 60, 70, 90, 15, 10)}
+SELECT a.pdf_filename, a.doc_id AS entry_id, min(b.doc_id) AS ord, arg_min(b.n % 40 + 1, b.doc_id) AS dest_page FROM a JOIN b USING (pdf_filename, page_number)
+WHERE (a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0) OR ({_near("x0", "x1")} AND {_near("y0", "y1")}) GROUP BY 1, 2""",
+    "box_captions": f"""WITH {BLOCKS}, {boxes("b", 37, 53, 72, 72, 200, 20, 60)}, s AS (SELECT pdf_filename, doc_id // 20 % 5 + 1 AS page_number, 40.0::DOUBLE + (doc_id * 37 + line * 11) % 500 AS sx, 40.0::DOUBLE + (line * 13 + doc_id * 7) % 700 AS sy,
+  CASE WHEN (doc_id + line) % 5 = 0 THEN 'Figure ' || line || ': ' || content ELSE content END AS content FROM blocks),
+m AS (SELECT b.pdf_filename, b.page_number, b.doc_id AS box_id, sy, sx, s.content, CASE WHEN regexp_matches(s.content, '(?i)^\\s*(figure|fig\\.?|table|tab\\.?|chart|diagram)\\s*\\d+') THEN 1 WHEN length(s.content) < 200 THEN 2 END AS rank
+  FROM b JOIN s ON s.pdf_filename = b.pdf_filename AND s.page_number = b.page_number AND sx BETWEEN x0 - 30 AND x1 + 30 AND CASE WHEN b.doc_id % 3 = 0 THEN sy BETWEEN y0 - 50 AND y0 ELSE sy BETWEEN y1 AND y1 + 50 END)
+SELECT b.pdf_filename, b.page_number, b.doc_id AS box_id, content AS caption FROM b LEFT JOIN (SELECT * FROM m WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pdf_filename, page_number, box_id ORDER BY rank, sy, sx, content) = 1) m
+  ON m.pdf_filename = b.pdf_filename AND m.page_number = b.page_number AND m.box_id = b.doc_id""",
+    "table_fallback": f"""WITH {BLOCKS}, w AS (SELECT doc_id, line, {words("content")} AS w FROM blocks), e AS (SELECT doc_id, line, w[i] AS content, i - 1 AS k FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM w)),
+p AS (SELECT doc_id, content, 50.0::DOUBLE + k * 60 AS x0, 72.0::DOUBLE + line * 12 - CASE WHEN line % 4 = 3 THEN 6 ELSE 0 END + k % 3 * 2 AS y0, x0 + length(content) * 6 AS x1 FROM e),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY y0, x0, x1, content ROWS UNBOUNDED PRECEDING) AS row FROM (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY doc_id ORDER BY y0, x0, x1, content) <= 5 THEN 0 ELSE 1 END AS fresh FROM p)),
+c AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, row ORDER BY x0, y0, x1, content ROWS UNBOUNDED PRECEDING) AS col FROM (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY doc_id, row ORDER BY x0, y0, x1, content) <= 20 THEN 0 ELSE 1 END AS gap FROM r)),
+cells AS (SELECT doc_id, row, col, string_agg(content, ' ' ORDER BY x0, y0, x1, content) AS content FROM c GROUP BY ALL),
+lines_ AS (SELECT doc_id, row, string_agg(content, '|' ORDER BY col) AS line, max(col) AS own, max(max(col)) OVER (PARTITION BY doc_id) AS most FROM cells GROUP BY doc_id, row)
+SELECT doc_id AS region, count(*) AS n_rows, any_value(most)::BIGINT AS n_columns, md5(string_agg(line || repeat('|', (most - own)::INT), '~' ORDER BY row)) AS digest FROM lines_ GROUP BY doc_id""",
     "collection_stats": f"WITH {CHUNKS} SELECT collection, count(*) AS total_chunks, count(*) FILTER (chunk_type = 'child') AS child_chunks, count(*) FILTER (chunk_type = 'parent') AS parent_chunks, count(DISTINCT page_number) AS pages, count(DISTINCT toc_title) AS sections, count(DISTINCT nullif(pdf_filename, '')) AS documents, count(DISTINCT (pdf_filename, page_number)) AS document_pages FROM chunks GROUP BY 1",
     "chunks_per_doc": f"WITH {CHUNKS} SELECT collection, pdf_filename, count(*) AS chunks FROM chunks GROUP BY ALL",
     "available_docs": f"WITH {CHUNKS} SELECT DISTINCT collection, pdf_filename FROM chunks WHERE pdf_filename <> ''",
@@ -208,6 +240,7 @@ SQL: dict[str, str] = {
     "knn_per_document": f"WITH {CHUNKS}, {QUERIES}, {knn('k', 3, by='pdf_filename')} SELECT * FROM k",
     "tokens": f"WITH {CHUNKS} SELECT chunk_id, len({tok('content')}) AS n_tokens, len(list_distinct({tok('content')})) AS n_terms FROM chunks",
     "bm25_topk": f"WITH {CHUNKS}, {QUERIES}, {bm25('b', 10)} SELECT query_id, chunk_id, score, rank FROM b",
+    "bm25_stored": f"WITH {CHUNKS.replace('chunks AS (', 'every AS (', 1)}, chunks AS (SELECT * FROM every WHERE regexp_matches(content, '[^ ]') AND NOT (pdf_filename = 'src4' AND collection = 'en')), {QUERIES}, {bm25('b', 10)} SELECT query_id, chunk_id, score, rank FROM b",
     "rule_keywords": f"WITH {QUERIES} SELECT query_id, array_to_string([y for y, j in o if list_position(o, y) = j], '|') AS observed, array_to_string([y for y, j in n if list_position(n, y) = j], '|') AS intended FROM (SELECT query_id, {keywords('query', 'observed')} AS o, {keywords('query', 'intended')} AS n FROM qtext)",
     "keyword_search": f"WITH {CHUNKS}, {QUERIES}, {keyword_search('k', 'observed')} SELECT * FROM k",
     "keyword_search_intended": f"WITH {CHUNKS}, {QUERIES}, {keyword_search('k', 'intended')} SELECT * FROM k",

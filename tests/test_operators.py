@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import catalog, chunking, citations, history, layout, pages, retrieval
+from marginalia.operators import catalog, chunking, citations, history, layout, pages, retrieval, spatial
 from marginalia.operators.catalog import Scope
 from marginalia.sources import providers, stages
 
@@ -171,7 +171,7 @@ def test_footnotes_captions_lines(spark):
     assert [(r.reference_number, r.content) for r in layout.footnotes(s).orderBy("note").collect()] == [("1", "1 first goes on"), ("2", "2 second")]
     assert [r.line for r in layout.lines_of_spans(s).orderBy("y0").collect()] == [0, 1, 2, 3]
     boxes = spark.createDataFrame([("d", 1, "b1", 0.0, 600.0, 100.0, 690.0)], "pdf_filename string, page_number int, box_id string, x0 double, y0 double, x1 double, y1 double")
-    assert layout.captions(boxes, s).first().caption == "stray"
+    assert spatial.captions(boxes, s).first().caption == "stray"
 
 
 def test_content_filter_falls_back_to_all(spark):
