@@ -9,18 +9,18 @@ shingles they have to share at least, hence a prefix of this pair's own, mostly
 
 How many texts have a shingle is counted by a 32-bit print in one of many buckets: blocks of texts send each print once, and get
 back those that others have too. Prints that meet by chance alter the order only, which is the same for all documents. Of the
-documents that meet, members first try the leader of each shared shingle; then those of different components are compared, so
-that a group of many near copies costs links, not pairs.
+documents that meet, the members of each shared shingle first try a few leaders, in turns; then those of different components are
+compared, so that a group of many near copies costs links, not pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, discarded, lower_ascii, mixed, pieces, span_hashes, spans_of, utf8, word_spans, written
@@ -32,8 +32,8 @@ WORDS, PERCENT = 3, 90
 MOST, VERIFY = 4, 1
 #: Bytes of text in a slice, whose prints are counted together, and for each bucket of prints.
 SLICE, BUCKET = 8 << 20, 16 << 20
-#: Turns in which members meet leaders; members of a list, and pairs of one text, that meet in one task.
-TURNS, DEAL, PAIRS = 2, 256, 1024
+#: Turns in which members meet leaders, and leaders of a list; members of a list, and pairs of one text, that meet in one task.
+TURNS, LEADERS, DEAL, PAIRS = 2, 4, 256, 1024
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -196,23 +196,41 @@ def _may_match(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (a["place"] < n + spare) & (b["place"] < m + spare)
 
 
-def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _by_list(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members (key, node, own, root) of the lists that hold several components, each with `main`, the root of its list's largest one, and the list's deals."""
+    rooted = written(members.join(classes.select(F.col("node").alias("v"), "root"), F.col("node") == F.col("v"), "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "own", "root"))
+    main = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("roots"))
+    main = main.filter("roots > 1").select(F.col("key").alias("l"), F.col("x.root").alias("main"), F.ceil(F.col("all") / DEAL).cast("bigint").alias("deals"))
+    lists = written(rooted.join(main, F.col("key") == F.col("l")).drop("l"))
+    discarded(rooted)
+    return lists
+
+
+def _led(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a list's leaders and its members of other components.
+
+    In the first turn those lead that have the fewest rarer shingles, as most of a group is alike to them; later some of the main component.
+    """
+    first = [F.col("own.place")] if turn == 0 else []
+    order = Window.partitionBy("key").orderBy(*first, F.xxhash64("node", F.lit(turn)), "node")
+    leading = (lists if turn == 0 else lists.filter("root = main")).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= LEADERS)
+    leading = leading.select(F.col("key").alias("k"), F.col("node").alias("leader"), F.col("own").alias("own_l"), F.col("root").alias("root_l"))
+    met = lists.join(leading, (F.col("key") == F.col("k")) & (F.col("root") != F.col("root_l")) & _may_match(F.col("own"), F.col("own_l"), percent))
+    return checkpointed(met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+
+
+def _apart(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share as many shingles of their prefixes as the less asks for.
 
-    In each list the members outside its largest component meet all members; a long list's members are dealt out.
+    In each list the members outside its main component meet all members; a long list's members are dealt out.
     """
-    rooted = members.join(classes.select(F.col("node").alias("v"), "root"), F.col("node") == F.col("v"), "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "own", "root")
-    rooted = written(rooted)
-    main = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("roots"))
-    main = main.filter("roots > 1").select(F.col("key").alias("l"), F.col("x.root").alias("main"), F.ceil(F.col("all") / DEAL).cast("bigint").alias("deals"))
-    mixed_lists = rooted.join(main, F.col("key") == F.col("l")).drop("l")
     turns = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deals") - 1)).alias("deal")
-    a = mixed_lists.filter("root <> main").select("key", turns, F.col("node").alias("a"), F.col("own").alias("own_a"), F.col("root").alias("root_a"))
-    b = mixed_lists.select("key", F.pmod(F.xxhash64("node"), F.col("deals")).alias("deal"), F.col("node").alias("b"), "own", "root", "main")
+    a = lists.filter("root <> main").select("key", turns, F.col("node").alias("a"), F.col("own").alias("own_a"), F.col("root").alias("root_a"))
+    b = lists.select("key", F.pmod(F.xxhash64("node"), F.col("deals")).alias("deal"), F.col("node").alias("b"), "own", "root", "main")
     met = a.join(b, ["key", "deal"]).filter((F.col("root_a") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_match(F.col("own_a"), F.col("own"), percent))
-    # A list's largest component may be another one's small one: both directions count as one pair.
+    # A list's main component may be another one's small one: both directions count as one pair.
     pair = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("own_a.need", "own.need").alias("need"))
-    return checkpointed(pair.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("m")).filter("m >= need").select("a", "b")), rooted
+    return checkpointed(pair.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("m")).filter("m >= need").select("a", "b"))
 
 
 def joined(docs: DataFrame, percent: int = PERCENT, most: int = MOST, cost: float = VERIFY, turns: int = TURNS) -> DataFrame:
@@ -242,25 +260,16 @@ def joined(docs: DataFrame, percent: int = PERCENT, most: int = MOST, cost: floa
     chosen = written(known.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(choose, CHOSEN))
     lists = chosen.select("node", "n", "need", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("node", F.struct("n", "need", F.col("x.places").alias("place")).alias("own"), F.col("x.keys").alias("key"))
     several = lists.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("key").alias("k"))
-    every = members = written(lists.join(several, F.col("key") == F.col("k")).drop("k"))
-
-    links: list[DataFrame] = []
-    tables = [every]
-    for turn in range(turns):
-        leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node", "own")).alias("l"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("key").alias("k"), F.col("l.node").alias("leader"), F.col("l.own").alias("own_l"))
-        met = members.join(leaders, F.col("key") == F.col("k")).filter("node <> leader")
-        pairs = checkpointed(met.filter(_may_match(F.col("own"), F.col("own_l"), percent)).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-        links.append(_compared(pairs, known, slice_of, percent))
-        if turn + 1 < turns:  # those that neither lead nor are linked to their leader meet again
-            taken = links[-1].select(F.col("a").alias("leader"), F.col("b").alias("node"))
-            members = written(met.join(taken, ["leader", "node"], "left_anti").select("key", "node", "own"))
-            tables.append(members)
-    classes = components(reduce(DataFrame.union, links)) if links else known.select("node", F.col("node").alias("root")).limit(0)
-    pairs, rooted = _apart(every, classes, percent)
-    more = _compared(pairs, known, slice_of, percent)
-    classes = components(classes.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
+    members = written(lists.join(several, F.col("key") == F.col("k")).drop("k"))
+    classes = members.select("node", F.col("node").alias("root")).limit(0)
+    for turn in range(turns + 1):
+        lists = _by_list(members, classes)
+        pairs = _led(lists, turn, percent) if turn < turns else _apart(lists, percent)
+        links = _compared(pairs, known, slice_of, percent)
+        classes = components(classes.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links))
+        discarded(lists)
     sized = checkpointed(chosen.select("node", "n").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    discarded(known, chosen, rooted, *tables)
+    discarded(known, chosen, members)
     own = slim.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = sized.join(own, "node")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
