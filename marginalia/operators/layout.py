@@ -135,9 +135,57 @@ def footnotes(spans: DataFrame, height: float = PAGE_HEIGHT) -> DataFrame:
     return rows.select("pdf_filename", "page_number", F.col("s")[0]["number"].alias("reference_number"), F.array_join(F.col("s.content"), " ").alias("content"), "x0", "y0", "x1", "y1")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value made once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def runs(items: Column, begins, full) -> Column:
+    """An array of texts joined with blanks into longer ones: an item that `begins` one, given the item before it, or that follows
+    a text so far that is `full`, starts a new one.
+
+    The items are cut where that depends on two neighbours only, and each piece is folded for itself, so that the
+    texts done, which a fold copies at each step, are those of one piece.
+    """
+    def step(state: Column, item: Column) -> Column:
+        new = full(state["open"])
+        done = F.when(new, F.array_append(state["done"], state["open"])).otherwise(state["done"])
+        return F.struct(done.alias("done"), F.when(new, item).otherwise(F.concat_ws(" ", state["open"], item)).alias("open"))
+
+    def fold(piece: Column) -> Column:
+        first = F.struct(F.array().cast("array<string>").alias("done"), F.get(piece, F.lit(0)).alias("open"))
+        return F.aggregate(F.slice(piece, 2, F.greatest(F.size(piece) - 1, F.lit(0))), first, step, lambda state: F.array_append(state["done"], state["open"]))
+
+    def whole(x: Column) -> Column:
+        n, at = F.size(x), lambda k: F.element_at(x, k.cast("int"))
+        starts = F.filter(F.sequence(F.lit(1), n), lambda k: F.when(k == 1, True).otherwise(begins(at(k), at(k - 1))))
+        pieces = let(starts, lambda s: F.transform(s, lambda b, k: F.slice(x, b, F.coalesce(F.get(s, k + 1), n + 1) - b)))
+        return F.when(n > 0, F.flatten(F.transform(pieces, fold))).otherwise(F.array().cast("array<string>"))
+
+    return let(items, whole)
+
+
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a page's text; none of a null or blank one.
+
+    Two parts or more between empty lines are paragraphs, those that are long enough, or not so long with a full stop. Where there
+    are none, lines are joined: a capital after a full stop begins a paragraph, and so does what follows 800 characters. Of
+    those of more than 20 characters, each of less than 100 goes on with the one before while that has less than 400.
+    """
+    parted = lambda by: F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), by), X.stripped), lambda p: p != "")
+
+    def by_lines() -> Column:
+        joined = runs(parted("\n"), lambda line, before: F.endswith(before, F.lit(".")) & line.rlike(r"^\p{Lu}"), lambda open_: F.length(open_) > 800)
+        return runs(F.filter(joined, lambda p: F.length(p) > 20), lambda p, _: F.length(p) >= 100, lambda open_: F.length(open_) >= 400)
+
+    long_enough = lambda p: (F.length(p) > 50) | ((F.length(p) > 20) & F.contains(p, F.lit(".")))
+    good = let(parted("\n\n"), lambda blocks: F.when(F.size(blocks) >= 2, F.filter(blocks, long_enough)))
+    return let(good, lambda g: F.when(F.size(g) > 0, g).otherwise(by_lines()))
+
+
 def paragraph_positions(pages: DataFrame) -> DataFrame:
-    """Paragraphs of a page's text, cut at empty lines, at even steps down the page."""
-    parts = pages.withColumn("parts", F.filter(F.transform(F.split("content", r"\n\s*\n"), X.squashed), lambda p: (F.length(p) > 50) | ((F.length(p) > 20) & F.contains(p, F.lit(".")))))
+    """The paragraphs of each page's text (`content`), at even steps down the page; a page without any gives no rows."""
+    parts = pages.select("pdf_filename", "page_number", paragraphs(F.col("content")).alias("parts"))
     step = F.when(F.size("parts") > 1, F.lit(648.0) / F.size("parts")).otherwise(324.0)
     return parts.select("pdf_filename", "page_number", step.alias("step"), F.posexplode("parts").alias("paragraph_index", "text")).select("pdf_filename", "page_number", F.col("paragraph_index").cast("bigint").alias("paragraph_index"), "text", F.round(F.lit(72.0) + F.col("paragraph_index") * F.col("step"), 6).alias("y0"))
 

@@ -313,7 +313,15 @@ SELECT collection, conv_id, turn, user_message, is_summary, old AS is_summarized
     "orphan_files": f"WITH {FILES} SELECT l.* FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.collection = l.collection AND f.pdf_filename = l.pdf_filename AND f.doc_id % 11 <> 0)",
     "batch_outcomes": f"WITH {FILES} SELECT f.collection, CASE WHEN l.pdf_filename IS NULL THEN 'processed' ELSE 'skipped' END AS status, count(*) AS files FROM files f LEFT JOIN ledger l ON l.collection = f.collection AND l.pdf_filename = f.pdf_filename GROUP BY 1, 2",
     "upserted_chunks": f"WITH {CHUNKS} SELECT collection, pdf_filename, count(*) FILTER (pdf_filename NOT IN ('src1', 'src7') OR length(content) % 2 = 1) AS chunks, count(*) FILTER (pdf_filename IN ('src1', 'src7') AND length(content) % 2 = 1) AS fresh FROM chunks GROUP BY 1, 2 HAVING count(*) FILTER (pdf_filename NOT IN ('src1', 'src7') OR length(content) % 2 = 1) > 0",
-    "paragraph_positions": rf"WITH {CHUNKS}, p AS (SELECT pdf_filename, doc_id AS page_number, [t for t in [{squashed('x')} for x in string_split(content, chr(10))] if length(t) > 50 OR (length(t) > 20 AND contains(t, '.'))] AS l FROM chunks), e AS (SELECT *, unnest(generate_series(1, len(l))) AS i FROM p) SELECT pdf_filename, page_number, i - 1 AS paragraph_index, l[i] AS text, round(72.0::DOUBLE + (i - 1) * CASE WHEN len(l) > 1 THEN 648.0::DOUBLE / len(l) ELSE 324.0::DOUBLE END, 6) AS y0 FROM e",
+    "paragraph_positions": rf"""WITH RECURSIVE {CHUNKS}, p AS (SELECT pdf_filename, doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(content, chr(10), chr(10) || chr(10)) ELSE content END AS t FROM chunks),
+b AS (SELECT *, [x FOR x IN [{stripped('y')} FOR y IN string_split(t, chr(10) || chr(10))] IF x <> ''] AS blocks, [x FOR x IN [{stripped('y')} FOR y IN string_split(t, chr(10))] IF x <> ''] AS l FROM p),
+g AS (SELECT *, [x FOR x IN blocks IF length(x) > 50 OR (length(x) > 20 AND contains(x, '.'))] AS good FROM b), k AS (SELECT *, len(blocks) >= 2 AND len(good) > 0 AS plain FROM g),
+line AS (SELECT doc_id, i, l[i] AS x, i > 1 AND ends_with(l[i - 1], '.') AND regexp_matches(l[i], '^\p{{Lu}}') AS begins FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM k WHERE NOT plain)),
+f AS (SELECT doc_id, i, 1 AS para, x AS open FROM line WHERE i = 1 UNION ALL SELECT f.doc_id, l.i, f.para + (l.begins OR length(f.open) > 800)::INT, CASE WHEN l.begins OR length(f.open) > 800 THEN l.x ELSE f.open || ' ' || l.x END FROM f JOIN line l ON l.doc_id = f.doc_id AND l.i = f.i + 1),
+para AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY para) AS i FROM (SELECT doc_id, para, arg_max(open, i) AS x FROM f GROUP BY ALL) WHERE length(x) > 20),
+m AS (SELECT doc_id, i, 1 AS para, x AS open FROM para WHERE i = 1 UNION ALL SELECT m.doc_id, p.i, m.para + (length(p.x) >= 100 OR length(m.open) >= 400)::INT, CASE WHEN length(p.x) >= 100 OR length(m.open) >= 400 THEN p.x ELSE m.open || ' ' || p.x END FROM m JOIN para p ON p.doc_id = m.doc_id AND p.i = m.i + 1),
+parts AS (SELECT doc_id, i, good[i] AS x FROM (SELECT *, unnest(generate_series(1, len(good))) AS i FROM k WHERE plain) UNION ALL SELECT doc_id, para, arg_max(open, i) FROM m GROUP BY doc_id, para)
+SELECT pdf_filename, doc_id AS page_number, (i - 1)::BIGINT AS paragraph_index, x AS text, round(72.0::DOUBLE + (i - 1) * CASE WHEN n > 1 THEN 648.0::DOUBLE / n ELSE 324.0::DOUBLE END, 6) AS y0 FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM parts) JOIN p USING (doc_id)""",
     "toc_page_signals": rf"WITH {CHUNKS}, t AS (SELECT doc_id, regexp_replace(lower(content), '[ \t]', '', 'g') AS t FROM chunks) SELECT doc_id, CASE WHEN contains(t, 'contents') THEN 10 ELSE regexp_matches(t, '[\p{{L}}\p{{N}}_]\.{{2,}}\d')::INT + (len([x for x in regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') if regexp_full_match(x, '\d{{1,3}}')]) > 5)::INT + regexp_matches(t, '\d\.\d')::INT + contains(t, 'appendix')::INT + regexp_matches(t, '\d\.')::INT + contains(t, 'acknowledgements')::INT + contains(t, 'bibliography')::INT + contains(t, 'references')::INT END AS signals FROM t",
     "html_paragraphs": rf"WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)<(?:p|h1)>(.*?)</(?:p|h1)>', 1) AS l FROM pages), e AS (SELECT *, unnest(generate_series(1, len(l))) AS i FROM p) SELECT page_id, i - 1 AS at, {squashed("regexp_replace(l[i], '<[^>]*>', ' ', 'g')")} AS text FROM e",
     "valid_names": f"WITH {CHUNKS} SELECT 'src' || item_id AS pdf_filename, ('src' || item_id) IN (SELECT pdf_filename FROM chunks) AS found FROM benchmark",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import bm25index, matching, retrieval, spatial
+from marginalia.operators import bm25index, layout, matching, retrieval, spatial
 
 CHUNKS = "collection string, pdf_filename string, chunk_id string, content string"
 
@@ -117,3 +117,35 @@ def test_tables_of_ragged_rows(spark):
     df = spark.createDataFrame([("d", 1, *s) for s in spans], "pdf_filename string, page_number int, region string, x0 double, y0 double, x1 double, content string")
     assert {r.region: r.grid for r in spatial.table_grids(df).collect()} == {"r": [["a b", "c", ""], ["d", "e", "f"]], "t": [["one"]]}
     assert spatial.table_grids(df.limit(0)).count() == 0
+
+
+def parted(text):
+    """Paragraphs by going through the lines."""
+    blocks = [b.strip() for b in (text or "").split("\n\n") if b.strip()]
+    good = [b for b in blocks if len(b) > 50 or (len(b) > 20 and "." in b)]
+    if len(blocks) > 1 and good:
+        return good
+    lines, texts, out = [x.strip() for x in (text or "").split("\n") if x.strip()], [], []
+    for k, x in enumerate(lines):
+        if k and not (lines[k - 1].endswith(".") and x[0].isupper()) and len(texts[-1]) <= 800:
+            texts[-1] += " " + x
+        else:
+            texts.append(x)
+    for x in (t for t in texts if len(t) > 20):
+        if out and len(x) < 100 and len(out[-1]) < 400:
+            out[-1] += " " + x
+        else:
+            out.append(x)
+    return out
+
+
+def test_paragraphs_follow_the_lines(spark):
+    rng = random.Random(11)
+    line = lambda: rng.choice(["", " ", "Éa", "the"]) + "w" * rng.choice([1, 5, 22, 60, 130, 420, 900]) + rng.choice(["", ".", " x. ", "  "])
+    texts = [None, "", " \n\n ", "short", "A.\nB", *("\n".join(rng.choice([line(), line().capitalize(), ""]) for _ in range(rng.randrange(1, 25))) for _ in range(150))]
+    texts += [t.replace("\n\n", "\n") for t in texts[5:80]]
+    df = spark.createDataFrame([("d", k, t) for k, t in enumerate(texts)], "pdf_filename string, page_number int, content string")
+    found: dict = {}
+    for r in layout.paragraph_positions(df).orderBy("page_number", "paragraph_index").collect():
+        found.setdefault(r.page_number, []).append(r.text)
+    assert found == {k: p for k, t in enumerate(texts) if (p := parted(t))}
