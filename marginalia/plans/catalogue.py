@@ -7,6 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions import answers
 from marginalia.functions import text as X
 from marginalia.operators import bm25index, catalog, chunking, citations, history, layout, matching, pages, retrieval, routing, spatial
 from marginalia.operators.catalog import Scope
@@ -604,5 +605,20 @@ def table_fallback(spark, sf):
     return g.select("region", F.size("grid").cast("bigint").alias("n_rows"), F.size(F.get("grid", F.lit(0))).cast("bigint").alias("n_columns"), F.md5(F.array_join(F.transform("grid", lambda r: F.array_join(r, "|")), "~")).alias("digest"))
 
 
+@query
+def json_answers(spark, sf):
+    """Every text as a model's answer: whole, fenced, nested, with keys missing or null, broken, and with something after its end."""
+    c, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 8
+    given = F.to_json(F.struct(F.lit(False).alias("found_answer"), F.lit("high").alias("confidence"), c.alias("response")))
+    few = F.to_json(F.struct(c.alias("response")))
+    first = X.first_words(F.translate(c, '"\\', ""), 3)
+    made = (
+        F.when(k == 0, given).when(k == 1, F.concat(F.lit(" ```json\n"), given, F.lit("\n``` "))).when(k == 2, F.concat(F.lit("```"), few, F.lit("```"))).when(k == 3, F.concat(F.lit("json "), few, F.lit("\\\\ \n")))
+        .when(k == 4, F.concat(F.lit('`{"response": {"parts": ["'), first, F.lit('"]}, "confidence": null}`'))).when(k == 5, F.concat(F.lit('{"response": "'), first)).when(k == 6, F.concat(given, F.lit(" and more"))).otherwise(first)
+    )
+    a = answers.answer(answers.unfenced(made))
+    return views.table(spark, sf, "documents").select("doc_id", a.alias("a")).select("doc_id", "a.*")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return fused_pipeline(spark, sf)

@@ -206,6 +206,10 @@ _HELD = "len([w FOR w IN t.w IF contains(s.low, w)])"
 _KEYS = "[w FOR w IN t.w[1:3] IF length(w) > 3]"
 
 SQL: dict[str, str] = {
+    "json_answers": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS c, doc_id % 8 AS k, {first_words("translate(coalesce(text, ''), '" + chr(34) + chr(92) + "', '')", 3)} AS first FROM documents),
+a AS (SELECT doc_id, k, CASE WHEN k IN (0, 1) THEN 'false' ELSE 'true' END AS found_answer, CASE WHEN k IN (0, 1) THEN 'high' WHEN k = 4 THEN NULL ELSE 'medium' END AS confidence, c, first FROM d)
+SELECT doc_id, found_answer, confidence, CASE WHEN k < 4 THEN c WHEN k = 4 THEN '{{"parts":["' || first || '"]}}' WHEN k = 5 THEN {stripped("regexp_replace('{" + chr(34) + "response" + chr(34) + ": " + chr(34) + "' || first, '[" + chr(92) * 2 + chr(92) + "s]*$', '')")} WHEN k = 6 THEN to_json({{'found_answer': false, 'confidence': 'high', 'response': c}})::VARCHAR || ' and more' ELSE first END AS response,
+CASE WHEN k >= 5 THEN CASE WHEN k = 5 THEN {stripped("regexp_replace('{" + chr(34) + "response" + chr(34) + ": " + chr(34) + "' || first, '[" + chr(92) * 2 + chr(92) + "s]*$', '')")} WHEN k = 6 THEN to_json({{'found_answer': false, 'confidence': 'high', 'response': c}})::VARCHAR || ' and more' ELSE first END END AS unread FROM a""",
     "toc_title_spans": f"""WITH {BLOCKS}, titles AS (SELECT source AS pdf_filename, doc_id AS title_id, coalesce(CASE doc_id % 4 WHEN 0 THEN {first_words("text", 6)} WHEN 1 THEN 'zzq ' || {first_words("text", 6)} || ' qqz' WHEN 2 THEN translate({first_words("text", 2)}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE {first_words("text", 1)} || ' qx vz Report kq' END, '') AS title FROM documents),
 t AS (SELECT *, {stripped("lower(title)")} AS low, {words(stripped("lower(title)"))} AS w FROM titles), s AS (SELECT *, lower(content) AS low FROM blocks WHERE content <> ''),
 m AS (SELECT t.pdf_filename, t.title_id, s.page_number, s.doc_id, s.line, CASE WHEN contains(s.low, t.low) THEN 1 WHEN len(t.w) > 1 AND {_HELD} >= len(t.w) // 2 THEN 2 WHEN len(t.w) > 2 AND len({_KEYS}) > 0 AND len([w FOR w IN {_KEYS} IF contains(s.low, w)]) = len({_KEYS}) THEN 3 END AS rule FROM t JOIN s USING (pdf_filename))

@@ -239,3 +239,34 @@ def test_long_paragraphs_are_split(spark):
         texts.append(" ".join(rng.choice(["However, ", "Then ", "Another ", "the "]) + "word " * rng.randrange(1, 90) + rng.choice([".", "!", " no end"]) for _ in range(rng.randrange(1, 20))))
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", chunking.paragraph_parts(F.col("t")).alias("p")).collect()
     assert {r.k: r.p for r in rows} == {k: parts(t) for k, t in enumerate(texts)}
+
+
+def test_answers_as_the_json_library_reads_them(spark):
+    import json
+
+    from marginalia.functions import answers
+
+    texts = [
+        '{"found_answer": false, "confidence": "low", "response": "a \\"b\\" é"}', "{}", '{"response": null}', '{"response": {"x": [1, {"y": "}"}]}}', "{'response': 'single'}", '{"a": 1} x', '{"a": 1}{"b": 2}', '{"a": 1}, {"b": 2}',
+        '{"a": 1}} x', '{"a": 1}], [', "[1]", '"text"', "", "plain", '{"response": "open', '{"response": "x",}', '  {"confidence": "high"}  ', '{"response": "x"}, "b": 2', '{"response": 5}', None,
+    ]
+    found = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", answers.answer(F.col("t")).alias("a")).select("k", "a.*").collect()
+    for r in found:
+        text = texts[r.k]
+        try:
+            whole = json.loads(text or "")
+        except ValueError:
+            whole = None
+        if not isinstance(whole, dict):
+            assert (r.found_answer, r.confidence, r.response, r.unread) == ("true", "medium", text, text), text
+            continue
+        plain = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":"))
+        assert (r.found_answer, r.confidence, r.response, r.unread) == (plain(whole.get("found_answer", True)), whole.get("confidence", "medium"), plain(whole.get("response", text)), None), text
+
+
+def test_fences(spark):
+    from marginalia.functions import answers
+
+    texts = {" ```json\n{}\n``` ": "{}", "```x```": "x", "`x`": "x", "json {}": "{}", "{}\\\\ \n\\": "{}", "``` a": "``` a", "`": "", "": "", "{}": "{}"}
+    found = spark.createDataFrame(list(texts.items()), "t string, want string").select("t", "want", answers.unfenced(F.col("t")).alias("got")).collect()
+    assert [(r.t, r.got) for r in found] == [(r.t, r.want) for r in found]
