@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import answers
 from marginalia.functions import text as X
-from marginalia.operators import bm25index, catalog, chunking, citations, history, layout, matching, pages, retrieval, routing, spatial
+from marginalia.operators import bm25index, catalog, chunking, citations, history, layout, matching, pages, pagesearch, retrieval, routing, spatial
 from marginalia.operators.catalog import Scope
 from marginalia.sources import shared, views
 
@@ -620,5 +620,15 @@ def json_answers(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", a.alias("a")).select("doc_id", "a.*")
 
 
+@query
+def page_text_hits(spark, sf):
+    """A part of every document sought on its own page and those beside it, as it is and normalised; lines are spans."""
+    page = F.floor(F.col("doc_id") / 20).cast("bigint").alias("page_number")
+    spans = views.blocks(spark, sf).select("pdf_filename", page, F.col("line").alias("ord"), "content")
+    wanted = views.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("pdf_filename"), page, F.substring("text", 20, 60).alias("text"))
+    each = [pagesearch.hits(spans, wanted, plain).withColumn("mode", F.lit(name)) for name, plain in (("exact", False), ("normalised", True))]
+    return each[0].unionByName(each[1]).select("query_id", "mode", "page_number", F.col("place").cast("bigint").alias("place"), "ord")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return fused_pipeline(spark, sf)

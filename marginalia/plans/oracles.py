@@ -205,7 +205,24 @@ def _near(p: str, q: str) -> str:
 _HELD = "len([w FOR w IN t.w IF contains(s.low, w)])"
 _KEYS = "[w FOR w IN t.w[1:3] IF length(w) > 3]"
 
+def normalised(x: str) -> str:
+    x = rf"regexp_replace({x}, '\s+', ' ', 'g')"
+    for pattern, plain in (("[" + '"' + "'']", '"'), ("[–—]", "-"), (r"[^A-Za-z0-9_\s\-" + '"' + r".,;:!?()\[\]]", "")):
+        x = f"regexp_replace({x}, '{pattern}', '{plain}', 'g')"
+    return stripped(f"lower({x})")
+
+
+def _hits(mode: str, form, around: int) -> str:
+    return f"""SELECT query_id, '{mode}' AS mode, page_number, place, ord FROM (SELECT query_id, w.pdf_filename, page_number, strpos({form('page_text')}, {form('w.text')}) - 1 AS place, length({form('w.text')}) AS n, length(page_text) AS long
+  FROM w JOIN pg ON pg.pdf_filename = w.pdf_filename AND abs(pg.page_number - w.target) <= 1 WHERE {form('w.text')} <> '' AND regexp_matches({form('w.text')}, '[^ ]')) f JOIN placed USING (pdf_filename, page_number)
+  WHERE place >= 0 AND first <= CASE WHEN {around} > 0 THEN least(place + n + {around}, long) ELSE place + n END AND first + length(t) >= greatest(place - {around}, 0)"""
+
+
 SQL: dict[str, str] = {
+    "page_text_hits": f"""WITH {BLOCKS}, s AS (SELECT pdf_filename, doc_id // 20 AS page_number, line AS ord, {stripped('content')} AS t FROM blocks WHERE {stripped('content')} <> ''),
+placed AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY pdf_filename, page_number ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM s),
+pg AS (SELECT pdf_filename, page_number, string_agg(t, ' ' ORDER BY ord) || ' ' AS page_text FROM s GROUP BY ALL), w AS (SELECT doc_id AS query_id, source AS pdf_filename, doc_id // 20 AS target, substr(text, 20, 60) AS text FROM documents)
+{_hits('exact', lambda x: x, 0)} UNION ALL {_hits('normalised', normalised, 50)}""",
     "json_answers": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS c, doc_id % 8 AS k, {first_words("translate(coalesce(text, ''), '" + chr(34) + chr(92) + "', '')", 3)} AS first FROM documents),
 a AS (SELECT doc_id, k, CASE WHEN k IN (0, 1) THEN 'false' ELSE 'true' END AS found_answer, CASE WHEN k IN (0, 1) THEN 'high' WHEN k = 4 THEN NULL ELSE 'medium' END AS confidence, c, first FROM d)
 SELECT doc_id, found_answer, confidence, CASE WHEN k < 4 THEN c WHEN k = 4 THEN '{{"parts":["' || first || '"]}}' WHEN k = 5 THEN {stripped("regexp_replace('{" + chr(34) + "response" + chr(34) + ": " + chr(34) + "' || first, '[" + chr(92) * 2 + chr(92) + "s]*$', '')")} WHEN k = 6 THEN to_json({{'found_answer': false, 'confidence': 'high', 'response': c}})::VARCHAR || ' and more' ELSE first END AS response,

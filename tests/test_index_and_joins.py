@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import bm25index, layout, matching, retrieval, spatial
+from marginalia.operators import bm25index, layout, matching, pagesearch, retrieval, spatial
 
 CHUNKS = "collection string, pdf_filename string, chunk_id string, content string"
 
@@ -149,3 +149,13 @@ def test_paragraphs_follow_the_lines(spark):
     for r in layout.paragraph_positions(df).orderBy("page_number", "paragraph_index").collect():
         found.setdefault(r.page_number, []).append(r.text)
     assert found == {k: p for k, t in enumerate(texts) if (p := parted(t))}
+
+
+def test_hits_on_the_page_and_beside_it(spark):
+    spans = [("d", 1, 1, " The  first—line "), ("d", 1, 2, ""), ("d", 1, 3, "of ‘Page’ one. " + "x" * 120), ("d", 1, 4, "far away"), ("d", 2, 1, "the first-line of page"), ("d", 4, 1, "the first-line of"), ("e", 1, 1, "first")]
+    wanted = [(1, "d", 1, "first-line of"), (2, "d", 1, "line of"), (3, "d", 1, " "), (4, "d", 1, None), (5, "d", None, "first"), (6, "d", 3, "FIRST"), (7, "d", 1, "far")]
+    s, w = spark.createDataFrame(spans, "pdf_filename string, page_number int, ord int, content string"), spark.createDataFrame(wanted, "query_id int, pdf_filename string, page_number int, text string")
+    exact = sorted((r.query_id, r.page_number, r["place"], r.ord) for r in pagesearch.hits(s, w, False).collect())
+    assert exact == [(1, 2, 4, 1), (2, 1, 11, 1), (2, 1, 11, 3), (2, 2, 10, 1), (7, 1, 152, 4)]
+    plain = sorted((r.query_id, r.page_number, r.ord) for r in pagesearch.hits(s, w).collect())
+    assert plain == [(1, 1, 1), (1, 1, 3), (1, 2, 1), (2, 1, 1), (2, 1, 3), (2, 2, 1), (6, 2, 1), (6, 4, 1), (7, 1, 3), (7, 1, 4)]
