@@ -193,6 +193,7 @@ def paragraph_positions(pages: DataFrame) -> DataFrame:
 def toc_page_signals(text: Column) -> Column:
     """How many signs of a contents page a page's text has, of the ten; `contents` alone is ten."""
     t = F.regexp_replace(F.lower(text), r"[ \t]", "")
+    # The signs of a contents page.
     signs = [t.rlike(r"[\p{L}\p{N}_]\.{2,}\d"), F.size(F.filter(F.regexp_extract_all(t, F.lit(X.TOKEN), F.lit(0)), lambda w: w.rlike(r"^\d{1,3}$"))) > 5, t.rlike(r"\d\.\d"), F.contains(t, F.lit("appendix")), t.rlike(r"\d\."), F.contains(t, F.lit("acknowledgements")), F.contains(t, F.lit("bibliography")), F.contains(t, F.lit("references"))]
     total = signs[0].cast("int")
     for s in signs[1:]:
@@ -214,6 +215,7 @@ def continues_toc(text: Column) -> Column:
     """Two signs of a contents page's continuation or more."""
     t = F.regexp_replace(F.lower(text), r"[ \t]", "")
     numbers = F.size(F.filter(F.regexp_extract_all(t, F.lit(X.TOKEN), F.lit(0)), lambda w: w.rlike(r"^\d{1,3}$")))
+    # The signs of its continuation.
     signs = [F.contains(t, F.lit("appendix")), t.rlike(r"[\p{L}\p{N}_]\.{2,}\d"), numbers > 3, X.holds(t, ["acknowledgements", "bibliography", "references", "notes", "abouttheauthor"]), t.rlike(r"\d:")]
     total = signs[0].cast("int")
     for s in signs[1:]:
