@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import answers
 from marginalia.functions import text as X
-from marginalia.operators import bm25index, catalog, chunking, citations, history, layout, matching, pages, pagesearch, retrieval, routing, spatial
+from marginalia.operators import bm25index, catalog, chunking, citations, history, layout, matching, pages, pagesearch, paragraphs, retrieval, routing, spatial
 from marginalia.operators.catalog import Scope
 from marginalia.sources import shared, views
 
@@ -630,5 +630,22 @@ def page_text_hits(spark, sf):
     return each[0].unionByName(each[1]).select("query_id", "mode", "page_number", F.col("place").cast("bigint").alias("place"), "ord")
 
 
+def _spans(spark, sf):
+    """Each document set in two columns of forty lines of up to twelve words, its last lines on a page in small print."""
+    c, lines = F.col, F.transform(F.split("text", "\n"), X.words)
+    cut = F.flatten(F.transform(lines, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(12)), lambda i: F.array_join(F.slice(w, i + 1, 12), " "))))
+    s = views.table(spark, sf, "documents").select("doc_id", F.posexplode(cut).alias("u", "content")).withColumn("u", c("u").cast("bigint")).withColumn("row", c("u") % 40)
+    x0, y0 = 50.0 + F.floor(c("u") / 40) % 2 * 300 + c("u") % 3 * 4, 72.0 + c("row") * 14 + F.floor(c("row") / 5) * (c("doc_id") % 2 * 12)
+    return s.select(
+        c("doc_id").cast("string").alias("pdf_filename"), (F.floor(c("u") / 80) + 1).alias("page_number"), c("u").alias("ord"), "content", x0.alias("x0"), y0.alias("y0"), (x0 + 200).alias("x1"), (y0 + 10).alias("y1"),
+        F.concat(F.lit("F"), c("u") * c("u") % 5).alias("font_name"), F.when(c("row") >= 36, 8.0).when(c("u") % 11 == 0, 15.0).otherwise(12.0).alias("font_size"), F.when(c("u") % 9 == 0, "bold").alias("font_weight"),
+    )
+
+
+@query
+def span_paragraphs(spark, sf):
+    return paragraphs.span_paragraphs(_spans(spark, sf)).withColumn("font_size", F.round("font_size", 6))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return fused_pipeline(spark, sf)

@@ -117,11 +117,11 @@ def top(name: str, of: str, k: int) -> str:
     return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, chunk_id) AS rank FROM {of}) WHERE rank <= {k})"
 
 
-def heading(t: str) -> str:
+def heading(t: str, more: str = "1") -> str:
     n = f"len({words(t)})"
     upper = rf"(regexp_matches({t}, '\p{{Lu}}') AND NOT regexp_matches({t}, '\p{{Ll}}'))"
     title = rf"(regexp_matches({t}, '\p{{Lu}}') AND NOT regexp_matches({t}, '(^|[^\p{{L}}])\p{{Ll}}') AND NOT regexp_matches({t}, '\p{{L}}\p{{Lu}}'))"
-    points = f"((NOT ends_with({t}, '.'))::INT + ({n} BETWEEN 3 AND 10)::INT + ({n} >= 2)::INT + (({title} OR {upper}) AND length({t}) > 10)::INT + 1)"
+    points = f"((NOT ends_with({t}, '.'))::INT + ({n} BETWEEN 3 AND 10)::INT + ({n} >= 2)::INT + (({title} OR {upper}) AND length({t}) > 10)::INT + {more})"
     strong = f"({any_match(t, lists.HEADING_STRONG_CASED)} OR {any_match(t, lists.HEADING_STRONG, True)})"
     return f"(length({t}) <= 100 AND NOT {any_match(t, lists.HEADING_NEGATIVE, True)} AND ({strong} OR {points} >= 5))"
 
@@ -218,7 +218,34 @@ def _hits(mode: str, form, around: int) -> str:
   WHERE place >= 0 AND first <= CASE WHEN {around} > 0 THEN least(place + n + {around}, long) ELSE place + n END AND first + length(t) >= greatest(place - {around}, 0)"""
 
 
+SPANS = f"""sl AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), sw AS (SELECT doc_id, i, {words("l[i]")} AS w FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM sl)),
+su AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS u, array_to_string(w[k + 1:k + 12], ' ') AS content FROM (SELECT *, unnest(generate_series(0, greatest(len(w) - 1, 0), 12)) AS k FROM sw)),
+spans AS (SELECT doc_id::VARCHAR AS pdf_filename, u // 80 + 1 AS page_number, u AS ord, content, 50.0::DOUBLE + u // 40 % 2 * 300 + u % 3 * 4 AS x0, 72.0::DOUBLE + u % 40 * 14 + u % 40 // 5 * (doc_id % 2 * 12) AS y0, x0 + 200 AS x1, y0 + 10 AS y1,
+  'F' || (u * u % 5) AS font_name, CASE WHEN u % 40 >= 36 THEN 8.0 WHEN u % 11 = 0 THEN 15.0 ELSE 12.0 END::DOUBLE AS font_size, u % 9 = 0 AS bold FROM su)"""
+_CONTINUES = r"(NOT regexp_matches(f.text, '[.!?:;]$') OR NOT regexp_matches(n.text, '^[A-Z]') OR (len([w for w in regexp_split_to_array(n.text, '\s+') if w <> '']) <= 8 AND length(n.text) < 50))"
+_BEGINS = r"((regexp_matches(n.text, '^\p{Lu}') AND length(n.text) > 20) OR regexp_matches(n.text, '^(\p{Nd}+\.|[A-Z][a-z]+:|[•*-])'))"
+_NOTE_LINE = r"regexp_matches(n.text, '^(\p{Nd}+[\s.]|[*†‡§¶]|[ivxlcdmIVXLCDM]+[\s.])')"
+
+
 SQL: dict[str, str] = {
+    "span_paragraphs": rf"""WITH RECURSIVE {SPANS}, pg AS (SELECT pdf_filename, page_number, max(y1) - (max(y1) - min(y0)) * 0.2::DOUBLE AS low FROM spans GROUP BY ALL),
+deep AS (SELECT pdf_filename, page_number, count(*) AS n FROM spans JOIN pg USING (pdf_filename, page_number) WHERE y0 > low GROUP BY ALL),
+noted AS (SELECT s.*, y0 > low AND font_size < 10 AND (d.n > 1 OR regexp_matches({stripped('content')}, '^(\p{{Nd}}+[\s.]|[*†‡])')) AS note FROM spans s JOIN pg USING (pdf_filename, page_number) LEFT JOIN deep d USING (pdf_filename, page_number)),
+xs AS (SELECT pdf_filename, page_number, x0, count(*) AS n FROM noted WHERE NOT note GROUP BY ALL),
+cuts AS (SELECT a.pdf_filename, a.page_number, max(b.x0) AS l, a.x0 AS r FROM xs a JOIN xs b ON a.pdf_filename = b.pdf_filename AND a.page_number = b.page_number AND b.x0 < a.x0 GROUP BY ALL HAVING a.x0 - max(b.x0) > 30),
+walls AS (SELECT c.* FROM cuts c WHERE (SELECT sum(n) FROM xs WHERE xs.pdf_filename = c.pdf_filename AND xs.page_number = c.page_number AND xs.x0 > (c.l + c.r) / 2) > 3),
+parted AS (SELECT n.*, CASE WHEN note THEN 0 ELSE (SELECT count(*) FROM walls w WHERE w.pdf_filename = n.pdf_filename AND w.page_number = n.page_number AND n.x0 > (w.l + w.r) / 2) END AS col FROM noted n),
+lined AS (SELECT *, sum(step) OVER (PARTITION BY pdf_filename, page_number, note, col ORDER BY y0, x0, ord ROWS UNBOUNDED PRECEDING) AS line, row_number() OVER (PARTITION BY pdf_filename, page_number, note, col ORDER BY y0, x0, ord) AS pos
+  FROM (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY pdf_filename, page_number, note, col ORDER BY y0, x0, ord) > 5 THEN 1 ELSE 0 END AS step FROM parted)),
+lns AS (SELECT *, row_number() OVER (PARTITION BY pdf_filename, page_number, note, col ORDER BY line) AS k FROM (SELECT pdf_filename, page_number, note, col, line, {stripped("string_agg(content, ' ' ORDER BY pos)")} AS text, min(y0) AS top, max(y1) AS bottom FROM lined GROUP BY ALL) WHERE text <> ''),
+fold AS (SELECT pdf_filename, page_number, note, col, line, k, text, bottom, 1 AS par FROM lns WHERE k = 1 UNION ALL
+  SELECT n.pdf_filename, n.page_number, n.note, n.col, n.line, n.k, n.text, n.bottom, f.par + (n.top - f.bottom > 15 OR ({_BEGINS} AND NOT {_CONTINUES}) OR {_NOTE_LINE})::INT FROM fold f JOIN lns n ON n.pdf_filename = f.pdf_filename AND n.page_number = f.page_number AND n.note = f.note AND n.col = f.col AND n.k = f.k + 1),
+pt AS (SELECT pdf_filename, page_number, note, col, par, string_agg(text, ' ' ORDER BY k) AS content, count(*) AS line_count FROM fold GROUP BY ALL HAVING length(string_agg(text, ' ' ORDER BY k)) >= 3),
+sp AS (SELECT l.*, par FROM lined l JOIN fold USING (pdf_filename, page_number, note, col, line)),
+fonts AS (SELECT pdf_filename, page_number, note, col, par, arg_max(font_name, (n, -seen)) AS font_name FROM (SELECT pdf_filename, page_number, note, col, par, font_name, count(*) AS n, min(pos) AS seen FROM sp GROUP BY ALL) GROUP BY ALL),
+pb AS (SELECT pdf_filename, page_number, note, col, par, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(font_size) AS font_size_min, max(font_size) AS font_size_max, round(sum(font_size) / count(*), 6) AS font_size, bool_or(bold) AS has_bold, count(*) AS span_count FROM sp GROUP BY ALL)
+SELECT pdf_filename, page_number, row_number() OVER (PARTITION BY pdf_filename, page_number ORDER BY note, col, par) AS place, CASE WHEN note THEN 'footnote' WHEN {heading('content', '(font_size >= 14)::INT * 2 + has_bold::INT * 2 + (span_count <= 2)::INT')} THEN 'heading' WHEN {any_match('content', lists.LIST_ITEM)} THEN 'list' ELSE 'paragraph' END AS block_type,
+  content, x0, y0, x1, y1, font_size_min, font_size_max, font_size, font_name, has_bold, line_count, span_count FROM pt JOIN pb USING (pdf_filename, page_number, note, col, par) JOIN fonts USING (pdf_filename, page_number, note, col, par)""",
     "page_text_hits": f"""WITH {BLOCKS}, s AS (SELECT pdf_filename, doc_id // 20 AS page_number, line AS ord, {stripped('content')} AS t FROM blocks WHERE {stripped('content')} <> ''),
 placed AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY pdf_filename, page_number ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM s),
 pg AS (SELECT pdf_filename, page_number, string_agg(t, ' ' ORDER BY ord) || ' ' AS page_text FROM s GROUP BY ALL), w AS (SELECT doc_id AS query_id, source AS pdf_filename, doc_id // 20 AS target, substr(text, 20, 60) AS text FROM documents)
