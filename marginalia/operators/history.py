@@ -115,17 +115,98 @@ def of_requested_type(results: DataFrame, kind: Column) -> DataFrame:
     return r.withColumn("_any", F.max("_hit").over(Window.partitionBy("query_id"))).filter("_hit or not _any").drop("_hit", "_any")
 
 
-def packed_context(results: DataFrame, top: int = 6) -> DataFrame:
-    """(query_id, chunks, context): the best chunks of each query, each below its source."""
+def source_line(place: Column | None = None, section: str = "toc_title") -> Column:
+    """The line above a chunk in a prompt, which answers cite from; with its place where one is given."""
+    told = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
+    head = F.lit("[Source: ") if place is None else F.concat(F.lit("[Source "), place, F.lit(": "))
+    return F.concat(head, F.lit("PDF="), told("pdf_filename", "Unknown"), F.lit(", Page="), told("page_number", "?"), F.lit(", ChunkID="), told("chunk_id", "Unknown"), F.lit(", Section="), told(section, "Untitled"), F.lit("]"))
+
+
+def packed_context(results: DataFrame, top: int = 6, section: str = "toc_title") -> DataFrame:
+    """(query_id, chunks, context): the best chunks of each query, each below its source; a null content is empty."""
+    part = F.concat(source_line(section=section), F.lit("\n"), F.coalesce("content", F.lit("")))
     best = results.filter(F.col("rank") <= top)
-    part = F.concat(F.lit("[Source: "), "pdf_filename", F.lit(", page "), F.col("page_number").cast("string"), F.lit("]\n"), "content")
     return best.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", part.alias("p")))).alias("l")).select("query_id", F.size("l").cast("bigint").alias("chunks"), F.array_join(F.col("l.p"), "\n\n").alias("context"))
 
 
-def within_budget(results: DataFrame, budget: float) -> DataFrame:
-    """The best chunks of each query up to the first that passes the budget."""
-    order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return results.withColumn("used", F.round(F.sum(X.token_estimate(F.col("content"))).over(order), 4)).filter(F.col("used") <= budget)
+def prompt_context(queries: DataFrame, results: DataFrame, turns: DataFrame, order: list[str], top: int = 6, newest: int = 5, section: str = "toc_title") -> DataFrame:
+    """(query_id, chunks, context, turns, conversation): what a prompt holds for each query (query_id, collection).
+
+    The conversation is the newest visible turns of the query's collection, oldest first. A query without results, and one whose collection
+    has no turn, are told so.
+    """
+    own = last_turns(turns, ["collection"], order, newest)
+    said = F.concat(F.lit("Human: "), F.coalesce("user_message", F.lit("")), F.lit("\nAssistant: "), F.coalesce("assistant_response", F.lit("")))
+    spoken = own.groupBy("collection").agg(F.sort_array(F.collect_list(F.struct(*order, said.alias("_said")))).alias("l")).select(F.col("collection").alias("_c"), F.size("l").cast("bigint").alias("_turns"), F.array_join(F.col("l._said"), "\n").alias("_conversation"))
+    asked = queries.select("query_id", "collection").join(packed_context(results, top, section), "query_id", "left").join(spoken, F.col("collection").eqNullSafe(F.col("_c")), "left")
+    told = lambda c, other: F.coalesce(c, F.lit(other))
+    return asked.select(
+        "query_id", told("chunks", 0).alias("chunks"), told("context", "No specific relevant content was found in the documents.").alias("context"),
+        told("_turns", 0).alias("turns"), told("_conversation", "This is the start of our conversation.").alias("conversation"),
+    )
+
+
+def table_text(content: Column, intended: bool = False) -> Column:
+    """A table's lines with their cells trimmed and a rule below the first two of them; a content without a bar as it is.
+
+    The rule has two columns fewer than the first line has cells that aren't empty, and comes even above one that is there already. As
+    `intended`, it has as many columns as the first line and comes only where the second line is none.
+    """
+    def row(line: Column) -> Column:
+        cells = F.regexp_replace(F.array_join(F.transform(F.split(line, r"\|"), X.stripped), "|"), r"^\|+|\|+$", "")
+        return F.when(cells != "", F.concat(F.lit("| "), F.replace(cells, F.lit("|"), F.lit(" | ")), F.lit(" |"))).otherwise("")
+
+    def ruled(lines: Column) -> Column:
+        first, second = F.get(lines, F.lit(0)), F.get(lines, F.lit(1))
+        if intended:
+            columns = F.size(F.split(first, r"\|")) - 2
+            due = ~second.rlike(r"^\|( :?-+:? \|)+$")
+        else:
+            columns = F.size(F.filter(F.split(first, r"\|"), lambda c: c.rlike(r"\S"))) - 2
+            due = F.lit(True)
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.greatest(columns, F.lit(0))), " | "), F.lit(" |"))
+        test = (F.size(lines) >= 2) & F.contains(first, F.lit("|")) & F.contains(second, F.lit("|")) & due
+        return F.when(test, F.concat(F.array(first, rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))))).otherwise(lines)
+
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda r: F.when(F.contains(r, F.lit("|")), row(r)).otherwise(X.stripped(r))), lambda r: r != "")
+    return F.when(F.contains(content, F.lit("|")), F.array_join(F.element_at(F.transform(F.array(lines), ruled), 1), "\n")).otherwise(content)
+
+
+def within_budget(results: DataFrame, budget: float, kind: Column | None = None, section: str = "toc_title", count=X.token_estimate, spare: float = 50.0, full: float = 0.9) -> DataFrame:
+    """(query_id, chunk_id, rank, used, truncated, text): the best chunks of each query as parts of a prompt, up to the budget of tokens.
+
+    `kind` is each chunk's content type (text, table, figure; text by default): tables are set anew, figures say that they have no image. The
+    first part that passes the budget ends them; if it is text and less than `full` of the budget is used, it stays with as many words, fewer by
+    tens, as leave `spare` tokens free. `used` counts the tokens up to each part; a null content is empty.
+    """
+    content, kind = F.coalesce("content", F.lit("")), kind if kind is not None else F.lit("text")
+    order = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
+    body = F.when(F.col("_kind") == "table", table_text(F.col("_content"))).when(F.col("_kind") == "figure", F.concat(F.lit("[FIGURE - Image not available]\n"), "_content")).otherwise(F.col("_content"))
+    r = results.select("query_id", "chunk_id", "rank", content.alias("_content"), F.coalesce(kind, F.lit("text")).alias("_kind"), source_line(F.row_number().over(order), section).alias("_head"))
+    r = r.withColumn("text", F.concat("_head", F.lit("\n"), body, F.lit("\n")))
+    r = r.withColumn("used", F.round(F.sum(count(F.col("text"))).over(order.rowsBetween(Window.unboundedPreceding, 0)), 4)).withColumn("_prior", F.coalesce(F.lag("used").over(order), F.lit(0.0)))
+    words = X.words(F.col("_content"))
+    short = lambda w, j: F.concat("_head", F.lit("\n"), F.array_join(F.slice(w, 1, j), " "), F.lit("... [truncated]\n"))
+    fits = lambda t: F.round(count(t), 4) <= F.round(F.lit(budget) - F.col("_prior") - spare, 4)
+    kept = lambda w, k: F.size(w) - 10 * k
+
+    def cut(w: Column) -> Column:
+        """The longest of the shorter texts that fits: halving the places where it may be, as fewer words are fewer tokens."""
+        steps = F.ceil(F.size(w) / 10).cast("int")
+        ends = F.struct(F.lit(0).alias("low"), steps.alias("high"))
+
+        def half(s: Column, _: Column) -> Column:
+            middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+            fit = fits(short(w, kept(w, middle)))
+            return F.when(s["low"] >= s["high"], s).when(fit, F.struct(s["low"].alias("low"), middle.alias("high"))).otherwise(F.struct((middle + 1).alias("low"), s["high"].alias("high")))
+
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(32)), ends, half, lambda s: s["low"])
+        return F.element_at(F.transform(F.array(found), lambda k: F.when(k < steps, short(w, kept(w, k)))), 1)
+
+    last = (F.col("used") > budget) & (F.col("_prior") <= budget) & (F.col("_kind") == "text") & (F.col("_prior") < budget * full)
+    r = r.withColumn("_cut", F.when(last, F.element_at(F.transform(F.array(words), cut), 1))).filter((F.col("used") <= budget) | F.col("_cut").isNotNull())
+    used = F.when(F.col("_cut").isNull(), F.col("used")).otherwise(F.round(F.col("_prior") + count(F.col("_cut")), 4))
+    return r.select("query_id", "chunk_id", "rank", used.alias("used"), F.col("_cut").isNotNull().alias("truncated"), F.coalesce("_cut", "text").alias("text"))
 
 
 def distinct_sources(results: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from marginalia.functions import answers
 from marginalia.functions import text as X
 from marginalia.operators import bm25index, catalog, chunking, citations, history, layout, matching, pages, pagesearch, paragraphs, retrieval, routing, spatial
 from marginalia.operators.catalog import Scope
-from marginalia.sources import shared, views
+from marginalia.sources import batch, shared, views
 
 QUERIES: dict = {}
 
@@ -409,13 +409,22 @@ def table_markdown(spark, sf):
 @query
 def context_pack(spark, sf):
     best = retrieval.bm25(views.chunks(spark, sf, False), views.queries(spark, sf, False), 8)
-    return history.packed_context(best.join(views.chunks(spark, sf, False), "chunk_id"))
+    asked = views.queries(spark, sf, False).select("query_id", F.concat(F.lit("c"), F.col("query_id") % 7).alias("collection"))
+    return history.prompt_context(asked, best.join(views.chunks(spark, sf, False), "chunk_id"), views.turns(spark, sf), ["conv_id", "turn"])
 
 
 @query
 def budget_pack(spark, sf):
     best = retrieval.bm25(views.chunks(spark, sf, False), views.queries(spark, sf, False), 8)
-    return history.within_budget(best.join(views.chunks(spark, sf, False), "chunk_id"), 2000.0).select("query_id", "chunk_id", "rank", "used")
+    kind = history.chunk_content_type(F.lit("section"), F.col("toc_title"), F.col("content"))
+    return history.within_budget(best.join(views.chunks(spark, sf, False), "chunk_id"), 2000.0, kind)
+
+
+@query
+def table_reformat(spark, sf):
+    """All texts as tables; the bars of every third are those of its commas."""
+    c, k = F.col("text"), F.col("doc_id") % 3
+    return views.table(spark, sf, "documents").select("doc_id", history.table_text(F.when(k == 0, F.translate(c, ",", "|")).when(k == 1, F.regexp_replace(c, "[ie] ", "||")).otherwise(c)).alias("table"))
 
 
 @query
@@ -647,5 +656,28 @@ def span_paragraphs(spark, sf):
     return paragraphs.span_paragraphs(_spans(spark, sf)).withColumn("font_size", F.round("font_size", 6))
 
 
+def _disk(spark, sf, folder, there):
+    """A file for each document, in a folder of its language or another one."""
+    d = views.table(spark, sf, "documents").filter(there).select(F.concat(F.lit("/data/pdfs/"), folder, F.lit("/f"), "doc_id", F.lit(".pdf")).alias("path"))
+    return d.select(catalog.collection_of_path(F.col("path")).alias("collection"), F.element_at(F.split("path", "/"), -1).alias("pdf_filename"), "path")
+
+
+@query
+def batch_driver(spark, sf):
+    """Two batches of files, some of which fail; before the second one files come, go and move. What became of each, and what is stored."""
+    language, k = F.coalesce("lang", F.lit("none")), F.col("doc_id")
+    store = batch.ChunkStore(spark, shared.scratch(spark, "batch"), "collection STRING, pdf_filename STRING, chunk_id STRING, content STRING")
+
+    def chunker(broken):
+        texts = views.table(spark, sf, "documents").select(F.concat(F.lit("f"), "doc_id", F.lit(".pdf")).alias("pdf_filename"), F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("text").alias("content"), F.when(k % 13 == broken, "unreadable").alias("error"))
+        return lambda files: files.join(texts, "pdf_filename")
+
+    store.run(_disk(spark, sf, language, k % 11 != 0), chunker(5))
+    store.run(_disk(spark, sf, F.when(k % 7 == 0, "old").otherwise(language), k % 5 != 1), chunker(6))
+    became = store.table("outcomes").groupBy("gen", "collection", "status", "reason").agg(F.count(F.lit(1)).alias("documents"), F.lit(0).cast("bigint").alias("characters"))
+    holds = store.chunks().groupBy("collection").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("content")).alias("characters"))
+    return became.unionByName(holds.select(F.lit(2).alias("gen"), "collection", F.lit("stored").alias("status"), F.lit(None).cast("string").alias("reason"), "documents", "characters"))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return fused_pipeline(spark, sf)

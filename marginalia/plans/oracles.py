@@ -193,6 +193,16 @@ _REQUEST = f"CASE WHEN {holds('lower(user_message)', lists.TABLE_REQUEST)} THEN
 _CLASS = f"CASE WHEN {holds('lower(user_message)', lists.VISUAL_QUESTION)} THEN 'visual' WHEN {holds('lower(user_message)', lists.COMPLEX_QUESTION)} THEN 'complex' WHEN {holds('lower(user_message)', lists.SIMPLE_QUESTION)} THEN 'simple' ELSE 'medium' END"
 _KIND = f"CASE WHEN contains(lower(toc_title), 'table') THEN 'table' WHEN contains(lower(toc_title), 'fig') THEN 'figure' WHEN len([r for r in string_split(content, chr(10)) if contains(r, '|')]) >= 2 THEN 'table' WHEN {holds('lower(content)', lists.FIGURE_CONTENT)} THEN 'figure' ELSE 'text' END"
 
+
+def table_text(x: str) -> str:
+    cells = rf"regexp_replace(array_to_string([{stripped('c')} FOR c IN string_split(r, '|')], '|'), '^\|+|\|+$', '', 'g')"
+    lines = f"[v FOR v IN [CASE WHEN NOT contains(r, '|') THEN {stripped('r')} WHEN {cells} = '' THEN '' ELSE '| ' || replace({cells}, '|', ' | ') || ' |' END FOR r IN string_split({x}, chr(10))] IF v <> '']"
+    filled = "len([c FOR c IN string_split(l[1], '|') IF trim(c) <> ''])"
+    rule = f"'| ' || array_to_string(list_resize(['---'], greatest({filled} - 2, 0), '---'), ' | ') || ' |'"
+    ruled = f"CASE WHEN len(l) >= 2 AND contains(l[1], '|') AND contains(l[2], '|') THEN l[1:1] || [{rule}] || l[2:] ELSE l END"
+    return f"CASE WHEN contains({x}, '|') THEN array_to_string([{ruled} FOR l IN [{lines}]][1], chr(10)) ELSE {x} END"
+
+
 def boxes(name: str, x: int, y: int, left: int, top: int, wide: int, least: int, high: int) -> str:
     return f"""{name} AS (SELECT source AS pdf_filename, doc_id // 20 % 5 + 1 AS page_number, doc_id, coalesce(length(text), 0) AS n, ({left} + doc_id * {x} % 320)::DOUBLE AS x0, ({top} + doc_id * {y} % 600)::DOUBLE AS y0,
   x0 + {least} + coalesce(length(text), 0) % {wide} AS x1, y0 + {high} AS y1 FROM documents)"""
@@ -246,6 +256,13 @@ fonts AS (SELECT pdf_filename, page_number, note, col, par, arg_max(font_name, (
 pb AS (SELECT pdf_filename, page_number, note, col, par, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(font_size) AS font_size_min, max(font_size) AS font_size_max, round(sum(font_size) / count(*), 6) AS font_size, bool_or(bold) AS has_bold, count(*) AS span_count FROM sp GROUP BY ALL)
 SELECT pdf_filename, page_number, row_number() OVER (PARTITION BY pdf_filename, page_number ORDER BY note, col, par) AS place, CASE WHEN note THEN 'footnote' WHEN {heading('content', '(font_size >= 14)::INT * 2 + has_bold::INT * 2 + (span_count <= 2)::INT')} THEN 'heading' WHEN {any_match('content', lists.LIST_ITEM)} THEN 'list' ELSE 'paragraph' END AS block_type,
   content, x0, y0, x1, y1, font_size_min, font_size_max, font_size, font_name, has_bold, line_count, span_count FROM pt JOIN pb USING (pdf_filename, page_number, note, col, par) JOIN fonts USING (pdf_filename, page_number, note, col, par)""",
+    "batch_driver": """WITH d AS (SELECT *, translate(lower(coalesce(lang, 'none')), ' -', '__') AS c1, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE c1 END AS c2, doc_id % 11 <> 0 AS on1, doc_id % 5 <> 1 AS on2, on1 AND doc_id % 13 <> 5 AS live1, live1 AND c1 = c2 AS same, on2 AND NOT same AND doc_id % 13 <> 6 AS done2 FROM documents),
+became AS (SELECT 1 AS gen, c1 AS collection, CASE WHEN live1 THEN 'processed' ELSE 'failed' END AS status, CASE WHEN NOT live1 THEN 'unreadable' END AS reason FROM d WHERE on1
+  UNION ALL SELECT 2, c2, CASE WHEN same THEN 'skipped' WHEN done2 THEN 'processed' ELSE 'failed' END, CASE WHEN same THEN 'already_processed' WHEN NOT done2 THEN 'unreadable' END FROM d WHERE on2
+  UNION ALL SELECT 2, c1, 'removed', CASE WHEN on2 THEN 'moved' ELSE 'orphan' END FROM d WHERE live1 AND (NOT on2 OR (NOT same AND done2))),
+stored AS (SELECT c2 AS collection, text FROM d WHERE done2 UNION ALL SELECT c1, text FROM d WHERE live1 AND on2 AND NOT done2)
+SELECT gen, collection, status, reason, count(*) AS documents, 0 AS characters FROM became GROUP BY ALL UNION ALL
+SELECT 2, collection, 'stored', NULL, count(*), sum(length(text))::BIGINT FROM stored WHERE regexp_matches(text, '\\S') GROUP BY 2""",
     "page_text_hits": f"""WITH {BLOCKS}, s AS (SELECT pdf_filename, doc_id // 20 AS page_number, line AS ord, {stripped('content')} AS t FROM blocks WHERE {stripped('content')} <> ''),
 placed AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY pdf_filename, page_number ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM s),
 pg AS (SELECT pdf_filename, page_number, string_agg(t, ' ' ORDER BY ord) || ' ' AS page_text FROM s GROUP BY ALL), w AS (SELECT doc_id AS query_id, source AS pdf_filename, doc_id // 20 AS target, substr(text, 20, 60) AS text FROM documents)
@@ -352,8 +369,16 @@ SELECT collection, conv_id, turn, user_message, is_summary, old AS is_summarized
     "citation_locate": locate(),
     "table_clean": f"WITH {CHUNKS}, {GRIDS} SELECT doc_id, len(g) AS rows, array_to_string([array_to_string(r, '|') for r in g], chr(10)) AS cells FROM grids",
     "table_markdown": f"WITH {CHUNKS}, {GRIDS} SELECT doc_id, CASE WHEN len(g) = 0 THEN '' ELSE array_to_string(list_concat(['| ' || array_to_string(g[1], ' | ') || ' |', '| ' || array_to_string(['---' for c in g[1]], ' | ') || ' |'], ['| ' || array_to_string(r, ' | ') || ' |' for r in g[2:]]), chr(10)) END AS markdown FROM grids",
-    "context_pack": f"WITH {CHUNKS}, {QUERIES}, {bm25('b', 8)} SELECT query_id, count(*) AS chunks, string_agg('[Source: ' || pdf_filename || ', page ' || page_number || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM b JOIN chunks USING (chunk_id) WHERE rank <= 6 GROUP BY 1",
-    "budget_pack": f"WITH {CHUNKS}, {QUERIES}, {bm25('b', 8)}, u AS (SELECT query_id, chunk_id, rank, round(sum({estimate('content')}) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING), 4) AS used FROM b JOIN chunks USING (chunk_id)) SELECT * FROM u WHERE used <= 2000",
+    "context_pack": f"""WITH {CHUNKS}, {QUERIES}, {TURNS}, {bm25('b', 8)}, got AS (SELECT query_id, count(*) AS chunks, string_agg('[Source: PDF=' || pdf_filename || ', Page=' || page_number || ', ChunkID=' || chunk_id || ', Section=' || toc_title || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM b JOIN chunks USING (chunk_id) WHERE rank <= 6 GROUP BY 1),
+said AS (SELECT collection, count(*) AS turns, string_agg('Human: ' || user_message || chr(10) || 'Assistant: ' || assistant_response, chr(10) ORDER BY conv_id, turn) AS conversation FROM (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY collection ORDER BY conv_id DESC, turn DESC) <= 5) GROUP BY 1)
+SELECT query_id, coalesce(chunks, 0) AS chunks, coalesce(context, 'No specific relevant content was found in the documents.') AS context, coalesce(turns, 0) AS turns, coalesce(conversation, 'This is the start of our conversation.') AS conversation FROM qtext LEFT JOIN got USING (query_id) LEFT JOIN said ON collection = 'c' || query_id % 7""",
+    "budget_pack": f"""WITH {CHUNKS}, {QUERIES}, {bm25('b', 8)}, r AS (SELECT query_id, chunk_id, rank, content, {_KIND} AS kind, '[Source ' || rank || ': PDF=' || pdf_filename || ', Page=' || page_number || ', ChunkID=' || chunk_id || ', Section=' || toc_title || ']' || chr(10) AS head FROM b JOIN chunks USING (chunk_id)),
+p AS (SELECT *, head || CASE kind WHEN 'table' THEN {table_text('content')} WHEN 'figure' THEN '[FIGURE - Image not available]' || chr(10) || content ELSE content END || chr(10) AS text FROM r),
+u AS (SELECT *, round(sum({estimate('text')}) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING), 4) AS used, used - {estimate('text')} AS prior, {words('content')} AS w FROM p),
+k AS (SELECT *, list_max([j FOR j IN generate_series(len(w), 1, -10) IF round((len({words('head')}) + j + 1) * 1.3::DOUBLE, 4) <= round(2000 - prior - 50, 4)]) AS keep FROM u)
+SELECT query_id, chunk_id, rank, CASE WHEN used <= 2000 THEN used ELSE round(prior + (len({words('head')}) + keep + 1) * 1.3::DOUBLE, 4) END AS used, used > 2000 AS truncated, CASE WHEN used <= 2000 THEN text ELSE head || array_to_string(w[1:keep], ' ') || '... [truncated]' || chr(10) END AS text
+FROM k WHERE used <= 2000 OR (round(prior, 4) <= 2000 AND kind = 'text' AND prior < 1800 AND keep > 0)""",
+    "table_reformat": f"WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN translate(text, ',', '|') WHEN 1 THEN regexp_replace(text, '[ie] ', '||', 'g') ELSE text END AS content FROM documents) SELECT doc_id, {table_text('content')} AS table FROM t",
     "dedupe_sources": f"WITH {CHUNKS}, {QUERIES}, {knn('d', 8)}, {bm25('b', 8)}, u AS (SELECT query_id, chunk_id, 1 AS answer, rank FROM d UNION ALL SELECT query_id, chunk_id, 2, rank FROM b) SELECT query_id, chunk_id, answer, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY answer, rank) AS n FROM u) WHERE n = 1".replace("FROM qtext) GROUP", "FROM qtext SEMI JOIN queries USING (query_id)) GROUP"),
     "collection_from_path": f"WITH {FILES} SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN replace(replace(lower('My Books-' || upper(collection)), ' ', '_'), '-', '_') ELSE 'default' END AS collection FROM files",
     "new_files": f"WITH {FILES} SELECT collection, pdf_filename FROM files f WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.collection = f.collection AND l.pdf_filename = f.pdf_filename)",
