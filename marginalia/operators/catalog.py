@@ -64,11 +64,11 @@ def sections_of_documents(chunks: DataFrame) -> DataFrame:
     return titled.groupBy("pdf_filename", "title").agg(F.min_by("corrected_toc_page", "seq").alias("page"))
 
 
-def parents_of(chunks: DataFrame) -> DataFrame:
-    """Each child with its parent: the chunk of the same document that begins its group of five."""
-    child = chunks.filter("chunk_type = 'child'").select("pdf_filename", F.col("chunk_id").alias("child_id"), "seq", (F.col("seq") - F.col("seq") % 5).alias("first"))
-    parent = chunks.filter("chunk_type = 'parent'").select(F.col("pdf_filename").alias("p"), F.col("chunk_id").alias("parent_id"), F.col("seq").alias("s"))
-    return child.join(parent, (F.col("pdf_filename") == F.col("p")) & (F.col("first") == F.col("s"))).select("pdf_filename", "child_id", "parent_id")
+def parents_of(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """(pdf_filename, section, child_id, parent_id, content, page_number): each child with the parent of its section whose `child_ids` hold it."""
+    held = parents.select(F.col("pdf_filename").alias("_p"), F.col("section").alias("_s"), F.col("chunk_id").alias("parent_id"), "content", "page_number", F.explode("child_ids").alias("_c"))
+    same = F.col("pdf_filename").eqNullSafe(F.col("_p")) & F.col("section").eqNullSafe(F.col("_s")) & (F.col("child_id") == F.col("_c"))
+    return children.select("pdf_filename", "section", F.col("chunk_id").alias("child_id")).join(held, same).select("pdf_filename", "section", "child_id", "parent_id", "content", "page_number")
 
 
 def collection_of_path(path: Column, root: str = "pdfs") -> Column:

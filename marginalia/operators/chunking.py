@@ -80,6 +80,44 @@ def parent_chunks(children: DataFrame, least: float = 800.0, most: float = 1600.
     return each.groupBy("doc_id", F.col("z.parent").cast("bigint").alias("parent")).agg(F.min("z.c.chunk").alias("first_child"), F.count(F.lit(1)).alias("children"), F.round(F.sum("z.c.token_count"), 4).alias("token_count"))
 
 
+def id_prefix(document: Column, most: int = 20) -> Column:
+    """The start of a document's chunk ids: its name without extension, blanks and dashes as underscores."""
+    return F.substring(F.translate(F.regexp_replace(document, r"(?s)(.)\.[^.]*$", "$1"), " -", "__"), 1, most)
+
+
+def numbered_ids(kind: str, order: list[str]) -> Column:
+    """Ids that count a document's chunks through all its sections; the same for the same input."""
+    place = F.row_number().over(Window.partitionBy("pdf_filename").orderBy(*order))
+    return F.concat(F.lit(f"{kind}_"), F.coalesce(id_prefix(F.col("pdf_filename")), F.lit("")), F.lit("_"), place)
+
+
+def section_children(sections: DataFrame, blocks: DataFrame, **budget) -> DataFrame:
+    """(pdf_filename, section, chunk_index, chunk_id, section_title, content, token_count, page_number, page_numbers): child chunks of sections.
+
+    sections: pdf_filename, section, title, content, pages, one row for each; blocks: pdf_filename, section, line, page_number, content. A
+    chunk's page is that of the block where it begins, else the section's first; its pages are the section's. Sections without a sentence, or
+    with too few tokens, have none.
+    """
+    key = F.struct("pdf_filename", "section").alias("doc_id")
+    cut = child_chunks(sections.select(key, "content"), **budget)
+    placed = chunk_pages(cut, blocks.select(key, "line", "page_number", "content")).select(F.col("doc_id").alias("_d"), F.col("chunk").alias("_k"), F.col("page_number").alias("_page"))
+    told = cut.join(placed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("chunk") == F.col("_k")), "left").join(sections.select(key.alias("_s"), "title", "pages"), F.col("doc_id").eqNullSafe(F.col("_s")))
+    flat = told.select("doc_id.*", F.col("chunk").alias("chunk_index"), F.col("title").alias("section_title"), "content", "token_count", F.coalesce("_page", F.array_min("pages")).alias("page_number"), F.col("pages").alias("page_numbers"))
+    return flat.withColumn("chunk_id", numbered_ids("child", ["section", "chunk_index"]))
+
+
+def section_parents(children: DataFrame, least: float = 800.0, most: float = 1600.0) -> DataFrame:
+    """(pdf_filename, section, chunk_index, chunk_id, section_title, content, token_count, page_number, page_numbers, child_ids): the child chunks
+    of each section joined up to a budget, with the ids of those that each holds, in order; a section's last parent always stays."""
+    row = F.struct("chunk_index", "chunk_id", "content", "token_count", "page_numbers", "section_title")
+    rows = children.groupBy("pdf_filename", "section").agg(F.sort_array(F.collect_list(row)).alias("c"))
+    each = rows.select("pdf_filename", "section", F.explode(F.arrays_zip("c", child_breaks(F.col("c.token_count"), least, most).alias("parent"))).alias("z"))
+    held = each.groupBy("pdf_filename", "section", F.col("z.parent").cast("bigint").alias("chunk_index")).agg(F.sort_array(F.collect_list("z.c")).alias("l"), F.round(F.sum("z.c.token_count"), 4).alias("token_count"))
+    pages = F.array_sort(F.array_distinct(F.flatten(F.col("l.page_numbers"))))
+    told = held.select("pdf_filename", "section", "chunk_index", F.col("l")[0]["section_title"].alias("section_title"), F.array_join(F.col("l.content"), "\n\n").alias("content"), "token_count", F.coalesce(F.array_min(pages), F.lit(1)).cast("bigint").alias("page_number"), pages.alias("page_numbers"), F.col("l.chunk_id").alias("child_ids"))
+    return told.withColumn("chunk_id", numbered_ids("parent", ["section", "chunk_index"]))
+
+
 def chunk_pages(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, chunk, page_number): the page of the first block that holds the chunk's first 20 words, else its first 10, else the first block's."""
     b = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", "page_number", X.squashed(F.col("content")).alias("text")))).alias("blocks"))

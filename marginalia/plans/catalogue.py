@@ -292,9 +292,28 @@ def chunk_pages(spark, sf):
     return chunking.chunk_pages(chunking.child_chunks(views.chunks(spark, sf, False)), views.blocks(spark, sf))
 
 
+def _children(spark, sf):
+    """Every document is a section of its source."""
+    c = views.chunks(spark, sf, False)
+    sections = c.select("pdf_filename", F.col("doc_id").alias("section"), F.col("toc_title").alias("title"), "content", F.array("page_number").alias("pages"))
+    return chunking.section_children(sections, views.blocks(spark, sf).withColumnRenamed("doc_id", "section"))
+
+
+@query
+def section_children(spark, sf):
+    return _children(spark, sf).withColumn("page_numbers", F.array_join("page_numbers", ","))
+
+
+@query
+def section_parents(spark, sf):
+    p = chunking.section_parents(_children(spark, sf))
+    return p.withColumns({"page_numbers": F.array_join("page_numbers", ","), "child_ids": F.array_join("child_ids", ",")})
+
+
 @query
 def parent_lookup(spark, sf):
-    return catalog.parents_of(views.chunks(spark, sf, False))
+    children = _children(spark, sf)
+    return catalog.parents_of(children, chunking.section_parents(children))
 
 
 @query

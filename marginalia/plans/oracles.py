@@ -149,6 +149,11 @@ FILES = """files AS (SELECT lang AS collection, 'f' || doc_id || '.pdf' AS pdf_f
 ledger AS (SELECT CASE WHEN f.doc_id % 7 = 0 THEN 'old' ELSE collection END AS collection, pdf_filename FROM files f JOIN labels l ON l.doc_id = f.doc_id)"""
 _FIRST = first_words("regexp_replace(content, '[\"''<>]', '', 'g')", 6)
 _Q = "(CASE WHEN doc_id % 2 = 0 THEN '\"' ELSE '''' END)"
+NUMBERED = f"""{FOLD.replace('RECURSIVE docs', f'RECURSIVE {CHUNKS}, docs')}, nk AS (SELECT pdf_filename, k.doc_id AS section, chunk AS chunk_index, toc_title AS section_title, k.content, token_count, page_number, 'child_' || substr(pdf_filename, 1, 20) || '_' || row_number() OVER (PARTITION BY pdf_filename ORDER BY k.doc_id, chunk) AS chunk_id FROM kids k JOIN chunks USING (doc_id)),
+kt AS (SELECT section, list(token_count ORDER BY chunk_index) AS t, list(chunk_id ORDER BY chunk_index) AS c FROM nk GROUP BY 1),
+pf AS (SELECT section, 1 AS pos, 0 AS parent, t[1] AS total FROM kt UNION ALL SELECT f.section, f.pos + 1, parent + (total + t[f.pos + 1] > 1600 AND total >= 800)::INT, CASE WHEN total + t[f.pos + 1] > 1600 AND total >= 800 THEN t[f.pos + 1] ELSE total + t[f.pos + 1] END FROM pf f JOIN kt k ON k.section = f.section WHERE f.pos < len(t)),
+held AS (SELECT nk.*, parent FROM pf JOIN kt USING (section) JOIN nk ON nk.section = pf.section AND nk.chunk_id = c[pos]),
+np AS (SELECT *, 'parent_' || substr(pdf_filename, 1, 20) || '_' || row_number() OVER (PARTITION BY pdf_filename ORDER BY section, chunk_index) AS chunk_id FROM (SELECT pdf_filename, section, parent AS chunk_index, any_value(section_title) AS section_title, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS content, round(sum(token_count ORDER BY chunk_index), 4) AS token_count, min(page_number) AS page_number, string_agg(DISTINCT page_number::VARCHAR, ',') AS page_numbers, string_agg(chunk_id, ',' ORDER BY chunk_index) AS child_ids FROM held GROUP BY pdf_filename, section, parent))"""
 ANSWERS = f"answers AS (SELECT doc_id AS answer_id, 'As stated <citation pdf_name=' || {_Q} || pdf_filename || {_Q} || ' page_number=' || {_Q} || page_number || {_Q} || ' chunk_id=' || {_Q} || chunk_id || {_Q} || ' cited_text=' || {_Q} || {_FIRST} || {_Q} || '> here.' AS answer FROM chunks)"
 CITED = "cited AS (" + " UNION ALL ".join("SELECT answer_id, " + ", ".join(f"unnest(regexp_extract_all(answer, {_quoted(tag)}, {k})) AS {name}" for k, name in enumerate(PARTS, 1)) + " FROM answers" for tag in TAGS) + ")"
 _PIPES = "[string_split(r, '|') for r in string_split(content, chr(10)) if contains(r, '|')]"
@@ -344,7 +349,9 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id
 pf AS (SELECT doc_id, 1 AS pos, 0 AS parent, t[1] AS total FROM kt UNION ALL SELECT f.doc_id, f.pos + 1, parent + (total + t[f.pos + 1] > 1600 AND total >= 800)::INT, CASE WHEN total + t[f.pos + 1] > 1600 AND total >= 800 THEN t[f.pos + 1] ELSE total + t[f.pos + 1] END FROM pf f JOIN kt k ON k.doc_id = f.doc_id WHERE f.pos < len(t))
 SELECT f.doc_id, parent, min(c[pos]) AS first_child, count(*) AS children, round(sum(t[pos] ORDER BY pos), 4) AS token_count FROM pf f JOIN kt k ON k.doc_id = f.doc_id GROUP BY 1, 2""",
     "chunk_pages": f"WITH {FOLD.replace('RECURSIVE docs', f'RECURSIVE {CHUNKS}, {BLOCKS}, docs')}, b AS (SELECT doc_id, any_value(page_number) AS page_number FROM blocks GROUP BY 1) SELECT doc_id, chunk, page_number FROM kids JOIN b USING (doc_id)",
-    "parent_lookup": f"WITH {CHUNKS} SELECT c.pdf_filename, c.chunk_id AS child_id, p.chunk_id AS parent_id FROM chunks c JOIN chunks p ON p.pdf_filename = c.pdf_filename AND p.seq = c.seq - c.seq % 5 WHERE c.chunk_type = 'child' AND p.chunk_type = 'parent'",
+    "section_children": f"WITH {NUMBERED} SELECT *, page_number::VARCHAR AS page_numbers FROM nk",
+    "section_parents": f"WITH {NUMBERED} SELECT * FROM np",
+    "parent_lookup": f"WITH {NUMBERED} SELECT h.pdf_filename, h.section, h.chunk_id AS child_id, p.chunk_id AS parent_id, p.content, p.page_number FROM held h JOIN np p ON p.section = h.section AND p.chunk_index = h.parent",
     "chunk_by_id": f"WITH {CHUNKS} SELECT chunk_id, collection, pdf_filename, page_number, content FROM chunks WHERE chunk_id = 'c17'",
     "document_overview": f"WITH {CHUNKS} SELECT chunk_id, page_number FROM chunks WHERE pdf_filename = 'src6' AND chunk_type = 'parent' ORDER BY seq, chunk_id LIMIT 5",
     "history_recent_budget": f"WITH {TURNS}, t AS (SELECT *, round(sum({_TURN}) OVER w, 4) AS total, row_number() OVER w AS n FROM turns WINDOW w AS (PARTITION BY collection ORDER BY conv_id DESC, turn DESC ROWS UNBOUNDED PRECEDING)) SELECT collection, conv_id, turn, total FROM t WHERE total <= 2000 OR n = 1",
