@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators import pages, retrieval
+from marginalia.operators import catalog, pages, retrieval
 from marginalia.operators.catalog import Scope
 from marginalia.sources.providers import Providers
 
@@ -48,11 +48,20 @@ def valid_documents(chunks: DataFrame, scope: Scope) -> Scope:
     return Scope(scope.chunk_type, tuple(d for d in scope.documents if d in there), scope.sections, scope.pages, scope.partial_titles)
 
 
+def section_pages(chunks: DataFrame, scope: Scope) -> DataFrame:
+    """(chunk_id, score, rank): the whole pages of the scope's sections in its documents, at most as many as a prompt takes; else no rows."""
+    mine = chunks.filter(F.col("pdf_filename").isin(*scope.documents)) if scope.documents else chunks
+    found = pages.pages_of_sections(mine, catalog.sections_of_documents(mine).withColumnRenamed("page", "page_number"), list(scope.sections))
+    place = F.row_number().over(Window.orderBy("pdf_filename", "page_number", "content"))  # the rows of ten pages at most
+    return found.select(F.concat("pdf_filename", F.lit(":page:"), "page_number").alias("chunk_id"), F.lit(1.0).alias("score"), place.alias("rank"))
+
+
 def ask(chunks: DataFrame, queries: DataFrame, scope: Scope, n: int = 10, providers: Providers | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) for a batch of questions, by the scope's mode.
 
     page_range: the whole pages where parent chunks are asked for and the range is small enough, else nearest chunks of the range.
-    toc_section: nearest chunks of the sections. pdf and group: semantic and keyword results of the documents. collection: the fused
+    toc_section: the whole pages of the sections where parent chunks are asked for and they are few enough, else semantic and keyword results
+    of chunks with these titles. pdf and group: semantic and keyword results of the documents. collection: the fused
     lists, reranked. Routes of `providers` come first for documents and the collection; its `expand` rewrites the questions. A scope
     of documents that the collection has none of gives no rows.
     """
@@ -64,7 +73,13 @@ def ask(chunks: DataFrame, queries: DataFrame, scope: Scope, n: int = 10, provid
         whole = pages.full_pages(chunks, known.documents[0], *known.pages)
         if whole.take(1):
             return queries.select("query_id").join(F.broadcast(whole.select(F.col("id").alias("chunk_id"), "score", "rank")))
-    if known.mode in ("page_range", "toc_section"):
+    if known.mode == "toc_section":
+        if scope.chunk_type == "parent":
+            whole = section_pages(chunks, known)
+            if whole.take(1):
+                return queries.select("query_id").join(F.broadcast(whole))
+        return retrieval.hybrid(own, asked, n).select("query_id", "chunk_id", "score", "rank")
+    if known.mode == "page_range":
         return retrieval.knn(own, asked, n).select("query_id", "chunk_id", F.round(1.0 - F.col("distance"), 6).alias("score"), "rank")
     if providers.routes:
         rows = [(q, d, t) for q, per in providers.routes.items() for d, titles in per.items() for t in titles]

@@ -181,6 +181,11 @@ def ask_sections(spark, sf):
     return routing.ask(views.chunks(spark, sf), views.queries(spark, sf), Scope(chunk_type="child", documents=("src1",), sections=("Section 1", "Section 2")), 10)
 
 
+@query
+def ask_whole_sections(spark, sf):
+    return routing.ask(views.chunks(spark, sf), views.queries(spark, sf), Scope(chunk_type="parent", documents=("src4",), sections=("Section 1",)), 10)
+
+
 @query
 def ask_pages(spark, sf):
     return routing.ask(views.chunks(spark, sf), views.queries(spark, sf), Scope(chunk_type="child", documents=("src2",), pages=(5, 20)), 10)

@@ -328,7 +328,10 @@ fresh AS (SELECT w.query_id, w.chunk_id, w.score, few.found, row_number() OVER (
 u AS (SELECT query_id, chunk_id, score, source_type FROM a UNION ALL SELECT query_id, chunk_id, score, 'global_fallback' FROM fresh WHERE turn <= 8 - found UNION ALL SELECT query_id, chunk_id, score, source_type FROM w WHERE rank <= 8 AND query_id % 3 = 0)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM u""",
     "ask_documents": f"""WITH {CHUNKS}, {QUERIES}, {hybrid('h', 10, "pdf_filename IN ('src1', 'src2')")} SELECT query_id, chunk_id, score, rank FROM h""",
-    "ask_sections": f"""WITH {CHUNKS}, {QUERIES}, {knn('k', 10, "c.chunk_type = 'child' AND c.pdf_filename = 'src1' AND c.toc_title IN ('Section 1', 'Section 2')")} SELECT query_id, chunk_id, round(1.0::DOUBLE - distance, 6) AS score, rank FROM k""",
+    "ask_sections": f"""WITH {CHUNKS}, {QUERIES}, {hybrid('h', 10, "pdf_filename = 'src1' AND toc_title IN ('Section 1', 'Section 2')")} SELECT query_id, chunk_id, score, rank FROM h""",
+    "ask_whole_sections": f"""WITH {CHUNKS}, {QUERIES}, own AS (SELECT * FROM chunks WHERE pdf_filename = 'src4'), starts AS (SELECT toc_title, arg_min(corrected_toc_page, seq) AS first FROM own GROUP BY 1),
+r AS (SELECT first, coalesce((SELECT min(first) FROM starts WHERE first > s.first) - 1, first + 10) AS last FROM starts s WHERE toc_title = 'Section 1'), p AS (SELECT page_number, content FROM own JOIN r ON page_number BETWEEN first AND last WHERE last - first < 10 AND regexp_matches(content, '\\S'))
+SELECT query_id, 'src4:page:' || page_number AS chunk_id, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY page_number, content) AS rank FROM queries, p""",
     "ask_pages": f"""WITH {CHUNKS}, {QUERIES}, {knn('k', 10, "c.chunk_type = 'child' AND c.pdf_filename = 'src2' AND c.page_number BETWEEN 5 AND 20")} SELECT query_id, chunk_id, round(1.0::DOUBLE - distance, 6) AS score, rank FROM k""",
     "ask_whole_pages": rf"WITH {CHUNKS}, {QUERIES} SELECT query_id, pdf_filename || ':page:' || page_number AS chunk_id, 1.0::DOUBLE AS score, page_number - 2 AS rank FROM chunks, queries WHERE pdf_filename = 'src4' AND page_number BETWEEN 3 AND 9 AND regexp_matches(content, '\S')",
     "deleted_document": f"WITH {CHUNKS} SELECT collection, pdf_filename, count(*) AS chunks FROM chunks WHERE NOT (collection IS NOT DISTINCT FROM 'en' AND pdf_filename IS NOT DISTINCT FROM 'src2') GROUP BY ALL",
