@@ -9,8 +9,11 @@ stands for several, give the repeated windows. Their spans go back to all places
 
 A hash whose segments are more than a shard's bytes, as that of a very common string, is split: its segments are cut
 again by further, independent least hashes of the same windows, one for each time that the bytes exceed
-a shard's twofold, and windows are sorted with those that agree in all of them. What is still larger is sorted in
-rooms, two at a time, so that memory stays that of a shard.
+a shard's twofold, and windows are sorted with those that agree in all of them. Equal pieces are one string that stands for all their
+places before any bytes move, so a passage of very many texts is sorted once. Where the distinct pieces of a part are
+still beyond a shard, as those that begin in one of many texts and end in what they share, the part is cut into its windows; those
+found once go, and one of each other is left. Only windows that are all different and all repeated can still exceed
+a shard; they are sorted in rooms, two at a time.
 """
 
 from __future__ import annotations
@@ -106,31 +109,58 @@ def parted(raw: np.ndarray, levels: int, length: int = LENGTH, gram: int = GRAM)
     return key[head], head, np.append(head[1:], len(key)) - 1 + length
 
 
-CUT = "part bigint, h bigint, seg bigint, at int, weight bigint, bytes binary"
+#: Tasks that the pieces of one string are dealt to when its spans go back to them.
+SALTS = 32
+
+PIECES = "part bigint, piece bigint, h bigint, seg bigint, at int, weight bigint, key binary, start int, stop int"
+
+
+def _segments_of(part):
+    """Bytes, segments (as columns) and, for each segment, the text's number and where it begins; rows (.., text, segments)."""
+    raw, at = utf8(part.column(part.schema.get_field_index("text")))
+    lists = part.column(part.schema.get_field_index("segments"))
+    counts = np.diff(lists.offsets.to_numpy())
+    return raw, lists.flatten(), np.repeat(np.arange(len(counts)), counts), np.repeat(at[:-1], counts)
 
 
-def _cut(batches, length: int, gram: int):
-    """The bytes of each segment of each text; rows (text, segments: array of (h, seg, weight, levels, start, stop))."""
+def windows(raw: np.ndarray, levels: int, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each window of a piece by itself, as `parted`: its key is made of all its bytes, half of them at a time."""
+    begin = np.arange(len(raw) - length + 1)
+    key = mixed(span_hashes(raw, begin, begin + length // 2) + np.uint64(1)) ^ span_hashes(raw, begin + length // 2, begin + length)
+    return key, begin, begin + length
+
+
+def _piece_rows(batches, length: int, gram: int, how):
+    """The pieces of the segments of large groups, without bytes: rows of `PIECES`, from rows (key, text, segments: array of
+    (h, seg, weight, levels, start, stop)); `how` is `parted` or `windows`."""
     for part in pieces(batches, "text"):
-        raw, at = utf8(part.column(0))
-        lists = part.column(1)
-        inner = lists.flatten()
-        counts = np.diff(lists.offsets.to_numpy())
-        base = np.repeat(at[:-1], counts)
+        raw, inner, doc, base = _segments_of(part)
         start, stop = inner.field("start").to_numpy() + base, inner.field("stop").to_numpy() + base
         h, levels = inner.field("h").to_numpy(), inner.field("levels").to_numpy()
-        owner, keys, begin, end = [np.flatnonzero(levels == 0)], [h[levels == 0]], [start[levels == 0]], [stop[levels == 0]]
-        for k in np.flatnonzero(levels).tolist():
-            key, a, b = parted(raw[start[k] : stop[k]], int(levels[k]), length, gram)
+        owner, keys, begin, end = ([np.zeros(0, np.int64)] for _ in range(4))
+        for k in range(len(h)):
+            key, a, b = how(raw[start[k] : stop[k]], int(levels[k]), length, gram)
             owner.append(np.full(len(key), k)), keys.append(mixed(key ^ h[k : k + 1].view(np.uint64)).view(np.int64))
             begin.append(a + start[k]), end.append(b + start[k])
         owner, keys, begin, end = (np.concatenate(x) for x in (owner, keys, begin, end))
+        own = [inner.field(c).take(pa.array(owner)) for c in ("h", "seg", "weight")]
+        at, first, last = (pa.array(x.astype(np.int32)) for x in (begin - start[owner], begin - base[owner], end - base[owner]))
+        columns = [pa.array(keys), pa.array(span_hashes(raw, begin, end).view(np.int64)), *own[:2], at, own[2], part.column(0).take(pa.array(doc[owner])), first, last]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "piece", "h", "seg", "at", "weight", "key", "start", "stop"])
+
+
+CUT = "part bigint, h bigint, seg bigint, at int, weight bigint, bytes binary"
+
+
+def _cut(batches):
+    """The bytes of each segment of each text; rows (text, segments: array of (h, seg, weight, start, stop))."""
+    for part in pieces(batches, "text"):
+        raw, inner, _, base = _segments_of(part)
+        begin, end = inner.field("start").to_numpy() + base, inner.field("stop").to_numpy() + base
         data = raw.tobytes()
         cut = pa.array([data[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())
-        row = pa.array(owner)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys), inner.field("h").take(row), inner.field("seg").take(row), pa.array((begin - start[owner]).astype(np.int32)), inner.field("weight").take(row), cut], names=["part", "h", "seg", "at", "weight", "bytes"],
-        )
+        h = inner.field("h")
+        yield pa.RecordBatch.from_arrays([h, h, inner.field("seg"), pa.array(np.zeros(len(h), np.int32)), inner.field("weight"), cut], names=["part", "h", "seg", "at", "weight", "bytes"])
 
 
 def repeated_windows(parts: list[bytes], weight: np.ndarray, length: int = LENGTH, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,21 +280,48 @@ def _rest(batches, digest: bool):
         yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), last], names=["key", "n_bytes", "n_removed", "n_spans", "rest"])
 
 
-def covered_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(key, spans): the covered spans of each distinct text (key, text, copies) that has any; they may overlap."""
-    spark = texts.sparkSession
+def strings_to_sort(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, list]:
+    """Rows to sort (part, h, seg, at, weight, bytes), no two of a part equal; the places of segments (h, seg); and for each time
+    that large groups were cut, the places (h, seg, at) of the pieces (part, piece), and the distinct pieces."""
     rows = texts.select("key", "text", "copies").mapInArrow(partial(_segment_rows, length=length, gram=gram), SEGMENTS)
     # One shuffle by the hash serves the count by hash, its bytes and the grouping of equal segments.
     own = Window.partitionBy("h")
     total, held = F.sum(F.col("copies") * F.when(F.col("twice"), 2).otherwise(1)).over(own), F.sum((F.col("stop") - F.col("start")).cast("long")).over(own)
     shared = rows.withColumns({"total": total, "levels": F.greatest(F.lit(0), F.ceil(F.log2(held / shard_bytes))).cast("int")}).filter("total > 1").drop("total", "twice")
     places = written(shared)
-    distinct = places.groupBy("h", "seg").agg(F.sum("copies").alias("weight"), F.max("levels").alias("levels"), F.min(F.struct("key", "start", "stop")).alias("at"))
-    by_text = distinct.groupBy("at.key").agg(F.collect_list(F.struct("h", "seg", "weight", "levels", F.col("at.start").alias("start"), F.col("at.stop").alias("stop"))).alias("segments"))
-    cut = texts.select("key", "text").join(by_text, "key").select("text", "segments").mapInArrow(partial(_cut, length=length, gram=gram), CUT)
+    first = F.min(F.struct("key", "start", "stop")).alias("first")
+
+    def with_text(segs: DataFrame) -> DataFrame:
+        fields = [c for c in segs.columns if c != "first"] + [F.col("first.start").alias("start"), F.col("first.stop").alias("stop")]
+        return texts.select("key", "text").join(segs.groupBy("first.key").agg(F.collect_list(F.struct(*fields)).alias("segments")), "key")
+
+    def cut_again(segs: DataFrame, how) -> tuple[DataFrame, DataFrame]:
+        found = written(with_text(segs).mapInArrow(partial(_piece_rows, length=length, gram=gram, how=how), PIECES))
+        return found, found.groupBy(F.col("part").alias("h"), F.col("piece").alias("seg")).agg(F.sum("weight").alias("weight"), first)
+
+    whole = places.filter("levels = 0").groupBy("h", "seg").agg(F.sum("copies").alias("weight"), first)
+    hot = places.filter("levels > 0").groupBy("h", "seg").agg(F.sum("copies").alias("weight"), F.max("levels").alias("levels"), first)
+    cut_hot, merged = cut_again(hot, parted)
+    large = written(merged.groupBy("h").agg(F.sum((F.col("first.stop") - F.col("first.start")).cast("long")).alias("held")).filter(F.col("held") > shard_bytes).select("h"))
+    cut_large, alone = cut_again(merged.join(large, "h", "left_semi").withColumn("levels", F.lit(0)), windows)
+    alone = alone.filter("weight > 1")
+    distinct = whole.unionByName(merged.join(large, "h", "left_anti")).unionByName(alone)
+    return with_text(distinct).select("text", "segments").mapInArrow(_cut, CUT), places, [(cut_hot, merged), (cut_large, alone)]
+
+
+def covered_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(key, spans): the covered spans of each distinct text (key, text, copies) that has any; they may overlap."""
+    spark = texts.sparkSession
+    cut, places, steps = strings_to_sort(texts, length, gram, shard_bytes)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     shards = cut.repartition(parts, "part").sortWithinPartitions("part", "h", "seg", "at")
     found = written(shards.mapInArrow(partial(_sort_shards, length=length, memory=MEMORY, shard_bytes=shard_bytes), FOUND))
+    for pieces_at, distinct in reversed(steps):
+        # Spans go back to all places of a piece, salted, as it may have very many.
+        many = found.join(distinct.select("h", "seg"), ["h", "seg"], "left_semi").select(F.col("h").alias("part"), F.col("seg").alias("piece"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b")))
+        back = pieces_at.withColumn("salt", F.pmod(F.xxhash64("h", "seg"), F.lit(SALTS)).cast("int")).join(many, ["part", "piece", "salt"])
+        found = found.unionByName(back.select("h", "seg", moved.alias("spans")))
     spans = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
     return places.join(found, ["h", "seg"]).select("key", spans.alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

@@ -149,6 +149,25 @@ def test_large_groups_of_one_hash_are_split(spark):
     assert found == wanted and any(n for n, _ in wanted.values())
 
 
+def test_a_common_passage_is_sorted_once(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    common = " ".join(word() for _ in range(150))[:800]
+    texts = [" ".join(word() for _ in range(90)) + common + " ".join(word() for _ in range(90)) for _ in range(200)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    cut, _, steps = exact.strings_to_sort(exact.distinct_texts(docs), shard_bytes=8000)
+    rows = cut.collect()
+    held = Counter()
+    for r in rows:
+        held[r.part] += len(r.bytes)
+    assert len({(r.part, bytes(r.bytes)) for r in rows}) == len(rows)
+    # Every text has the passage; none of the parts grows with their number.
+    assert all(at.count() > 200 for at, _ in steps) and max(r.weight for r in rows) == 200 and max(held.values()) < 8000
+    wanted = {hashlib.md5(t.encode()).digest(): (n, runs) for t, (n, runs, _) in zip(texts, brute_rest([t.encode() for t in texts], 400))}
+    found = {bytes(r.key): (r.n_removed, r.n_spans) for r in exact.remainders(docs, True, shard_bytes=8000).collect()}
+    assert found == wanted and all(n >= 800 for n, _ in wanted.values())
+
+
 def test_clashing_names_of_the_stages(spark):
     rows = [(1, "a b c d e f g h i j k l", 1, 2, 3, 4, 5), (1, "a b c d e f g h i j k l", 1, 2, 3, 4, 5), (2, "other words of a text that is here alone for now", 9, 8, 7, 6, 5)]
     names = "doc_id bigint, text string, _own int, _KEY int, __node int, _times int, `_rest` int"
