@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import answers
 from marginalia.functions import text as X
-from marginalia.operators import bm25index, catalog, chunking, citations, history, layout, matching, pages, pagesearch, paragraphs, retrieval, routing, spatial
+from marginalia.operators import bm25index, catalog, chunking, citations, elements, history, layout, matching, pages, pagesearch, paragraphs, retrieval, routing, spatial
 from marginalia.operators.catalog import Scope
 from marginalia.sources import batch, shared, views
 
@@ -703,5 +703,18 @@ def batch_driver(spark, sf):
     return became.unionByName(holds.select(F.lit(2).alias("gen"), "collection", F.lit("stored").alias("status"), F.lit(None).cast("string").alias("reason"), "documents", "characters"))
 
 
+@query
+def content_blocks(spark, sf):
+    """Every line of every document is an element: of seven one is a table, one a figure, one a footnote, the others paragraphs."""
+    turn, k = (F.col("doc_id") + F.col("line")) % 7, F.col("doc_id")
+    b = views.blocks(spark, sf).withColumns({"ord": k * 100000 + F.col("line"), "turn": turn, "x0": F.lit(100.0) + k % 5 * 10, "y1": F.col("y0") + 10.0, "words": X.words(F.col("content"))})
+    b = b.withColumn("x1", F.col("x0") + 200.0)
+    grid = F.filter(F.array(F.slice("words", 1, 3), F.slice("words", 4, 3)), lambda r: F.size(r) > 0)
+    tables = b.filter("turn = 3").withColumn("grid", grid).withColumns({"markdown": F.when(k % 2 == 0, layout.markdown(F.col("grid"))), "caption": F.concat(F.lit("Table "), "line")})
+    figures = b.filter("turn = 5").withColumns({"caption": F.when(k % 3 > 0, X.first_words(F.col("content"), 6)), "image_type": F.lit("png")})
+    notes = b.filter("turn = 6").withColumn("reference_number", F.col("line").cast("string"))
+    return elements.content_blocks(b.filter("turn not in (3, 5, 6)"), tables, figures, notes, views.toc(spark, sf)).fillna(0, ["row_count", "column_count", "width", "height"])
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return fused_pipeline(spark, sf)

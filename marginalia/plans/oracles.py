@@ -344,6 +344,18 @@ SELECT query_id, 'src4:page:' || page_number AS chunk_id, 1.0::DOUBLE AS score,
     "header_footer_removal": f"WITH {HEADED}, {RUNNING} SELECT pdf_filename, count(*) AS blocks FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM running r WHERE r.pdf_filename = b.pdf_filename AND r.text = lower({squashed('b.content')}) AND abs(b.y0 - r.y_band) <= 10) GROUP BY 1",
     "block_types": f"WITH {BLOCKS} SELECT doc_id, line, {block_type('content')} AS block_type FROM blocks",
     "block_type_counts": f"WITH {BLOCKS} SELECT {block_type('content')} AS block_type, count(*) AS blocks FROM blocks GROUP BY 1",
+    "content_blocks": rf"""WITH {CHUNKS}, {TOC}, {BLOCKS}, made AS (SELECT *, doc_id * 100000 + line AS rid, (doc_id + line) % 7 AS turn, 100.0::DOUBLE + doc_id % 5 * 10 AS left_, {words("content")} AS w FROM blocks),
+  grids AS (SELECT *, [r for r in [w[1:3], w[4:6]] if len(r) > 0] AS g FROM made), elements AS (
+  SELECT pdf_filename, page_number, 0 AS kind, rid, CASE WHEN length({stripped("content")}) < 3 THEN 'paragraph' ELSE {block_type("content")} END AS block_type, content, 50.0::DOUBLE AS x0, y0, 550.0::DOUBLE AS x1, y0 + 50 AS y1,
+    NULL::VARCHAR AS caption, 0 AS row_count, 0 AS column_count, NULL::VARCHAR AS image_type, NULL::VARCHAR AS reference_number FROM made WHERE turn NOT IN (3, 5, 6)
+  UNION ALL SELECT pdf_filename, page_number, 1, rid, 'table', CASE WHEN doc_id % 2 = 0 AND len(g) > 0 THEN '| ' || array_to_string(g[1], ' | ') || ' |' || chr(10) || '| ' || array_to_string(['---' for c in g[1]], ' | ') || ' |'
+      || CASE WHEN len(g) > 1 THEN chr(10) || '| ' || array_to_string(g[2], ' | ') || ' |' ELSE '' END ELSE coalesce(array_to_string([array_to_string(r, ' | ') for r in g], chr(10)), '') END,
+    left_, y0, left_ + 200, y0 + 10, 'Table ' || line, len(g), coalesce(len(g[1]), 0), NULL, NULL FROM grids WHERE turn = 3
+  UNION ALL SELECT pdf_filename, page_number, 2, rid, 'figure', CASE WHEN doc_id % 3 > 0 THEN {first_words("content", 6)} END, left_, y0, left_ + 200, y0 + 10, CASE WHEN doc_id % 3 > 0 THEN {first_words("content", 6)} END, 0, 0, 'png', NULL FROM made WHERE turn = 5
+  UNION ALL SELECT pdf_filename, page_number, 3, rid, 'footnote', content, left_, y0, left_ + 200, y0 + 10, NULL, 0, 0, NULL, line::VARCHAR FROM made WHERE turn = 6),
+  rows AS (SELECT pdf_filename, doc_id AS rid, page_number FROM chunks), {ASOF}
+  SELECT e.* EXCLUDE (kind, rid), row_number() OVER (PARTITION BY pdf_filename ORDER BY page_number, y0, x0, kind, e.rid) AS place, CASE WHEN block_type = 'figure' THEN x1 - x0 ELSE 0 END AS width, CASE WHEN block_type = 'figure' THEN y1 - y0 ELSE 0 END AS height,
+    toc_title, toc_level, toc_page, coalesce(block_type = 'heading' AND {jaccard("content", "toc_title")} > 0.7, false) AS is_toc_heading FROM elements e JOIN linked l ON l.rid = e.rid // 100000""",
     "toc_asof": f"WITH {CHUNKS}, {TOC}, rows AS (SELECT pdf_filename, doc_id AS rid, page_number FROM chunks), {ASOF} SELECT rid AS doc_id, toc_title, toc_level, toc_page FROM linked",
     "toc_heading_jaccard": f"WITH {CHUNKS}, {TOC}, {BLOCKS}, rows AS (SELECT pdf_filename, doc_id AS rid, page_number FROM blocks WHERE line = 0), {ASOF} SELECT doc_id, round({jaccard('content', 'toc_title')}, 6) AS likeness, ({block_type('content')}) = 'heading' AND {jaccard('content', 'toc_title')} > 0.7 AS is_toc_heading FROM blocks JOIN linked ON rid = doc_id WHERE line = 0",
     "sentences": f"WITH {CHUNKS}, s AS (SELECT doc_id, {SENTENCES} AS l FROM chunks), e AS (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM s) SELECT doc_id, i - 1 AS at, l[i] AS sentence, round({estimate('l[i]')}, 4) AS tokens FROM e",
