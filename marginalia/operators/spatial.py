@@ -56,16 +56,62 @@ def link_targets(entries: DataFrame, links: DataFrame, reach: float = 10.0) -> D
     return near.groupBy("pdf_filename", "entry_id").agg(F.min(F.struct("ord", "dest_page")).alias("x")).select("pdf_filename", "entry_id", "x.ord", "x.dest_page")
 
 
+def highest(areas: DataFrame, spots: DataFrame, by: list[str], own: list[str]) -> DataFrame:
+    """For each area (by, own, x0, y0, x1, y1) the spot (by, x, y) in it that has the least y, then the least x, borders included: by, own, y, x.
+
+    Areas without a spot give no rows, nor do those with a null side, or turned inside out. Areas don't meet spots one by one: all abscissas of a page
+    are numbered, an area's range of them is cut into at most two spans of each power of two, and each span's spots and areas are passed
+    once from below, where an area takes the last spot before it. So an area costs the logarithm of the page's spots, however many it holds.
+    """
+    c, lit = F.col, F.lit
+    known = lambda df, names: df.filter(" and ".join(f"{n} is not null" for n in names))
+    areas = known(areas, [*by, "x0", "y0", "x1", "y1"]).filter("x0 <= x1 and y0 <= y1").select(*by, *own, "x0", "y0", "x1", "y1")
+    spots = known(spots, [*by, "x", "y"]).select(*by, "x", "y")
+    xs = spots.select(*by, "x").union(areas.select(*by, "x0")).union(areas.select(*by, "x1")).distinct()
+    xs = xs.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("x")).cast("bigint") - 1).withColumn("top", F.count(lit(1)).over(Window.partitionBy(*by)))
+    # A page of n abscissas has levels up to the length of n in bits.
+    levels = F.sequence(lit(0), F.length(F.bin("top")))
+    power = lambda level: F.pow(lit(2.0), level).cast("bigint")
+    first = lambda level: F.floor((c("low") + power(level) - 1) / power(level))
+    last = lambda level: F.floor((c("high") + 1) / power(level)) - 1
+    node = lambda level, k: F.struct(level.alias("level"), k.alias("k"))
+
+    def outer(level: Column) -> Column:
+        """The spans of a level that are in the range, but not in one of the level above that is."""
+        ends = F.array_distinct(F.array(first(level), last(level)))
+        inside = lambda k: (first(level + 1) <= F.floor(k / 2)) & (F.floor(k / 2) <= last(level + 1))
+        return F.when(first(level) <= last(level), F.transform(F.filter(ends, lambda k: ~inside(k)), lambda k: node(level, k))).otherwise(F.array().cast("array<struct<level:int,k:bigint>>"))
+
+    low = xs.select(*by, c("x").alias("x0"), c("at").alias("low"), "top")
+    high = xs.select(*by, c("x").alias("x1"), c("at").alias("high"))
+    dealt = areas.join(low, [*by, "x0"]).join(high, [*by, "x1"]).select(*by, *own, "y0", "y1", F.explode(F.flatten(F.transform(levels, outer))).alias("node"))
+    held = spots.join(xs, [*by, "x"]).select(*by, "x", "y", F.explode(F.transform(levels, lambda level: node(level, F.floor(c("at") / power(level))))).alias("node"))
+    key = [*by, "node"]
+    asked = dealt.select(*key).distinct()
+    held = held.join(asked, key, "left_semi").groupBy(*key, "y").agg(F.min("x").alias("x"))
+    empty = [lit(None).cast(dealt.schema[n].dataType).alias(n) for n in [*own, "y1"]]
+    both = dealt.select(*key, *own, "y1", c("y0").alias("y"), lit(None).cast("double").alias("x"), lit(1).alias("kind")).unionByName(held.select(*key, *empty, "y", "x", lit(0).alias("kind")))
+    upwards = Window.partitionBy(*key).orderBy(c("y").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    spot = F.last(F.when(c("kind") == 0, F.struct("y", "x")), ignorenulls=True).over(upwards)
+    best = both.withColumn("spot", spot).filter("kind = 1 and spot.y <= y1").groupBy(*by, *own).agg(F.min("spot").alias("spot"))
+    return best.select(*by, *own, "spot.y", "spot.x")
+
+
 def captions(boxes: DataFrame, spans: DataFrame, reach: float = 50.0, margin: float = 30.0) -> DataFrame:
     """Each box (pdf_filename, page_number, box_id, x0, y0, x1, y1) with its caption: of the spans that begin below it, or above it
-    where `kind` is table, the first that begins as a caption does, else the first short one. Boxes without a column `kind` are figures; null without a span."""
+    where `kind` is table, the first that begins as a caption does, else the first short one. Boxes without a column `kind` are figures; null without a span.
+
+    Spans that begin at the same spot are one before they meet boxes, the least text of each rank; texts join the boxes when their spots are found.
+    """
     boxes = boxes if "kind" in boxes.columns else boxes.withColumn("kind", F.lit("figure"))
     c, above = F.col, F.col("kind") == "table"
     area = box(c("x0") - margin, F.when(above, c("y0") - reach).otherwise(c("y1")), c("x1") + margin, F.when(above, c("y0")).otherwise(c("y1") + reach))
-    begin = spans.select(*PAGE, "content", box(c("x0"), c("y0"), c("x0"), c("y0")).alias("spot"))
     rank = F.when(c("content").rlike(r"(?i)^\s*(figure|fig\.?|table|tab\.?|chart|diagram)\s*\d+"), 1).when(F.length("content") < 200, 2)
-    met = meeting(boxes.select(*PAGE, "box_id", area.alias("area")), begin).withColumn("rank", rank).filter("rank is not null")
-    best = met.groupBy(*PAGE, "box_id").agg(F.min(F.struct("rank", c("spot.y0").alias("y"), c("spot.x0").alias("x"), "content"))["content"].alias("caption"))
+    ranked = spans.select(*PAGE, rank.alias("rank"), c("x0").cast("double").alias("x"), c("y0").cast("double").alias("y"), "content").filter("rank is not null")
+    spots = ranked.groupBy(*PAGE, "rank", "y", "x").agg(F.min("content").alias("caption"))
+    areas = boxes.select(*PAGE, "box_id", area.alias("area"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank")).select(*PAGE, "rank", "box_id", "area.*")
+    met = highest(areas, spots, [*PAGE, "rank"], ["box_id"])
+    best = met.groupBy(*PAGE, "box_id").agg(F.min(F.struct("rank", "y", "x")).alias("s")).select(*PAGE, "box_id", "s.*").join(spots, [*PAGE, "rank", "y", "x"]).select(*PAGE, "box_id", "caption")
     return boxes.select(*PAGE, "box_id").distinct().join(best, [*PAGE, "box_id"], "left")
 
 
