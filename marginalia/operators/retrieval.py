@@ -17,6 +17,8 @@ from marginalia.functions import text as X
 
 #: Queries in one packed row, and most packed rows that are broadcast.
 PACK, MOST_PACKS = 64, 2048
+#: Most rows of asked terms that are broadcast.
+MOST_TERMS = 1 << 18
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -53,20 +55,42 @@ def term_postings(chunks: DataFrame) -> DataFrame:
     return words.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
-    """(query_id, chunk_id, score, rank). A term in more than half of the chunks weighs `floor` times the mean weight of all terms."""
-    sizes = chunks.select(F.size(X.tokens(F.col("content"))).alias("n")).agg(F.count(F.lit(1)), F.avg("n")).first()
-    n, mean_length = float(sizes[0] or 0), float(sizes[1] or 0.0)
-    postings = term_postings(chunks)
-    weight = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weights = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).select("term", weight.alias("raw"))
-    mean = float(weights.agg(F.avg("raw")).first()[0] or 0.0)
-    asked = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weights = weights.join(asked.select("term").distinct(), "term", "left_semi").select("term", F.when(F.col("raw") < 0, floor * mean).otherwise(F.col("raw")).alias("idf"))
+def few(rows: DataFrame, made: DataFrame | None = None) -> DataFrame:
+    """The rows, or what is made of them, broadcast if there are at most MOST_TERMS."""
+    made = rows if made is None else made
+    return F.broadcast(made) if rows.limit(MOST_TERMS + 1).count() <= MOST_TERMS else made
+
+
+def term_scores(postings: DataFrame, asked: DataFrame, weights: DataFrame, mean_length: float, by: list[str], k1: float, b: float) -> DataFrame:
+    """(query_id, *by, score) of postings (*by, term, tf, length) dealt by chunk_id, which is of `by`: few asked terms are broadcast, so that a chunk's
+    postings and scores stay where they are and no common term is one task's."""
     tf = F.col("tf").cast("double")
     part = F.col("times") * F.col("idf") * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("length") / mean_length))
-    scores = postings.join(weights, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
-    return ranked(scores, k, "score", ["query_id"])
+    return postings.join(few(asked, asked.join(weights, "term")), "term").groupBy("query_id", *by).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+    """(query_id, chunk_id, score, rank). A term in more than half of the chunks weighs `floor` times the mean weight of all terms.
+
+    Terms that no query asks are only counted, each chunk's once before they are shuffled. Where a chunk_id repeats, its rows of one length are one chunk.
+    """
+    rows = chunks.select("chunk_id", X.tokens(F.col("content")).alias("t")).select("chunk_id", F.size("t").alias("length"), "t", F.lit(1).alias("rows"))
+    if chunks.groupBy("chunk_id").count().filter("count > 1").limit(1).count():
+        rows = rows.groupBy("chunk_id", "length").agg(F.flatten(F.collect_list("t")).alias("t"), F.count(F.lit(1)).alias("rows"))
+    # Each chunk's terms are counted once, and in the same pass, as a null term, the chunks and their lengths.
+    words = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_distinct("t"), F.array().cast("array<string>")))
+    found = rows.select("rows", "length", F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("length")).alias("tokens"), F.sum(F.when(F.col("length").isNotNull(), F.col("rows"))).alias("sized"))
+    # How many terms so many chunks hold: as many rows as counts that differ, at most the root of twice the postings.
+    size = F.max(F.when(F.col("term").isNull(), F.struct("rows", "tokens", "sized"))).alias("size")
+    held = found.groupBy("df").agg(F.count("term").alias("terms"), size).collect()
+    n, tokens, sized = next((r.size for r in held if r.size), (0, None, 0))
+    n, mean_length = float(n), tokens / sized if tokens and sized else 0.0
+    mean = math.fsum(r.terms * (math.log(n - r.df + 0.5) - math.log(r.df + 0.5)) for r in held if r.terms) / (sum(r.terms for r in held) or 1)
+    asked = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    dealt = rows.select("chunk_id", "length", F.explode("t").alias("term")).join(few(asked.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
+    postings = dealt.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weights = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")).select("term", F.when(F.col("raw") < 0, floor * mean).otherwise(F.col("raw")).alias("idf"))
+    return ranked(term_scores(postings, asked, weights, mean_length, ["chunk_id"], k1, b), k, "score", ["query_id"])
 
 
 def rule_keywords(query: Column, mode: str = "observed") -> Column:

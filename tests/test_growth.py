@@ -1,15 +1,17 @@
 """Steps whose rows must grow with their input and not with its square, each against a plain version."""
 
+import math
 import random
 import re
+from collections import Counter
 
-from pyspark.sql import functions as F
+import pytest
 
-from marginalia.operators import spatial
+from marginalia.operators import retrieval, spatial
 
 
-def rows_made(df):
-    """The rows of df, and the most rows that one join or generator of its plan made."""
+def rows_made(df, kinds=("Join", "GenerateExec")):
+    """The rows of df, and the most rows that one step of these kinds in its plan made."""
     found, most = df.collect(), 0
     todo = [df._jdf.queryExecution().executedPlan()]
     while todo:
@@ -22,7 +24,7 @@ def rows_made(df):
             todo.append(p.plan())
             continue
         todo += [p.children().apply(k) for k in range(p.children().size())]
-        if "Join" in name or name == "GenerateExec":
+        if any(kind in name for kind in kinds):
             metric = p.metrics().get("numOutputRows")
             most = max(most, metric.get().value() if metric.isDefined() else 0)
     return found, most
@@ -47,3 +49,33 @@ def test_captions_of_a_dense_page(spark):
     # Pairs of a box and a span in its area.
     met = sum(1 for b in boxes[:300] for s in spans[:3000] if b[3] - 30 <= s[3] <= b[5] + 30 and abs(s[4] - (b[4] - 25 if b[7] == "table" else b[6] + 25)) <= 25)
     assert most < met / 2
+
+
+def test_bm25_shuffles_asked_terms_only(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(f"c{k}", " ".join(rng.choices(words, k=rng.randrange(60)))) for k in range(200)] + [("c7", "w1 w2"), ("c7", "w1 w2"), ("null", None), ("blank", " ")]
+    asked = spark.createDataFrame([(1, "w1 w2 w1"), (2, "w9 unheard"), (3, "")], "query_id bigint, query string")
+
+    def plain(rows):
+        groups = Counter()
+        for c, text in rows:
+            t = (text or "").split()
+            for w in t:
+                groups[c, len(t), w] += 1
+        df = Counter(w for _, _, w in groups)
+        n, mean = len(rows), sum(len(x.split()) for _, x in rows if x is not None) / sum(x is not None for _, x in rows)
+        raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+        idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+        scores = Counter()
+        for q, query in ((1, "w1 w2 w1"), (2, "w9 unheard")):
+            for (c, length, w), tf in groups.items():
+                scores[q, c] += query.split().count(w) * idf[w] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))
+        best = {q: sorted(((-s, c) for (p, c), s in scores.items() if p == q and round(s, 6) > 0))[:5] for q in (1, 2)}
+        return {(q, c): -s for q, found in best.items() for s, c in found}
+
+    for some in (rows, rows[:200] + rows[202:]):
+        found = retrieval.bm25(spark.createDataFrame(some, "chunk_id string, content string"), asked, 5).collect()
+        assert {(r.query_id, r.chunk_id): r.score for r in found} == pytest.approx(plain(some), abs=2e-6)
+    # Terms that no query asks are not grouped by chunk.
+    assert rows_made(retrieval.bm25(spark.createDataFrame(rows[:200], "chunk_id string, content string"), asked, 5), ["HashAggregateExec"])[1] < 200
