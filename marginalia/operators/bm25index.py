@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators.retrieval import ranked
+from marginalia.operators.retrieval import few, ranked, term_scores
 
 #: Buckets of terms, and parts of one bucket that are written apart, so that a term of all chunks is not one task's.
 BUCKETS, PARTS = 64, 8
@@ -125,13 +125,12 @@ class StoredBm25:
             return none
         weight = lambda df: F.log(F.lit(float(chunks)) - df + 0.5) - F.log(df + 0.5)
         of_all = self.table("histogram", gen).filter(F.col("gen") == gen).agg(F.sum(F.col("terms") * weight(F.col("df").cast("double"))) / F.sum("terms")).first()[0]
-        terms = asked.select("term").distinct()
+        terms = few(asked.select("term").distinct())
         df = self.table("frequencies", gen).filter(F.col("bucket").isin(*buckets)).join(terms, "term", "left_semi").groupBy("term").agg(F.sum("change").cast("double").alias("df")).filter("df > 0")
         weights = df.select("term", weight(F.col("df")).alias("raw")).select("term", F.when(F.col("raw") < 0, floor * of_all).otherwise(F.col("raw")).alias("idf"))
         postings = self.alive(self.table("postings", gen).filter(F.col("bucket").isin(*buckets)).join(terms, "term", "left_semi"), gen)
-        tf = F.col("tf").cast("double")
-        part = F.col("times") * F.col("idf") * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("length") / (tokens / chunks)))
-        scores = postings.join(weights, "term").join(asked, "term").groupBy("query_id", *DOCUMENT, "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+        dealt = postings.select(*DOCUMENT, "chunk_id", "term", "tf", "length").repartition("chunk_id")
+        scores = term_scores(dealt, asked, weights, tokens / chunks, [*DOCUMENT, "chunk_id"], k1, b)
         return ranked(scores.select("query_id", "chunk_id", "score"), k, "score", ["query_id"])
 
     def compacted(self, path: str) -> StoredBm25:

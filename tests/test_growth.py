@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from marginalia.operators import retrieval, spatial
+from marginalia.operators import bm25index, retrieval, spatial
 
 
 def rows_made(df, kinds=("Join", "GenerateExec")):
@@ -79,3 +79,12 @@ def test_bm25_shuffles_asked_terms_only(spark):
         assert {(r.query_id, r.chunk_id): r.score for r in found} == pytest.approx(plain(some), abs=2e-6)
     # Terms that no query asks are not grouped by chunk.
     assert rows_made(retrieval.bm25(spark.createDataFrame(rows[:200], "chunk_id string, content string"), asked, 5), ["HashAggregateExec"])[1] < 200
+
+
+def test_stored_scores_stay_with_their_chunks(spark, tmp_path):
+    index = bm25index.StoredBm25(spark, str(tmp_path / "index"))
+    index.upsert(spark.createDataFrame([("x", "a", f"c{k}", f"w{k % 3} common") for k in range(9)], "collection string, pdf_filename string, chunk_id string, content string"))
+    found = index.search(spark.createDataFrame([(1, "w1 common"), (2, "w2")], "query_id bigint, query string"), 5)
+    plan = found._jdf.queryExecution().toString()
+    assert found.count() == 6 and "hashpartitioning(chunk_id" in plan and "hashpartitioning(query_id#" in plan
+    assert not re.search(r"hashpartitioning\(query_id#\w+, collection", plan)
