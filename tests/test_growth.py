@@ -7,7 +7,9 @@ from collections import Counter
 
 import pytest
 
-from marginalia.operators import bm25index, retrieval, spatial
+from marginalia.operators import bm25index, matching, retrieval, spatial
+
+from tests.test_index_and_joins import shown
 
 
 def rows_made(df, kinds=("Join", "GenerateExec")):
@@ -88,3 +90,26 @@ def test_stored_scores_stay_with_their_chunks(spark, tmp_path):
     plan = found._jdf.queryExecution().toString()
     assert found.count() == 6 and "hashpartitioning(chunk_id" in plan and "hashpartitioning(query_id#" in plan
     assert not re.search(r"hashpartitioning\(query_id#\w+, collection", plan)
+
+
+def test_titles_of_frequent_words_leave_early(spark, monkeypatch):
+    rng, met, own = random.Random(9), [], matching.candidates
+
+    def counted(*given):
+        found = own(*given)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(matching, "candidates", counted)
+    parts = ["the", "of", "Theory", "art", "party", "a", "x.", "Ähre"]
+    spans = [("d", k, " ".join(rng.choices(parts, k=rng.randrange(0, 7))) + (f"  rare{k}" if k % 7 == 0 else "")) for k in range(300)] + [("e", 1, None), ("e", 2, "\tOnly this "), (None, 3, "the art")]
+    titles = [("d", k, " ".join(rng.choices([*parts, "he", "ar", "are", "rare14", "rare287", "qqqq", "zz"], k=rng.randrange(0, 8)))) for k in range(300)] + [("d", 800, "art  of"), ("d", 801, "the  rare70"), ("e", 802, "this"), (None, 803, "the art"), ("e", 804, None), ("d", 805, "the of"), ("d", 805, "rare280"), ("d", 806, "Theory qxq vzv zzk kqk")]
+    want = {}
+    for d, i, t in titles:
+        x = shown(t, [(p, s) for e, p, s in spans if e == d]) if d else None
+        if x:
+            want[d, i] = min(x[::-1], want.get((d, i), x[::-1]))
+    df = spark.createDataFrame(titles, "pdf_filename string, title_id int, title string"), spark.createDataFrame(spans, "pdf_filename string, place int, content string")
+    for first, dense in ((4, 1), (32, 256)):
+        assert {(r.pdf_filename, r.title_id): (r.rule, r.place) for r in matching.title_spans(*df, first, dense).collect()} == want
+    assert {x[0] for x in want.values()} == {1, 2, 3} and sum(met) < len(titles) * len(spans) / 8
