@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
+from marginalia.sources import shared
 
 # The two forms of a citation tag.
 TAGS = [
@@ -71,15 +72,60 @@ def strategy(page: Column, page_normal: Column, page_words: Column, cited: Colum
     return out
 
 
+#: Letters on both sides of a gap by which texts of two or three words are found.
+EDGE = 3
+
+
+def pair(a: Column, b: Column) -> Column:
+    return F.concat_ws(" ", a, b)
+
+
+def edge(a: Column, b: Column) -> Column:
+    """The letters on both sides of the gap between two words; null where a word is shorter."""
+    return F.when((F.length(a) >= EDGE) & (F.length(b) >= EDGE), F.concat_ws("~", F.right(a, F.lit(EDGE)), F.left(b, F.lit(EDGE))))
+
+
+def sides(words: Column) -> Column:
+    """Each word but the last with the one after it."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(words, F.lit(1), n).alias("a"), F.slice(words, F.lit(2), n).alias("b"))
+
+
+def asked_key(words: Column) -> Column:
+    """What a text that holds these words one after the other, the first and the last maybe within longer ones, has among its pairs and edges; null if unknown."""
+    get = lambda k: F.get(words, F.lit(k))
+    return F.when(F.size(words) >= 4, pair(get(1), get(2))).when(F.size(words) >= 2, F.coalesce(edge(get(0), get(1)), F.when(F.size(words) == 3, edge(get(1), get(2)))))
+
+
 def locate(citations: DataFrame, pages: DataFrame) -> DataFrame:
     """Each citation of five characters or more with the page, its own or a neighbour, that holds it: the page before, its own, the next.
 
-    The forms of pages and citations are made once each, before they meet.
+    Citations don't meet all texts of a page: a text that holds one of a cited text's forms has two of the form's words side by side, or the letters on both
+    sides of a gap. What holds the text itself or any of its heads holds the shortest head, normalised, so three forms are asked: that head, the words and the longer
+    words. Only forms without such a pair (of one word, or up to three with very short ones) meet the texts of their pages one by one. Forms of a page's text are
+    made once, when it meets its citations.
     """
-    c = citations.filter(F.length("cited_text") >= 5).withColumn("cited", cited_forms(F.col("cited_text"))).drop("cited_text")
-    p = pages.select(F.col("pdf_filename").alias("p"), F.col("page_number").alias("found_page"), F.col("content").alias("page_text"), normal(F.col("content")).alias("page_normal"), only_words(F.col("content")).alias("page_words"))
-    # The three pages by equality, so that the join is on keys.
-    near = c.withColumn("try_page", F.explode(F.sequence(F.col("page_number").cast("bigint") - 1, F.col("page_number").cast("bigint") + 1)))
-    tried = near.join(p, (F.col("pdf_name") == F.col("p")) & (F.col("try_page") == F.col("found_page")))
-    tried = tried.withColumn("strategy", strategy(F.col("page_text"), F.col("page_normal"), F.col("page_words"), F.col("cited"))).filter("strategy is not null")
-    return tried.groupBy("answer_id", "pdf_name", "page_number", "chunk_id").agg(F.min(F.struct("found_page", "strategy")).alias("f")).select("answer_id", "pdf_name", "chunk_id", F.col("page_number").cast("bigint").alias("page_number"), "f.found_page", F.col("f.strategy").cast("bigint").alias("strategy"))
+    spark, c = pages.sparkSession, F.col
+    folder = shared.scratch(spark, "citations")
+    own, here = ["pdf_name", "page", "cited_text"], ["pdf_name", "try_page"]
+    pages.select(c("pdf_filename").alias("pdf_name"), c("page_number").cast("bigint").alias("try_page"), "content").filter("content is not null").withColumn("pid", F.monotonically_increasing_id()).write.parquet(f"{folder}/pages")
+    p = spark.read.parquet(f"{folder}/pages")
+    told = citations.filter(F.length("cited_text") >= 5).withColumn("page", c("page_number").cast("bigint"))
+    known = told.select(*own).distinct().withColumn("cited", cited_forms(c("cited_text"))).withColumn("head", F.coalesce(c(f"cited.head_{HEADS[-1]}"), c("cited.normal")))
+
+    runs = lambda text: F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
+    forms = known.select(*own, "cited", F.explode(F.array("head", "cited.words", "cited.long")).alias("form")).filter("form is not null").withColumn("runs", runs(c("form")))
+    asked = forms.select(*own, "cited", asked_key(c("runs")).alias("key")).distinct().withColumn("try_page", F.explode(F.sequence(c("page") - 1, c("page") + 1)))
+    spot = F.xxhash64(*here, "key").alias("spot")
+    both = p.select(*here, "pid", F.concat(sides(runs(normal(c("content")))), sides(F.split(only_words(c("content")), " "))).alias("sides"))
+    keys = F.array_distinct(F.flatten(F.transform("sides", lambda x: F.array(pair(x["a"], x["b"]), edge(x["a"], x["b"])))))
+    index = both.select(*here, "pid", F.explode(keys).alias("key")).filter("key is not null").select("pid", spot)
+    met = asked.filter("key is not null").select(spot, *here, "cited").join(index, "spot").select(*here, "cited", "pid")
+    met = met.union(asked.filter("key is null").join(p.select(*here, "pid"), here).select(*here, "cited", "pid"))
+    texts = met.groupBy("pid", *here).agg(F.collect_set("cited").alias("all")).join(p.select("pid", "content", c("pdf_name").alias("_pdf"), c("try_page").alias("_page")), "pid").filter("pdf_name = _pdf and try_page = _page")
+    texts = texts.select(*here, "all", "content", normal(c("content")).alias("page_normal"), only_words(c("content")).alias("page_words"))
+    tried = texts.select(*here, "content", "page_normal", "page_words", F.explode("all").alias("cited"))
+    tried = tried.withColumn("strategy", strategy(c("content"), c("page_normal"), c("page_words"), c("cited"))).filter("strategy is not null")
+    best = tried.groupBy(*here, c("cited.text").alias("cited_text")).agg(F.min("strategy").alias("strategy"))
+    wide = told.withColumn("try_page", F.explode(F.sequence(c("page") - 1, c("page") + 1))).join(best, [*here, "cited_text"])
+    return wide.groupBy("answer_id", "pdf_name", "page_number", "chunk_id").agg(F.min(F.struct(c("try_page").alias("found_page"), "strategy")).alias("f")).select("answer_id", "pdf_name", "chunk_id", c("page_number").cast("bigint").alias("page_number"), "f.found_page", c("f.strategy").cast("bigint").alias("strategy"))

@@ -7,7 +7,9 @@ from collections import Counter
 
 import pytest
 
-from marginalia.operators import bm25index, matching, retrieval, spatial
+from pyspark.sql import functions as F
+
+from marginalia.operators import bm25index, citations, matching, retrieval, spatial
 
 from tests.test_index_and_joins import shown
 
@@ -113,3 +115,28 @@ def test_titles_of_frequent_words_leave_early(spark, monkeypatch):
     for first, dense in ((4, 1), (32, 256)):
         assert {(r.pdf_filename, r.title_id): (r.rule, r.place) for r in matching.title_spans(*df, first, dense).collect()} == want
     assert {x[0] for x in want.values()} == {1, 2, 3} and sum(met) < len(titles) * len(spans) / 8
+
+
+def test_citations_meet_texts_that_share_words(spark):
+    rng, own = random.Random(3), citations.strategy
+    words = ["The", "cité", "of", "a", "Maße", "theory", "re-read", "x", "“no”", "end.", "word_s", "12"] + [f"w{k}q" for k in range(60)]
+    pages = [("d", k % 4 + 1, " ".join(rng.choices(words, k=rng.randrange(0, 30))) + rng.choice(["", "\n", " — "])) for k in range(80)] + [("d", 2, None), ("e", 1, "Other one's text"), (None, 1, "The end.")]
+    cited = []
+    for k in range(120):
+        d, page, text = pages[rng.randrange(80)]
+        w = text.split()
+        at = rng.randrange(0, max(1, len(w)))
+        cut = rng.choice(["  ", " "]).join(w[at : at + rng.randrange(1, 18)])
+        cited.append((k, d, str(max(1, page + rng.choice([-1, 0, 0, 1]))), f"c{k}", rng.choice([cut, cut.upper(), cut[1:-1], cut + " zz", cut.replace("é", "")])))
+    cited += [(200, "d", "2", "c", "—————"), (201, "e", "2", "c", "one's"), (202, "e", "9", "c", "Other one's"), (203, "d", "1", "c", "the"), (204, "d", "3", "c", None)]
+    c = spark.createDataFrame(cited, "answer_id int, pdf_name string, page_number string, chunk_id string, cited_text string")
+    p = spark.createDataFrame(pages, "pdf_filename string, page_number bigint, content string")
+    every = c.filter("length(cited_text) >= 5").withColumn("cited", citations.cited_forms(F.col("cited_text"))).drop("cited_text").withColumnRenamed("page_number", "page")
+    every = every.crossJoin(p).filter("pdf_name = pdf_filename and abs(page_number - cast(page as bigint)) <= 1")
+    every = every.withColumn("strategy", own(F.col("content"), citations.normal(F.col("content")), citations.only_words(F.col("content")), F.col("cited"))).cache()
+    want = {}
+    for r in every.filter("strategy is not null").collect():
+        want[r.answer_id] = min(want.get(r.answer_id, (99, 99)), (r.page_number, r.strategy))
+    found, most = rows_made(citations.locate(c, p))
+    assert {r.answer_id: (r.found_page, r.strategy) for r in found} == want and len(found) == len(want)
+    assert len({x[1] for x in want.values()}) > 3 and most < every.count() / 2
