@@ -9,6 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from marginalia.functions import answers
 from marginalia.operators import bm25index, citations, matching, retrieval, spatial
 
 from tests.test_index_and_joins import shown
@@ -140,3 +141,11 @@ def test_citations_meet_texts_that_share_words(spark):
     found, most = rows_made(citations.locate(c, p))
     assert {r.answer_id: (r.found_page, r.strategy) for r in found} == want and len(found) == len(want)
     assert len({x[1] for x in want.values()}) > 3 and most < every.count() / 2
+
+
+def test_answers_are_made_and_parsed_once(spark):
+    made = F.concat(F.lit('{"response": "'), F.reverse("t"), F.lit('"}'))
+    a = spark.createDataFrame([("abc",), (None,)], "t string").select(answers.answer(answers.unfenced(made)).alias("a")).select("a.*")
+    plan = a._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") == 1 and plan.count("from_json(") <= 2
+    assert [tuple(r) for r in a.collect()] == [("true", "medium", "cba", None), ("true", "medium", None, None)]
