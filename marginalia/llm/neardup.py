@@ -10,10 +10,7 @@ so that short texts always meet. Texts that share an element
 meet in a bucket; a bucket of n texts pairs its members with one leader, which makes n - 1 pairs, and
 members that the leader did not take meet again under another, in `TURNS` turns. Leaders are drawn
 anew for each bucket and turn, so that most near texts soon are of one class. What is left of a bucket is
-compared whole: all pairs of its members that are of different classes by then. In buckets of more than `FEW` texts,
-which come from passages that many texts have, those meet for which such passages are `COMMON` of their single k-mers at least:
-d edits leave all but 4 d of a text's four-word k-mers whole, so that two near texts share a fifth of them, and if those
-are of common passages only, such passages are a fifth of both; others share rarer elements and meet there. Lengths and counts of
+compared whole, however many texts it has: all pairs of its members that are of different classes by then. Lengths and counts of
 words by hash leave few of these pairs possible. Pairs are verified by the edit distance over words in a band around the diagonal,
 where the words that they don't share leave that possible. Classes are the connected components.
 Equal texts are one text throughout, so copies never meet.
@@ -38,8 +35,6 @@ SINGLE_WORDS, SINGLES = 4, 32
 SIMILARITY = 0.8
 #: Bins that a text's words are counted in, members of a bucket whose pairs are made by a join, and members compared in one group.
 BINS, FEW, BLOCK = 256, 64, 4096
-#: Share of a text's single k-mers in buckets of more than `FEW` texts from which it meets the texts of those.
-COMMON = 0.125
 _SEEDS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -259,16 +254,20 @@ def shared_words(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _verify(batches, similarity: float):
     for part in pieces(batches, "a_text", 1 << 20):
-        sides = []
+        sides, runs = [], []
         for name in ("a_text", "b_text"):
             raw, at = utf8(part.column(part.schema.get_field_index(name)))
             begin, end, first = word_spans(raw, at)
             ids = span_hashes(raw, begin, end)
             sides.append([ids[i:j] for i, j in zip(first[:-1], first[1:])])
+            two, first = shingle_values(ids, first, 2)
+            runs.append([two[i:j] for i, j in zip(first[:-1], first[1:])])
         longer = np.array([max(len(x), len(y)) for x, y in zip(*sides)])
         most = np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
         # A word of the longer text that the other lacks costs an edit at least.
         maybe = np.flatnonzero(longer - shared_words(*sides) <= most)
+        # An edit breaks two runs of two words at most, and the longer text has one less than words.
+        maybe = maybe[longer[maybe] - 1 - shared_words(*([run[k] for k in maybe] for run in runs)) <= 2 * most[maybe]]
         near = np.zeros(len(longer), bool)
         near[maybe] = edit_distances(*([side[k] for k in maybe] for side in sides), most[maybe]) <= most[maybe]
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(near))
@@ -316,19 +315,17 @@ def _alike(batches, similarity: float):
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(near)
 
 
-def rest_pairs(members: DataFrame, classes: DataFrame, bags: DataFrame, similarity: float, common: float) -> tuple[DataFrame, list[DataFrame]]:
+def rest_pairs(members: DataFrame, classes: DataFrame, bags: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
     """(a, b), and the tables that it is made of: all pairs of a bucket's members that are of different classes, where their lengths leave the similarity possible.
 
-    In buckets of more than `FEW` members only those that have `common` of their single k-mers in such buckets.
-    The largest buckets are dealt by length (a group has two neighbouring lengths' texts) and by blocks of members.
+    No bucket is cut. The largest buckets are dealt by length (a group has two neighbouring lengths' texts) and by blocks of members.
     """
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    classed = members.join(classes.select(F.col("node").alias("m"), "root"), F.col("node") == F.col("m"), "left").select("key", "node", "n_words", "n", "n_singles", F.coalesce("root", "node").alias("c"))
+    classed = members.join(classes.select(F.col("node").alias("m"), "root"), F.col("node") == F.col("m"), "left").select("key", "node", "n_words", "n", F.coalesce("root", "node").alias("c"))
     classed = written(classed, "key", parts)
-    shares = classed.filter(F.col("n_singles").isNotNull() & (F.col("n") > FEW)).groupBy("node").agg((F.count(F.lit(1)) >= common * F.first("n_singles")).alias("common")).filter("common").select(F.col("node").alias("m"), "common")
     mixed_keys = classed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select(F.col("key").alias("k"))
-    open_ = classed.join(mixed_keys, F.col("key") == F.col("k")).join(shares, F.col("node") == F.col("m"), "left")
-    open_ = written(open_.select("key", "node", "n_words", "c", "n", F.coalesce("common", F.lit(False)).alias("common")))
+    open_ = classed.join(mixed_keys, F.col("key") == F.col("k"))
+    open_ = written(open_.select("key", "node", "n_words", "c", "n"))
     few = open_.filter(F.col("n") <= FEW)
     other = few.select("key", F.col("node").alias("o_node"), F.col("n_words").alias("o_words"), F.col("c").alias("o_c"))
     longer = F.greatest("n_words", "o_words")
@@ -339,7 +336,7 @@ def rest_pairs(members: DataFrame, classes: DataFrame, bags: DataFrame, similari
     pairs = pairs.select("a", "b", F.greatest("a_words", "b_words").alias("n"), F.col("a_words") > F.col("b_words"), "a_bag", "b_bag").mapInArrow(partial(_alike, similarity=similarity), "a binary, b binary")
     step = max(-math.log(max(similarity, 1e-6)), 1e-6) * 1.0001
     # A bucket of up to `BLOCK` texts is one group; larger ones are dealt by length too.
-    many = open_.filter((F.col("n") > FEW) & F.col("common")).withColumn("length", F.when(F.col("n") <= BLOCK, -1).otherwise(F.floor(F.log("n_words") / step)).cast("long"))
+    many = open_.filter(F.col("n") > FEW).withColumn("length", F.when(F.col("n") <= BLOCK, -1).otherwise(F.floor(F.log("n_words") / step)).cast("long"))
     many = many.withColumn("g", F.explode(F.when(F.col("length") < 0, F.array("length")).otherwise(F.array(F.col("length"), F.col("length") + 1))))
     counts = many.groupBy("key", "g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cells"), F.max("length").alias("longest"), F.count(F.lit(1)).alias("inside")).filter((F.col("longest") == F.col("g")) & (F.col("inside") > 1)).select(F.col("key").alias("k"), F.col("g").alias("kg"), "cells")
     many = many.join(counts, (F.col("key") == F.col("k")) & (F.col("g") == F.col("kg"))).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
@@ -372,7 +369,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, hashes: int = HASHES, kept: int = KEPT, similarity: float = SIMILARITY, turns: int = TURNS, singles: int = SINGLES, common: float = COMMON) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, hashes: int = HASHES, kept: int = KEPT, similarity: float = SIMILARITY, turns: int = TURNS, singles: int = SINGLES) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), n_links (other texts that
     its text was linked to, copies not counted), copies (documents with the same text), n_words, node and root (hashes of
     the text and of one text of its class: classes of different root are different even if doc_ids repeat).
@@ -387,13 +384,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, hashes: int = H
     known = slim.filter("node is not null").groupBy("node").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
     known = written(known, "node", parts, dealt=True)
     texts = written(known.select("node", "text").mapInArrow(partial(_sketch, words=words, hashes=hashes, kept=kept, singles=singles), SKETCHED), "node", parts)
-    each = texts.select("node", "n_words", (F.size("keys") - hashes).cast("short").alias("n_singles"), F.posexplode("keys").alias("band", "value"))
+    each = texts.select("node", "n_words", F.posexplode("keys").alias("band", "value"))
     band = F.least(F.col("band"), F.lit(hashes))
-    members = each.select("node", "n_words", F.xxhash64(band, "value").alias("key"), F.when(band == hashes, F.col("n_singles")).alias("n_singles")).repartition("key")
+    members = each.select("node", "n_words", F.xxhash64(band, "value").alias("key"), (band == hashes).alias("single")).repartition("key")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k"), "n")
-    members = written(members.join(shared, F.col("key") == F.col("k")).select("node", "n_words", "key", "n_singles", "n"))
+    members = written(members.join(shared, F.col("key") == F.col("k")).select("node", "n_words", "key", "single", "n"))
     # Only the joint elements have leaders: those of single k-mers have many members that are not alike.
-    every_member, members = members, members.filter("n_singles is null").select("node", "n_words", "key")
+    every_member, members = members, members.filter("not single").select("node", "n_words", "key")
 
     def verified(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(known.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").join(known.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
@@ -415,7 +412,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, hashes: int = H
     # Members of different classes that no leader joined are compared with each other.
     led = reduce(DataFrame.union, links).distinct() if links else known.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     classes = components(led)
-    pairs, tables = rest_pairs(every_member, classes, texts.select("node", "n_words", "bag"), similarity, common)
+    pairs, tables = rest_pairs(every_member, classes, texts.select("node", "n_words", "bag"), similarity)
     more = verified(pairs)
     n_words = checkpointed(texts.select("node", "n_words"))
     discarded(every_member, texts, *tables, *met_again)

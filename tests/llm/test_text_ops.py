@@ -271,6 +271,14 @@ def test_all_of_a_large_bucket_meet(spark):
     assert found == {i: min(i, 400) for i in range(402)}
 
 
+def test_a_rare_element_in_a_large_bucket_is_met(spark):
+    # One of 17 four-word runs of the last two texts is whole in both, and a hundred texts end with it.
+    docs = [(i, " ".join(f"d{i}x{k}" for k in range(16)) + " so ends this text") for i in range(100)]
+    docs += [(100 + i, " ".join(f"e{i}x{k}" if k % 4 == 3 else f"same{k}" for k in range(16)) + " so ends this text") for i in range(2)]
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert found == {i: min(i, 100) for i in range(102)}
+
+
 def test_near_texts_meet(spark):
     rng, docs, wanted = random.Random(5), [], {}
     cases = [(n, int(0.2 * n)) for n in (6, 7, 9, 12, 16, 19, 20, 24, 50, 100, 300)] * 12
