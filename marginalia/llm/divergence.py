@@ -25,10 +25,22 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 FEWEST, SCALE, TOP = 3, 1_000_000_000, 200
 #: Bytes of text that are counted together; sources in one deal of a join; deals of one bucket's terms.
 SLICE, DEAL, SALT = 8 << 20, 64, 16
+#: Bytes of a slice that are hashed together.
+HASHED = 1 << 20
 #: Terms that the first round opens for each group, in TOP, and by how much a round opens more than the one before.
 FIRST, MORE = 1, 8
 
 
+def term_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """As `span_hashes`, for spans in order that don't overlap: work arrays, of 40 bytes a byte, hold one stretch of the text at a time."""
+    out = np.empty(len(begin), np.uint64)
+    cuts = np.searchsorted(begin, np.arange(0, len(raw) + HASHED, HASHED))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        if i < j:
+            out[i:j] = span_hashes(raw[begin[i] : end[j - 1]], begin[i:j] - begin[i], end[i:j] - begin[i])
+    return out
+
+
 def _counts(batches) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, count, docs) of slices of the rows (lang, source, text)."""
     for part in pieces(batches, "text", SLICE):
@@ -40,7 +52,7 @@ def _counts(batches) -> Iterator[pa.RecordBatch]:
         lang, source = (pc.dictionary_encode(part.column(k)) for k in (0, 1))
         group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
         doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-        key = mixed(span_hashes(raw, begin, end) + mixed(group.astype(np.uint64) + np.uint64(1))[doc])
+        key = mixed(term_hashes(raw, begin, end) + mixed(group.astype(np.uint64) + np.uint64(1))[doc])
         order = np.argsort(key, kind="stable")  # documents of a term stay in order
         key, doc = key[order], doc[order]
         fresh = np.concatenate([[True], key[1:] != key[:-1]])

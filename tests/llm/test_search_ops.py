@@ -1,10 +1,13 @@
 """Ranked search, source divergence and the n-gram join: brute force, SQL and odd tables."""
 
 import math
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +125,22 @@ def audited(docs, fewest, top):
     return sorted(out)
 
 
+def test_divergence_counts_a_slice_in_little_memory():
+    rng = random.Random(3)
+    text = [" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(2000)) for _ in range(20)] * 45
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(text)), pa.array(["s"] * len(text)), pa.array(text)], names=["lang", "source", "text"])
+    assert sum(map(len, text)) > 7 << 20
+    tracemalloc.start()
+    found = Counter()
+    for part in divergence._counts([batch]):
+        for row in part.to_pylist():
+            found[row["term"]] += row["count"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == Counter(w for t in text for w in t.split())
+    assert peak < 200 << 20
+
+
 def test_divergence_is_its_sql(spark, sf, db):
     check_sql(spark, sf, db, "op11_source_divergence")
 
