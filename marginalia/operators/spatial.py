@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.sources import shared
+
 PAGE = ["pdf_filename", "page_number"]
 #: Side of a grid cell.
 CELL = 64.0
@@ -47,13 +51,33 @@ def close(a: Column, b: Column, reach: float) -> Column:
     return meet | ((gap("x0", "x1") <= reach) & (gap("y0", "y1") <= reach))
 
 
-def link_targets(entries: DataFrame, links: DataFrame, reach: float = 10.0) -> DataFrame:
+def link_targets(entries: DataFrame, links: DataFrame, reach: float = 10.0, first: int = 64, step: int = 8) -> DataFrame:
     """Each contents entry (pdf_filename, page_number, entry_id, bbox) with the first link (pdf_filename, page_number, ord, bbox, dest_page)
-    whose box meets its own or is close: pdf_filename, entry_id, ord, dest_page. Entries without such a link give no rows."""
+    whose box meets its own or is close: pdf_filename, entry_id, ord, dest_page. Entries without such a link give no rows.
+
+    Entries meet a page's links in turns, in order: the `first` ones, then `step` times as many in each, and leave once found, so that pairs don't grow
+    with the square of a page's boxes.
+    """
+    spark, found = entries.sparkSession, []
+    folder = shared.scratch(spark, "links")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy("ord", "dest_page"))
+    spots = kept(links.select(*PAGE, "ord", "dest_page", F.col("bbox").alias("spot"), place.alias("place")), "spots")
     # Boxes with sides within reach of each other meet once one is grown by reach.
-    pairs = meeting(entries.select(*PAGE, "entry_id", F.col("bbox").alias("own"), grown(F.col("bbox"), reach).alias("area")), links.select(*PAGE, "ord", "dest_page", F.col("bbox").alias("spot")))
-    near = pairs.filter(close(F.col("own"), F.col("spot"), reach))
-    return near.groupBy("pdf_filename", "entry_id").agg(F.min(F.struct("ord", "dest_page")).alias("x")).select("pdf_filename", "entry_id", "x.ord", "x.dest_page")
+    left = kept(entries.select(*PAGE, "entry_id", F.col("bbox").alias("own"), grown(F.col("bbox"), reach).alias("area")), "entries")
+    low, high, last = 0, first, spots.agg(F.max("place")).head()[0] or 0
+    while not found or (low < last and not left.isEmpty()):
+        near = meeting(left, spots.filter((F.col("place") > low) & (F.col("place") <= high)).drop("place")).filter(close(F.col("own"), F.col("spot"), reach))
+        got = kept(near.groupBy(*PAGE, "entry_id").agg(F.min(F.struct("ord", "dest_page")).alias("x")), f"got_{low}")
+        found.append(got)
+        left = kept(left.join(got, [*PAGE, "entry_id"], "left_anti"), f"left_{low}")
+        low, high = high, high * step
+    every = reduce(DataFrame.union, found)
+    return every.groupBy("pdf_filename", "entry_id").agg(F.min("x").alias("x")).select("pdf_filename", "entry_id", "x.ord", "x.dest_page")
 
 
 def highest(areas: DataFrame, spots: DataFrame, by: list[str], own: list[str]) -> DataFrame:

@@ -112,6 +112,18 @@ def test_links_are_taken_in_order_and_within_reach(spark):
     assert {tuple(r) for r in spatial.link_targets(entries, links).collect()} == {("d", 1, 5, 50), ("d", 2, 9, 90)}
 
 
+def test_links_in_turns_are_the_first_ones(spark):
+    rng = random.Random(8)
+    kind = "pdf_filename string, page_number int, {} int, bbox struct<x0:double,y0:double,x1:double,y1:double>"
+    sides = lambda: (x := rng.uniform(0, 400), y := rng.uniform(0, 400), x + rng.uniform(1, 40), y + rng.uniform(1, 40))
+    boxes, spots = ([("d", rng.randrange(2), k, sides()) for k in range(n)] for n in (60, 90))
+    near = lambda p, q, a, b: min(abs(p[a] - q[b]), abs(p[b] - q[a]), abs(p[b] - q[b]), abs(p[a] - q[a])) <= 10
+    meet = lambda p, q: p[0] <= q[2] and p[2] >= q[0] and p[1] <= q[3] and p[3] >= q[1] or near(p, q, 0, 2) and near(p, q, 1, 3)
+    want = {(d, i, k, k % 7) for d, page, i, p in boxes for k in [min((k for _, other, k, q in spots if other == page and meet(p, q)), default=None)] if k is not None}
+    links = spark.createDataFrame([(*s, s[2] % 7) for s in spots], kind.format("ord") + ", dest_page int")
+    assert {tuple(r) for r in spatial.link_targets(spark.createDataFrame(boxes, kind.format("entry_id")), links, first=2, step=3).collect()} == want
+
+
 def test_tables_of_ragged_rows(spark):
     spans = [("r", 10.0, 0.0, 20.0, "a"), ("r", 25.0, 2.0, 30.0, " b "), ("r", 60.0, 4.0, 70.0, "c"), ("r", 10.0, 20.0, 20.0, "d"), ("r", 10.0, 24.0, 12.0, "  "), ("r", 50.0, 24.9, 60.0, "e"), ("r", 90.0, 25.0, 99.0, "f"), ("s", 1.0, 1.0, 2.0, "\t"), ("t", 1.0, 1.0, 2.0, "one")]
     df = spark.createDataFrame([("d", 1, *s) for s in spans], "pdf_filename string, page_number int, region string, x0 double, y0 double, x1 double, content string")
