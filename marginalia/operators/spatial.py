@@ -139,31 +139,45 @@ def captions(boxes: DataFrame, spans: DataFrame, reach: float = 50.0, margin: fl
     return boxes.select(*PAGE, "box_id").distinct().join(best, [*PAGE, "box_id"], "left")
 
 
-def table_cells(spans: DataFrame, down: float = 5.0, across: float = 20.0) -> DataFrame:
-    """The cells of each region (pdf_filename, page_number, region) from its spans (x0, y0, x1, content): row, column, content, 1-based.
+def numbered_spans(spans: DataFrame, down: float, across: float) -> DataFrame:
+    """The spans (x0, y0, x1, content) of each region (pdf_filename, page_number, region) with their row and column, 1-based.
 
     Rows are islands of spans, from the top, whose upper edges are at most `down` below each other's. In a row, from the left, a span that
-    begins more than `across` beyond the right edge of the one before begins a cell; the others go on with it, after a blank. Rows with
-    fewer cells than the widest have empty ones at their end. Blank spans don't count; a region without others gives no rows.
+    begins more than `across` beyond the right edge of the one before begins a cell; the others go on with it, after a blank. Blank spans
+    don't count; a region without others gives no rows.
     """
     region = [*PAGE, "region"]
     s = spans.withColumn("content", F.regexp_replace("content", r"^\s+|\s+$", "")).filter("content <> ''")
-    from_top = Window.partitionBy(*region).orderBy("y0", "x0", "x1", "content")
+    # The region leads the keys of sorts, as it tells more rows apart than its document.
+    from_top = Window.partitionBy(*region[::-1]).orderBy("y0", "x0", "x1", "content")
     steps = s.withColumn("_new", F.coalesce((F.col("y0") - F.lag("y0").over(from_top) > down).cast("int"), F.lit(1)))
     rows = steps.withColumn("row", F.sum("_new").over(from_top.rowsBetween(Window.unboundedPreceding, 0)))
-    from_left = Window.partitionBy(*region, "row").orderBy("x0", "y0", "x1", "content")
+    from_left = Window.partitionBy(*region[::-1], "row").orderBy("x0", "y0", "x1", "content")
     gaps = rows.withColumn("_new", F.coalesce((F.col("x0") - F.lag("x1").over(from_left) > across).cast("int"), F.lit(1)))
-    dealt = gaps.withColumn("column", F.sum("_new").over(from_left.rowsBetween(Window.unboundedPreceding, 0)))
+    return gaps.withColumn("column", F.sum("_new").over(from_left.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def table_cells(spans: DataFrame, down: float = 5.0, across: float = 20.0) -> DataFrame:
+    """The cells (pdf_filename, page_number, region, row, column, content) that `numbered_spans` tells apart, and empty ones at the end of
+    rows that have fewer than the widest."""
+    region = [*PAGE, "region"]
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "content"))), lambda x: x["content"])
-    cells = dealt.groupBy(*region, "row", "column").agg(F.array_join(ordered, " ").alias("content"))
+    cells = numbered_spans(spans, down, across).groupBy(*region, "row", "column").agg(F.array_join(ordered, " ").alias("content"))
     wide = cells.groupBy(*region, "row").agg(F.max("column").alias("own")).withColumn("most", F.max("own").over(Window.partitionBy(*region)))
     empty = wide.filter("own < most").select(*region, "row", F.explode(F.sequence(F.col("own") + 1, F.col("most"))).alias("column"), F.lit("").alias("content"))
     return cells.unionByName(empty)
 
 
 def table_grids(spans: DataFrame, down: float = 5.0, across: float = 20.0) -> DataFrame:
-    """(pdf_filename, page_number, region, grid): the cells of each region as rows of text, for `layout.cleaned` and `layout.markdown`."""
+    """(pdf_filename, page_number, region, grid): the cells of each region as rows of text, for `layout.cleaned` and `layout.markdown`.
+
+    Rows with fewer cells than the widest get empty ones when a region's rows are together, so that spans are passed once."""
     region = [*PAGE, "region"]
-    row = F.transform(F.array_sort(F.collect_list(F.struct("column", "content"))), lambda x: x["content"])
-    rows = table_cells(spans, down, across).groupBy(*region, "row").agg(row.alias("cells"))
-    return rows.groupBy(*region).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda x: x["cells"]).alias("grid"))
+    # A row's spans are collected once; its cells are the stretches of one column.
+    rows = numbered_spans(spans, down, across).groupBy(*region, "row").agg(F.array_sort(F.collect_list(F.struct("column", "x0", "y0", "x1", "content"))).alias("l"))
+    opens = F.filter(F.transform("l", lambda x, i: F.when((i == 0) | (x["column"] != F.get("l", i - 1)["column"]), i)), lambda i: i.isNotNull())
+    stretch = lambda i, k: F.slice("l", i + 1, F.coalesce(F.get("opens", k + 1), F.size("l")) - i)
+    cells = F.transform("opens", lambda i, k: F.array_join(F.transform(stretch(i, k), lambda x: x["content"]), " "))
+    rows = rows.withColumn("opens", opens).select(*region, "row", cells.alias("cells"))
+    grids = rows.groupBy(*region).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda x: x["cells"]).alias("grid"), F.max(F.size("cells")).alias("most"))
+    return grids.select(*region, F.transform("grid", lambda r: F.concat(r, F.array_repeat(F.lit(""), F.col("most") - F.size(r)))).alias("grid"))
