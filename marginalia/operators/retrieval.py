@@ -106,9 +106,9 @@ def rule_keywords(query: Column, mode: str = "observed") -> Column:
     return F.array_distinct(F.filter(F.concat(*parts), keep))
 
 
-def keyword_weight(content: Column, keyword: Column, place: Column) -> Column:
-    """What one keyword adds to the score of a text that holds it in any case, else 0."""
-    low, key = F.lower(content), F.lower(keyword)
+def keyword_weight(content: Column, keyword: Column, place: Column, low: Column | None = None) -> Column:
+    """What one keyword adds to the score of a text that holds it in any case, else 0; `low` is the lowered text, if it is there already."""
+    low, key = F.lower(content) if low is None else low, F.lower(keyword)
     n = X.occurrences(low, key)
     general = F.array(*map(F.lit, lists.SCORING_STOP_WORDS))
     kind = F.when(F.size(X.words(keyword)) > 1, 3.0).when(F.array_contains(general, key), 0.1).when(F.length(keyword) <= 4, 0.3).otherwise(1.0)
@@ -118,14 +118,29 @@ def keyword_weight(content: Column, keyword: Column, place: Column) -> Column:
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, mode: str = "observed") -> DataFrame:
-    """(query_id, chunk_id, keyword_score, similarity, matched_keywords): chunks that hold a keyword of the query at least."""
+    """(query_id, chunk_id, keyword_score, similarity, matched_keywords): chunks that hold a keyword of the query at least.
+
+    A text that holds a keyword has the longest of the keyword's words in one of its own, so each distinct word of all texts is held against these
+    longest words once, and chunks meet only queries that have one of them in the chunk.
+    """
     asked = queries.select("query_id", rule_keywords(F.col("query"), mode).alias("keywords")).filter(F.size("keywords") > 0)
     # Texts and keywords are lowered once each, before they meet.
     asked = asked.withColumn("low", F.transform("keywords", lambda w: F.lower(w)))
-    pairs = chunks.select("chunk_id", "content", F.lower("content").alias("low")).join(packed(asked, ["query_id", "keywords", "low"]))
-    hit = pairs.select("chunk_id", "content", F.explode(F.filter("queries", lambda q: F.exists(q["low"], lambda w: F.contains(F.col("low"), w)))).alias("q"))
-    score = F.aggregate(F.transform(F.col("q.keywords"), lambda w, i: keyword_weight(F.col("content"), w, i)), F.lit(0.0), lambda s, x: s + x)
-    matched = F.filter(F.col("q.keywords"), lambda w: F.contains(F.lower(F.col("content")), F.lower(w)))
+    texts = chunks.select("chunk_id", "content", F.lower("content").alias("low"))
+    # Words stand between white space of any kind here; keywords without a word, as quoted blanks are, have the empty one.
+    longest = F.array_max(F.transform(X.words(F.col("key")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    sought = asked.select("query_id", F.explode("low").alias("key")).select("query_id", F.coalesce(longest, F.lit("")).alias("word")).distinct()
+    held = texts.select("chunk_id", F.explode(F.array_distinct(F.array_append(X.words(F.col("low")), F.lit("")))).alias("token"))
+    packs = packed(sought.select("word").distinct().withColumn("query_id", F.col("word")), ["word"])
+    known = held.select("token").distinct().join(packs).select("token", F.explode(F.filter("queries", lambda q: F.contains(F.col("token"), q["word"]))).alias("q"))
+    # The words of a query are many to one token at most, so a chunk's queries are told apart before they meet its text.
+    tokens = known.select("token", "q.word").join(sought, "word").groupBy("token").agg(F.collect_set(F.struct("query_id")).alias("ids"))
+    met = held.join(tokens, "token").select("chunk_id", F.explode("ids").alias("id")).select("chunk_id", F.col("id.query_id").alias("id")).distinct()
+    met = met.join(asked, F.col("id").eqNullSafe(F.col("query_id"))).groupBy(F.col("chunk_id").alias("_c")).agg(F.collect_list(F.struct("query_id", "keywords", F.col("low").alias("keys"))).alias("queries"))
+    pairs = texts.join(met, F.col("chunk_id").eqNullSafe(F.col("_c")))
+    hit = pairs.select("chunk_id", "content", "low", F.explode(F.filter("queries", lambda q: F.exists(q["keys"], lambda w: F.contains(F.col("low"), w)))).alias("q"))
+    score = F.aggregate(F.transform(F.col("q.keywords"), lambda w, i: keyword_weight(F.col("content"), w, i, F.col("low"))), F.lit(0.0), lambda s, x: s + x)
+    matched = F.filter(F.col("q.keywords"), lambda w, i: F.contains(F.col("low"), F.get("q.keys", i)))
     return hit.select("q.query_id", "chunk_id", F.round(score, 6).alias("keyword_score"), F.array_join(matched, "|").alias("matched_keywords")).withColumn("similarity", F.least(F.col("keyword_score"), F.lit(1.0)))
 
 

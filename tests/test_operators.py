@@ -270,3 +270,17 @@ def test_fences(spark):
     texts = {" ```json\n{}\n``` ": "{}", "```x```": "x", "`x`": "x", "json {}": "{}", "{}\\\\ \n\\": "{}", "``` a": "``` a", "`": "", "": "", "{}": "{}"}
     found = spark.createDataFrame(list(texts.items()), "t string, want string").select("t", "want", answers.unfenced(F.col("t")).alias("got")).collect()
     assert [(r.t, r.got) for r in found] == [(r.t, r.want) for r in found]
+
+
+def test_keywords_meet_only_chunks_that_hold_their_longest_word(spark):
+    texts = [("a", "Underwater basket weaving"), ("b", "a water bask"), ("a", "under     here"), (None, "ends wate r bas"), ("d", None), ("e", "nothing")]
+    asked = [(1, "water bask"), (2, 'say "     " now'), (None, "te r ba"), (4, "absent words"), (1, "nothing else")]
+    chunks = spark.createDataFrame(texts, "chunk_id string, content string")
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    found = retrieval.keyword_search(chunks, queries, "intended")
+    keys = {r.query: r.k for r in queries.select("query", retrieval.rule_keywords(F.col("query"), "intended").alias("k")).collect()}
+    want = [(i, c, "|".join(k for k in keys[q] if k.lower() in (t or "").lower())) for i, q in asked for c, t in texts if any(k.lower() in (t or "").lower() for k in keys[q])]
+    order = lambda rows: sorted(rows, key=str)
+    assert len(want) > 4 and order((r.query_id, r.chunk_id, r.matched_keywords) for r in found.collect()) == order(want)
+    # Texts are joined with what was found for them, not with all queries.
+    assert "_c#" in found._jdf.queryExecution().optimizedPlan().toString()
