@@ -11,7 +11,7 @@ meet in a bucket; a bucket of n texts pairs its members with one leader, which m
 members that the leader did not take meet again under another, in `TURNS` turns. Leaders are drawn
 anew for each bucket and turn, so that most near texts soon are of one class. What is left of a bucket is
 compared whole, however many texts it has: all pairs of its members that are of different classes by then. Lengths and counts of
-words by hash leave few of these pairs possible. Pairs are verified by the edit distance over words in a band around the diagonal,
+words and of runs of two by hash leave few of these pairs possible; only those are rows, and only theirs are the texts that are moved. Pairs are verified by the edit distance over words in a band around the diagonal,
 where the words that they don't share leave that possible. Classes are the connected components.
 Equal texts are one text throughout, so copies never meet.
 """
@@ -33,7 +33,7 @@ SHINGLE_WORDS, HASHES, KEPT, TURNS = 5, 24, 2, 2
 SINGLE_WORDS, SINGLES = 4, 32
 #: Least edit similarity over words, 1 - distance / words of the longer text, of two near duplicates.
 SIMILARITY = 0.8
-#: Bins that a text's words are counted in, members of a bucket whose pairs are made by a join, and members compared in one group.
+#: Bins that a text's words, and its runs of two, are counted in; members of a bucket that is compared with its neighbours, and members compared in one group.
 BINS, FEW, BLOCK = 256, 64, 4096
 _SEEDS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -154,8 +154,11 @@ def _sketch(batches, words: int, hashes: int, kept: int, singles: int):
         keys[joint] = rows.reshape(-1)
         keys[np.setdiff1d(np.arange(len(keys)), joint, assume_unique=True)] = single
         lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(keys))
-        bags = np.bincount(np.repeat(np.arange(len(rows)), np.diff(first)) * BINS + (ids >> np.uint64(56)).astype(np.int64), minlength=len(rows) * BINS)
-        bags = np.minimum(bags, 255).astype(np.uint8).reshape(-1, BINS)
+        # A text's words by bins, then its runs of two.
+        bags = np.zeros((len(rows), 2, BINS), np.int64)
+        for side, (h, cut) in enumerate(((ids, first), shingle_values(ids, first, 2))):
+            bags[:, side] = np.bincount(np.repeat(np.arange(len(rows)), np.diff(cut)) * BINS + (h >> np.uint64(56)).astype(np.int64), minlength=len(rows) * BINS).reshape(-1, BINS)
+        bags = np.minimum(bags, 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first).astype(np.int32)), lists, pa.array([x.tobytes() for x in bags], pa.binary())], names=["node", "n_words", "keys", "bag"])
 
 
@@ -273,6 +276,12 @@ def _verify(batches, similarity: float):
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(near))
 
 
+def _bags(column) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of words by bins, and of runs of two words; a row for each text."""
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2, BINS)
+    return both[:, 0], both[:, 1]
+
+
 def _possible(key, group: pa.Table, similarity: float) -> pa.Table:
     """Pairs of different classes whose lengths and bags leave the similarity possible."""
     n = group.column("n_words").to_numpy()
@@ -280,7 +289,8 @@ def _possible(key, group: pa.Table, similarity: float) -> pa.Table:
     n = n[order].astype(np.int64)
     nodes, of = group.column("node").combine_chunks(), group.column("c").combine_chunks().dictionary_encode().indices.to_numpy()[order]
     cell, size = group.column("cell").to_numpy()[order], group.column("length").to_numpy()[order]
-    bags = np.frombuffer(b"".join(group.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)[order]
+    bags, runs = _bags(group.column("bag"))
+    bags, runs = bags[order], runs[order]
     coarse = bags.reshape(len(bags), 16, -1).sum(axis=2, dtype=np.int16)
     _, g, low, high = (x.as_py() for x in key)
     most = np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
@@ -293,10 +303,10 @@ def _possible(key, group: pa.Table, similarity: float) -> pa.Table:
         if low != high:
             may &= cell[j] != cell[i]
         at = i + 1 + np.flatnonzero(may)
-        # Words of the longer text that the other lacks, by bins: in few bins first.
-        for bins in (coarse, bags):
+        # Words of the longer text that the other lacks, by bins: in few bins first. An edit breaks two runs of two words at most.
+        for bins, edits in ((coarse, 1), (bags, 1), (runs, 2)):
             if len(at):
-                at = at[np.where(bins[at] > bins[i], bins[at] - bins[i], 0).sum(axis=1, dtype=np.int64) <= most[at]]
+                at = at[np.where(bins[at] > bins[i], bins[at] - bins[i], 0).sum(axis=1, dtype=np.int64) <= edits * most[at]]
         if len(at):
             left.append(np.full(len(at), i))
             right.append(at)
@@ -304,15 +314,88 @@ def _possible(key, group: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": take(left), "b": take(right)})
 
 
-def _alike(batches, similarity: float):
-    """The pairs (a, b, words of the longer, whether that is a, bags) whose bags leave the similarity possible."""
+def _near_in_buckets(batches, similarity: float):
+    """The possible pairs (a, b) of buckets of a few members; rows (key, node, n_words, c, bag) come sorted by key."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        key, n = rows.column(0).to_numpy(), rows.column(2).to_numpy().astype(np.int64)
+        nodes, of = rows.column(1).combine_chunks(), rows.column(3).combine_chunks().dictionary_encode().indices.to_numpy()
+        bags = _bags(rows.column(4))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for apart in range(1, len(key)):
+            i = np.flatnonzero(key[apart:] == key[:-apart])
+            if not len(i):
+                break
+            j = i + apart
+            longer, most = np.maximum(n[i], n[j]), np.floor((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64)
+            may = (of[i] != of[j]) & (longer - np.minimum(n[i], n[j]) <= most)
+            i, j, most = i[may], j[may], most[may]
+            i, j = np.where(n[i] >= n[j], i, j), np.where(n[i] >= n[j], j, i)
+            for bins, edits in zip(bags, (1, 2)):
+                may = (bins[i] - np.minimum(bins[i], bins[j])).sum(axis=1, dtype=np.int64) <= edits * most
+                i, j, most = i[may], j[may], most[may]
+            left.append(i), right.append(j)
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(np.concatenate(x))) for x in (left, right)], names=["a", "b"])
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        # The last bucket may go on in the next batch.
+        whole = int(np.searchsorted(rows.column(0).to_numpy(), rows.column(0)[-1].as_py()))
+        held = rows.slice(whole)
+        if whole:
+            yield pairs(rows.slice(0, whole))
+    if held is not None:
+        yield pairs(held)
+
+
+def _run_counts(batches):
+    """(node, fine): how often a text's runs of two words fall in each of as many bins as it has words or more, two bits each (3: or more)."""
+    for part in pieces(batches, "text", 1 << 20):
+        raw, at = utf8(part.column(1))
+        begin, end, first = word_spans(raw, at)
+        h, cut = shingle_values(span_hashes(raw, begin, end), first, 2)
+        bits = np.ceil(np.log2(np.maximum(np.diff(first), BINS))).astype(np.int64)
+        base = np.concatenate(([0], np.cumsum(1 << bits)))
+        doc = np.repeat(np.arange(len(bits)), np.diff(cut))
+        counts = np.bincount(base[doc] + (h >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64), minlength=base[-1])
+        four = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
+        packed = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
+        fine = pa.array([packed[i:j] for i, j in zip((base[:-1] // 4).tolist(), (base[1:] // 4).tolist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0), fine], names=["node", "fine"])
+
+
+_FOUR = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8)
+
+
+def _near_by_runs(batches, similarity: float):
+    """The pairs (a, b, words of each, fine counts of each) whose runs of two words leave the similarity possible."""
     for part in batches:
-        a, b = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (4, 5))
-        n, first = part.column(2).to_numpy().astype(np.int64), part.column(3).to_numpy(zero_copy_only=False)[:, None]
-        longer, other = np.where(first, a, b), np.where(first, b, a)
-        lacking = (longer - np.minimum(longer, other)).sum(axis=1, dtype=np.int64)
-        near = pa.array(lacking <= np.floor((1 - similarity) * n + 1e-9).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(near)
+        near = []
+        for n, m, x, y in zip(*(part.column(k).to_pylist() for k in range(2, 6))):
+            (long, more), (short, _) = sorted(((x, n), (y, m)), key=lambda z: -z[1])
+            sides = [_FOUR[np.frombuffer(z, np.uint8)].reshape(-1) for z in (long, short)]
+            size = min(len(z) for z in sides)
+            # The finer counts are added up; sums of what was cut at 3, cut at 3 again, are those of the whole counts.
+            long, short = (np.minimum(z.reshape(size, -1).sum(axis=1, dtype=np.int64), 3) for z in sides)
+            near.append(int((long - np.minimum(long, short)).sum()) <= 2 * math.floor((1 - similarity) * more + 1e-9))
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
+def near_by_runs(pairs: DataFrame, known: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs whose texts have enough runs of two words in common, by counts much smaller than the texts."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct()
+    fine = known.join(nodes, F.col("node") == F.col("m"), "left_semi").select("node", "text").mapInArrow(_run_counts, "node binary, fine binary")
+    fine = written(fine.join(texts.select(F.col("node").alias("m"), "n_words"), F.col("node") == F.col("m")).select("node", "n_words", "fine"), "node", parts)
+    for side in ("a", "b"):
+        pairs = pairs.join(fine.select(F.col("node").alias(side), F.col("n_words").alias(f"{side}_words"), F.col("fine").alias(f"{side}_fine")), side)
+    found = written(pairs.select("a", "b", "a_words", "b_words", "a_fine", "b_fine").mapInArrow(partial(_near_by_runs, similarity=similarity), "a binary, b binary"))
+    discarded(fine)
+    return found
 
 
 def rest_pairs(members: DataFrame, classes: DataFrame, bags: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
@@ -326,14 +409,10 @@ def rest_pairs(members: DataFrame, classes: DataFrame, bags: DataFrame, similari
     mixed_keys = classed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select(F.col("key").alias("k"))
     open_ = classed.join(mixed_keys, F.col("key") == F.col("k"))
     open_ = written(open_.select("key", "node", "n_words", "c", "n"))
-    few = open_.filter(F.col("n") <= FEW)
-    other = few.select("key", F.col("node").alias("o_node"), F.col("n_words").alias("o_words"), F.col("c").alias("o_c"))
-    longer = F.greatest("n_words", "o_words")
-    near = (F.col("node") < F.col("o_node")) & (F.col("c") != F.col("o_c")) & (longer - F.least("n_words", "o_words") <= F.floor((1 - similarity) * longer + 1e-9))
-    pairs = few.join(other, "key").filter(near).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(bags.select(F.col("node").alias(side), F.col("n_words").alias(f"{side}_words"), F.col("bag").alias(f"{side}_bag")), side)
-    pairs = pairs.select("a", "b", F.greatest("a_words", "b_words").alias("n"), F.col("a_words") > F.col("b_words"), "a_bag", "b_bag").mapInArrow(partial(_alike, similarity=similarity), "a binary, b binary")
+    bagged = lambda rows, *columns: rows.join(bags.select(F.col("node").alias("m"), "bag"), F.col("node") == F.col("m")).select("key", *columns, "bag")
+    # Small buckets are compared in place, so that no join makes their pairs.
+    few = bagged(open_.filter(F.col("n") <= FEW), "node", "n_words", "c").repartition(parts, "key").sortWithinPartitions("key")
+    pairs = few.mapInArrow(partial(_near_in_buckets, similarity=similarity), "a binary, b binary")
     step = max(-math.log(max(similarity, 1e-6)), 1e-6) * 1.0001
     # A bucket of up to `BLOCK` texts is one group; larger ones are dealt by length too.
     many = open_.filter(F.col("n") > FEW).withColumn("length", F.when(F.col("n") <= BLOCK, -1).otherwise(F.floor(F.log("n_words") / step)).cast("long"))
@@ -341,7 +420,7 @@ def rest_pairs(members: DataFrame, classes: DataFrame, bags: DataFrame, similari
     counts = many.groupBy("key", "g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cells"), F.max("length").alias("longest"), F.count(F.lit(1)).alias("inside")).filter((F.col("longest") == F.col("g")) & (F.col("inside") > 1)).select(F.col("key").alias("k"), F.col("g").alias("kg"), "cells")
     many = many.join(counts, (F.col("key") == F.col("k")) & (F.col("g") == F.col("kg"))).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
     many = many.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).withColumns({"low": F.least("cell", "_o"), "high": F.greatest("cell", "_o")})
-    many = many.join(bags.select(F.col("node").alias("m"), "bag"), F.col("node") == F.col("m")).select("key", "g", "low", "high", "node", "n_words", "c", "cell", "length", "bag")
+    many = bagged(many, "g", "low", "high", "node", "n_words", "c", "cell", "length")
     pairs = pairs.union(many.groupBy("key", "g", "low", "high").applyInArrow(lambda key, group: _possible(key, group, similarity), "a binary, b binary"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), [classed, open_]
 
@@ -413,9 +492,12 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, hashes: int = H
     led = reduce(DataFrame.union, links).distinct() if links else known.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     classes = components(led)
     pairs, tables = rest_pairs(every_member, classes, texts.select("node", "n_words", "bag"), similarity)
-    more = verified(pairs)
+    possible = written(pairs)
+    discarded(every_member, *tables, *met_again)
+    near = near_by_runs(possible, known, texts, similarity)
+    more = verified(near)
     n_words = checkpointed(texts.select("node", "n_words"))
-    discarded(every_member, texts, *tables, *met_again)
+    discarded(texts, possible, near)
     links.append(more)
     every = reduce(DataFrame.union, links).distinct()
     classes = components(classes.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))

@@ -1,6 +1,7 @@
 """Repeats, BPE, near duplicates, classifiers, scoring, HTML and the pipeline against brute force and on odd tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -510,3 +511,28 @@ def test_pipeline(spark, sf, odd, tmp_path):
     for _, stage in P.STAGES:
         left = stage(spark, left, sf)
     assert left.count() >= 0
+
+
+def test_rest_pairs_by_runs(spark):
+    """Texts of the same words in other order, in one small bucket, are no pairs; near ones are, and so they are by finer counts."""
+    draw, texts = random.Random(5), []
+    for n in (3, 30, 256, 257, 520, 700, 5900):
+        base = [f"w{draw.randrange(400)}" for _ in range(n)]
+        near = [f"x{draw.randrange(99)}" if draw.random() < 0.1 else w for w in base]
+        texts += [" ".join(x) for x in (base, near, base[: max(1, int(n * 0.85))], draw.sample(base, n))]
+    named = pa.RecordBatch.from_arrays([pa.array([b"%02d" % k for k in range(len(texts))]), pa.array(texts)], names=["node", "text"])
+    sketched = pa.Table.from_batches(neardup._sketch([named], 5, 24, 2, 32)).to_pylist()
+    members = spark.createDataFrame([(7, r["node"], r["n_words"], True, len(texts)) for r in sketched], "key bigint, node binary, n_words int, single boolean, n bigint")
+    bags = spark.createDataFrame([(r["node"], r["n_words"], r["bag"]) for r in sketched], "node binary, n_words int, bag binary")
+    found = {(int(r.a), int(r.b)) for r in neardup.rest_pairs(members, spark.createDataFrame([], "node binary, root binary"), bags, 0.8)[0].collect()}
+    every = list(itertools.combinations(range(len(texts)), 2))
+    left, right = (pa.array([texts[p[k]] for p in every]) for k in (0, 1))
+    ids = [pa.array([b"%02d" % p[k] for p in every]) for k in (0, 1)]
+    want = {(int(r["a"]), int(r["b"])) for b in neardup._verify([pa.RecordBatch.from_arrays([*ids, left, right], names=["a", "b", "a_text", "b_text"])], 0.8) for r in b.to_pylist()}
+    assert want and want <= found
+    assert not any((k, k + 3) in found for k in (4, 8, 12))
+    fine = {r["node"]: r["fine"] for b in neardup._run_counts([named]) for r in b.to_pylist()}
+    words, counts = ([pa.array([of[b"%02d" % p[k]] for p in every]) for k in (0, 1)] for of in ({r["node"]: r["n_words"] for r in sketched}, fine))
+    rows = pa.RecordBatch.from_arrays([*ids, *words, *counts], names=["a", "b", "a_words", "b_words", "a_fine", "b_fine"])
+    finer = {(int(r["a"]), int(r["b"])) for b in neardup._near_by_runs([rows], 0.8) for r in b.to_pylist()}
+    assert want <= finer and not any((k, k + 3) in finer for k in range(4, len(texts), 4))
