@@ -66,9 +66,10 @@ def sections_of_documents(chunks: DataFrame) -> DataFrame:
 
 def parents_of(children: DataFrame, parents: DataFrame) -> DataFrame:
     """(pdf_filename, section, child_id, parent_id, content, page_number): each child with the parent of its section whose `child_ids` hold it."""
-    held = parents.select(F.col("pdf_filename").alias("_p"), F.col("section").alias("_s"), F.col("chunk_id").alias("parent_id"), "content", "page_number", F.explode("child_ids").alias("_c"))
-    same = F.col("pdf_filename").eqNullSafe(F.col("_p")) & F.col("section").eqNullSafe(F.col("_s")) & (F.col("child_id") == F.col("_c"))
-    return children.select("pdf_filename", "section", F.col("chunk_id").alias("child_id")).join(held, same).select("pdf_filename", "section", "child_id", "parent_id", "content", "page_number")
+    named = children.select(F.col("pdf_filename").alias("_p"), F.col("section").alias("_s"), F.col("chunk_id").alias("child_id"))
+    # Children come to their section's parents, so that a parent's text is moved once, not once for each child.
+    same = F.col("pdf_filename").eqNullSafe(F.col("_p")) & F.col("section").eqNullSafe(F.col("_s")) & F.array_contains("child_ids", F.col("child_id"))
+    return parents.join(named, same).select("pdf_filename", "section", "child_id", F.col("chunk_id").alias("parent_id"), "content", "page_number")
 
 
 def collection_of_path(path: Column, root: str = "pdfs") -> Column:
