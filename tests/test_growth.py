@@ -118,6 +118,23 @@ def test_titles_of_frequent_words_leave_early(spark, monkeypatch):
     assert {x[0] for x in want.values()} == {1, 2, 3} and sum(met) < len(titles) * len(spans) / 8
 
 
+def test_titles_of_one_word_meet_no_spans(spark, monkeypatch):
+    met, own = [], matching.candidates
+
+    def counted(*given):
+        found = own(*given)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(matching, "candidates", counted)
+    spans = [("d", k, "early words" if k < 300 else f"They came later w{k}") for k in range(600)]
+    titles = [("d", k, title) for k, title in enumerate(["later", "ATE", " w599", "nowhere", "ear"])]
+    found = matching.title_spans(spark.createDataFrame(titles, "pdf_filename string, title_id int, title string"), spark.createDataFrame(spans, "pdf_filename string, place int, content string"))
+    assert {tuple(r) for r in found.collect()} == {("d", 0, 300, 1), ("d", 1, 300, 1), ("d", 2, 599, 1), ("d", 4, 0, 1)}
+    # Before, there were 601 such pairs.
+    assert sum(met) == 0
+
+
 def test_citations_meet_texts_that_share_words(spark):
     rng, own = random.Random(3), citations.strategy
     words = ["The", "cité", "of", "a", "Maße", "theory", "re-read", "x", "“no”", "end.", "word_s", "12"] + [f"w{k}q" for k in range(60)]
